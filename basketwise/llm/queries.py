@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, substring_dedup, token_counts
+from . import bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality_rules, substring_dedup, token_counts
 from .storage import table
 
 
@@ -16,6 +16,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -50,6 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_quality_rules": op2_quality_rules,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
@@ -59,7 +64,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+def _host_rule(name: str) -> str:
+    """The shrunk rate of a host for one rule, in SQL."""
+    weight = f"CASE WHEN v_{name} > 0 THEN least(1000.0, greatest(2.0, m_{name} * (1 - m_{name}) / v_{name} - 1)) ELSE 1000.0 END"
+    return f"(f_{name} + m_{name} * ({weight})) / (n + ({weight})) > 0.5"
+
+
+_RULES = ("short", "repetitive", "symbols", "lines")
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rf"""
+        WITH w AS (
+            SELECT doc_id, source, coalesce(text, '') AS t,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+            FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win
+            FROM (SELECT doc_id, ws, unnest(generate_series(1, CAST(len(ws) - 7 AS BIGINT))) AS i FROM w WHERE len(ws) >= 8)),
+        twice AS (SELECT doc_id, unnest(list(i)) AS i FROM windows GROUP BY doc_id, win HAVING count(*) > 1),
+        repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY doc_id),
+        f AS (
+            SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+            FROM w LEFT JOIN repeats r ON w.doc_id = r.doc_id),
+        m AS (
+            SELECT *, n_words < 20 AS short, n_repeat_words * 100 > n_words * 30 AS repetitive,
+                   n_symbols * 10 > n_words * 3 AS symbols, n_dup_lines * 10 > n_words * 3 AS lines FROM f),
+        h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {r}) AS f_{r}" for r in _RULES)} FROM m WHERE source IS NOT NULL GROUP BY source),
+        p AS (SELECT {", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, var_pop(f_{r} / n) AS v_{r}" for r in _RULES)} FROM h),
+        bad AS (SELECT source FROM h, p WHERE {" OR ".join(map(_host_rule, _RULES))})
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
+               NOT (short OR repetitive) AND bad.source IS NULL AS kept, bad.source IS NOT NULL AS host_failed
+        FROM m LEFT JOIN bad ON m.source = bad.source""",
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size,
