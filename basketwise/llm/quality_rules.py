@@ -101,6 +101,8 @@ def passing(docs: DataFrame, most: float = 0.5, text_col: str = "text", host_col
     source = docs.select(F.col(host_col).alias("source"), F.col(text_col).alias("text"))
     bad = written(rejected_hosts(written(measured(source).drop("text"), "features"), most).toDF("__host"), "hosts")
     mine = docs.withColumn("__text", F.col(text_col)).select(*(F.col(c).alias(f"__c_{i}") for i, c in enumerate(docs.columns)), F.col("__text").alias("text"), F.col(host_col).alias("__of"))
-    good = measured(mine).where(~base_failed()).join(bad, F.col("__of") == F.col("__host"), "left_anti")
+    # a filter moves below deterministic columns and would take copies of all measures along; not below this one, which it reads
+    fixed = measured(mine).withColumn("__nth", F.monotonically_increasing_id())
+    good = fixed.where(~base_failed() & (F.col("__nth") >= 0)).join(bad, F.col("__of") == F.col("__host"), "left_anti")
     return good.select(*(F.col(f"__c_{i}").alias(c) for i, c in enumerate(docs.columns)))
 

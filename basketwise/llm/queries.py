@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, quality_rules, substring_dedup, token_counts
+from . import bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
 from .storage import table
 
 
@@ -40,6 +40,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_pii": op8_pii,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
