@@ -1 +1 @@
-"""."""
+"""Aggregates kept up to date from a stream."""
