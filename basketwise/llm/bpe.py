@@ -50,7 +50,9 @@ class PairIndexBPE:
         keys = self.left << 20 | self.right
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        ending = spec["model"].get("end_of_word_suffix") or ""
         self.byte_id = np.array([vocab[c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])], np.int64)
+        self.last_id = np.array([vocab[c + ending] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])], np.int64) if ending else None
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -58,7 +60,8 @@ class PairIndexBPE:
         size = 1 + max([*vocab.values(), *special.values()])
         self.token = [b""] * size
         for text, i in vocab.items():
-            self.token[i] = bytes(to_byte[c] for c in text)
+            stem = text.removesuffix(ending) if ending else text
+            self.token[i] = bytes(to_byte[c] for c in stem) + b" " * (stem != text)
         for text, i in special.items():
             self.token[i] = text.encode()
         self.digits = [str(i) for i in range(size)]
@@ -79,7 +82,10 @@ class PairIndexBPE:
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         some = sizes > 0
-        symbol = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbol = self.byte_id[data]
+        if self.last_id is not None:
+            symbol[ends[some] - 1] = self.last_id[data[ends[some] - 1]]
         n = len(symbol)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[ends[some] - 1] = -1

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PartTable, gathered
+from .bpe import PairIndexBPE
+from .pieces import Numbered, PartTable, gathered
 from .token_counts import balanced
 from .words import blocks
 
 WINDOW = 2048
+#: Letters whose lower case is one letter of this range as well, and that are composed.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
-    """Ids of whole texts by the ``tokenizers`` library for vocabularies that drop white space: there a text's
-    ids are those of its parts between white space, so each distinct part of a task is encoded once."""
+    """Ids of whole texts, equal to those of the ``tokenizers`` library, for vocabularies that drop white space and
+    case: there a text's ids are those of its parts between white space, so each distinct part of a task is
+    encoded once. Words of plain Latin letters, nearly all, go through the pair index; the library itself
+    encodes the rest."""
 
     def __init__(self, path: str, end_id: int, batch_chars: int = 256 << 10, most_bytes: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,27 +37,65 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.index = PairIndexBPE(path)
         self.end_id, self.batch_chars = end_id, batch_chars
         self.table = PartTable(most_bytes)
         self.forget()
 
     def forget(self) -> None:
         self.table.forget()
+        self.words = Numbered()
+        self.word_ids, self.word_first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def solve(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new parts in a row and where each ends. Letters and a full stop or comma after them are
+        words of their own in such vocabularies, and case has no effect, so fewer words than parts are encoded."""
+        old, sizes, of = len(self.words), np.ones(len(new), np.int64), []
+        look = self.words.__getitem__
+        for i, part in enumerate(new):
+            word = part.lower() if part.isascii() else part
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                of.append(look(word[:-1]))
+                of.append(look(word[-1]))
+                sizes[i] = 2
+            else:
+                of.append(look(word))
+        words = list(islice(self.words, old, None))
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, words)), bool, len(words))
+        ids, first = self.index.encode_words([w.lower().encode() for w, p in zip(words, plain) if p])
+        lists = [x.ids for batch in balanced([w for w, p in zip(words, plain) if not p], self.batch_chars) for x in self.model.encode_batch_fast(batch, add_special_tokens=False)]
+        counts = np.empty(len(words), np.int64)
+        counts[plain] = np.diff(first)
+        counts[~plain] = [len(x) for x in lists]
+        every = np.empty(int(counts.sum()), np.uint32)
+        where = np.repeat(plain, counts)
+        every[where] = ids
+        every[~where] = list(chain.from_iterable(lists))
+        self.word_ids = np.concatenate((self.word_ids, every))
+        self.word_first = np.concatenate((self.word_first, self.word_first[-1] + np.cumsum(counts)))
+        ids, ends = gathered(self.word_ids, self.word_first, np.array(of, np.int64))
+        return ids, ends[np.cumsum(sizes) - 1]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the end id, and where each begins (one more at the end)."""
         if self.table.full():
             self.forget()
         at, counts, new = self.table.numbers(texts, lambda x: x.replace("\n", " ").split(" "))
         if new:
-            found = [np.array(x.ids, np.uint32) for batch in balanced(new, self.batch_chars) for x in self.model.encode_batch_fast(batch, add_special_tokens=False)]
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in found])))
-            self.ids = np.concatenate((self.ids, *found))
+            ids, ends = self.solve(new)
+            self.first = np.concatenate((self.first, self.first[-1] + ends))
+            self.ids = np.concatenate((self.ids, ids))
         ids, ends = gathered(self.ids, self.first, at)
         ends = np.concatenate(([0], ends))[np.cumsum(counts)]
-        out = np.insert(ids, ends, self.end_id)
-        return out, np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
+        begin = np.concatenate(([0], ends[:-1] + np.arange(1, len(ends)))) if len(ends) else np.zeros(0, np.int64)
+        last = ends + np.arange(len(ends))
+        out = np.empty(len(ids) + len(ends), np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[last] = False
+        out[inner] = ids
+        out[last] = self.end_id
+        return out, np.append(begin, len(out))
 
 
 def crc(ids: np.ndarray) -> int:
@@ -61,10 +106,13 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, shards: int, ke
     """Whole windows of long documents, and the tail of each document with its ids, dealt out to shards by a
     hash of the id and, for rows of a block that share an id, their order: no id makes a shard large."""
 
+    # a worker process receives the encoder once and keeps its table of words from task to task
+    shared = docs.sparkSession.sparkContext.broadcast(WordEncoder(path, end_id))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        encoder = shared.value
         for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
+            for part in blocks(batch, "text", 12 << 20):
                 ids, first = encoder.encode(part.column("text").to_pylist())
                 key = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.argsort(key, kind="stable")
@@ -74,6 +122,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, shards: int, ke
                 nth[order] = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key))))
                 shard = ((key & 0x7FFFFFFFFFFF) + nth * 40503) % shards
                 row, start, length, check, held = [], [], [], [], []
+                narrow = not len(ids) or int(ids.max()) < 65536
                 for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     for s in range(a, b, window):
                         own = ids[s : min(s + window, b)]
@@ -81,7 +130,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, shards: int, ke
                         start.append(s - a)
                         length.append(len(own))
                         check.append(crc(own))
-                        held.append(own.astype("<u4").tobytes() if keep_ids else own.astype("<u2").tobytes() if len(own) < window and ids.max() < 65536 else own.astype("<u4").tobytes() if len(own) < window else None)
+                        held.append(own.astype("<u4").tobytes() if keep_ids else own.astype("<u2").tobytes() if len(own) < window and narrow else own.astype("<u4").tobytes() if len(own) < window else None)
                 row = np.array(row, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(shard[row], pa.int32()), part.column("id").take(pa.array(row)), pa.array(np.diff(first)[row]), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64()), pa.array(held, pa.binary())], ["shard", "id", "doc_tokens", "start", "length", "crc", "ids"])
 
@@ -94,10 +143,11 @@ class Index:
 
     def __init__(self, tails: list[np.ndarray], end_id: int, query_terms: int, k1: float = 1.2, b: float = 0.75):
         n = self.n = len(tails)
-        grams = [np.unique(x[x != end_id], return_counts=True) for x in tails]
-        term = np.concatenate([g for g, _ in grams])
-        tf = np.concatenate([c for _, c in grams]).astype(float)
-        doc = np.repeat(np.arange(n), [len(g) for g, _ in grams])
+        key = np.concatenate(tails).astype(np.int64) | np.repeat(np.arange(n), [len(x) for x in tails]) << 32
+        key = np.sort(key[key & 0xFFFFFFFF != end_id])
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(head, len(key))).astype(float)
+        doc, term = key[head] >> 32, key[head] & 0xFFFFFFFF
         size = np.array([len(x) for x in tails], float)
         _, at, df = np.unique(term, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
@@ -106,8 +156,9 @@ class Index:
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.concatenate(([0], np.cumsum(df)))
         # of each document the terms that say most
-        ends = np.cumsum([len(g) for g, _ in grams])
-        self.terms = [own[np.argsort(-idf[own], kind="stable")[:query_terms]] for own in np.split(at, ends[:-1])]
+        best = np.lexsort((at, -idf[at], doc))
+        first = np.searchsorted(doc, np.arange(n + 1))
+        self.terms = [at[best[a : min(b, a + query_terms)]] for a, b in zip(first[:-1], first[1:])]
 
     def scores(self, seed: int) -> np.ndarray:
         posts, _ = gathered(np.arange(len(self.doc)), self.first, self.terms[seed])
