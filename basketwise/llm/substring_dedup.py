@@ -15,6 +15,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def flags(words: Words, column: pa.Array, size: int) -> np.ndarray:
     out = np.zeros(max(size, 0), bool)
     if size > 0 and len(column):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
         places = np.asarray(column.flatten(), np.int64) + np.repeat(words.first[:-1], sizes)
         out[places[places < size]] = True
     return out

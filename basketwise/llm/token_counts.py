@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
         for batch in batches:
             for part in blocks(batch, "text", block_bytes):
                 n = counter.count(part.column("text").to_pylist())
-                size = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
+                size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(df.dtypes)[id_col]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -54,7 +55,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
     texts = batch.column(column)
     if not len(batch):
         return
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64) + 16)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) + 16)
     start = 0
     while start < len(batch):
         floor = ends[start - 1] if start else 0
