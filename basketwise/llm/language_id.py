@@ -64,7 +64,9 @@ class ContextTrees:
         """``counts``: rows of lang, size, gram, n."""
         self.langs = sorted(set(counts["lang"]))
         many = len(self.langs)
-        seen = np.unique(counts["gram"][counts["size"] == 1].to_numpy()) if many else np.zeros(0, np.int64)
+        if not many:
+            return
+        seen = np.unique(counts["gram"][counts["size"] == 1].to_numpy())
         self.code = np.zeros(256, np.int64)
         self.code[seen] = np.arange(1, len(seen) + 1)  # 0: a byte that no sample has
         a = self.a = len(seen) + 1

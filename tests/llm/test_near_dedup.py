@@ -57,6 +57,19 @@ def test_equals_brute_force(spark, size):
     assert got == sorted(brute(texts, size), key=repr)
 
 
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    """With blocks of four, hardly any star and edits upon edits, the last round does the work."""
+    from basketwise.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    base, texts = prose(7, 150, 5000), []
+    for i in range(12):
+        parent = changed(base, 6, i)
+        texts += [parent, *(changed(parent, 5 + j, 100 * i + j) for j in range(5))]
+    got = rows(near_duplicates(documents(spark, texts), 4, stars=1), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute(texts, 4), key=repr)
+
+
 def test_repeated_and_null_ids(spark):
     a, b, c = prose(1, 80, 5000), prose(2, 80, 5000), prose(3, 80, 5000)
     df = documents(spark, [(5, a), (5, b), (7, b), (3, a), (None, a), (9, c), (9, c)]).selectExpr("*", "1 AS id", "2 AS key", "3 AS node")
