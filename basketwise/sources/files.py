@@ -11,7 +11,7 @@ HOUR = "yyyy-MM-dd HH"
 
 def read_log_csv(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
     """A raw log with a header; hours that don't parse become null (cleaning removes them)."""
-    return spark.read.schema(schema).csv(path, header=True, timestampNTZFormat=HOUR, mode="PERMISSIVE", enforceSchema=False)
+    return spark.read.schema(schema).option("timestampNTZFormat", HOUR).csv(path, header=True, mode="PERMISSIVE", enforceSchema=False)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
