@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,23 +109,78 @@ def corrected_similarity(equal, na, nb):
     return (equal / F.lit(float(BUCKETS)) - chance) / (F.lit(1.0) - chance)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, sets, percent: int, slack: float) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar. ``sets(ids)`` gives the sets of some documents.
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
+    """Of pairs (a, b) those whose full sets are similar.
 
     The estimate only drops pairs that lie ``slack`` (several standard deviations) below the threshold or
     whose sizes rule them out; every other pair is decided on the full sets.
     """
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    near = pairs.join(side("a"), "a").where(F.col("na") > 0).join(side("b"), "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     equal = F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(corrected_similarity(equal, F.col("na"), F.col("nb")) >= percent / 100 - slack)
     near = written(near.select("a", "b", "na", "nb"), "candidates")
-    own = written(sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()), "sets")
-    both = near.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
 
 
+def able(there: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``there`` with n and e: the size of each document's set and of the part that others of ``there`` have as
+    well. Documents of which too much is theirs alone are left out: they are similar to no other."""
+    ids = there.select("id").distinct()
+    shingle = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    alone = shingle.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("e"))
+    return there.join(sizes.where(F.col("e") * 100 >= F.col("n") * percent), "id")
+
+
+BLOCK = 128
+
+
+def block_pairs(there: DataFrame) -> DataFrame:
+    """``(p, id, component)``: the members of each bucket in blocks of about ``BLOCK``, and for every two blocks
+    that hold different components a group p of both. Large components have blocks of their own, small ones
+    share blocks, so what is connected already meets no more."""
+    sizes = there.groupBy("key", "component").agg(F.count("*").alias("c")).withColumn("mixed", F.col("c") <= BLOCK // 4)
+    loose = sizes.where("mixed").groupBy("key").agg(F.sum("c").alias("loose"))
+    placed = there.join(sizes, ["key", "component"]).join(loose, "key", "left")
+    part = F.when(F.col("mixed"), F.pmod(F.xxhash64("component"), F.ceil(F.col("loose") / BLOCK))).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)))
+    block = F.struct("mixed", F.when(~F.col("mixed"), F.col("component")).alias("of"), part.alias("part"))
+    placed = written(placed.select("key", "id", "component", block.alias("block")), "blocks")
+    one = placed.select("key", "block").distinct()
+    two = one.join(one.withColumnRenamed("block", "other"), "key").where((F.col("block") <= F.col("other")) & (F.col("block.mixed") | F.col("other.mixed") | (F.col("block.of") != F.col("other.of"))))
+    sides = two.select("key", F.xxhash64("key", "block", "other").alias("p"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return sides.join(placed, ["key", "block"]).select("p", "id", "component")
+
+
+def links_in_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of all similar documents of different components within a group, by their full sets. The pairs
+    are compared inside the task; only links leave it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        of = table["component"].to_numpy()
+        column = table["shingles"].combine_chunks()
+        size = np.asarray(pc.list_value_length(column), np.int64)
+        values = np.asarray(column.flatten())
+        code = np.unique(values, return_inverse=True)[1]
+        first = np.concatenate(([0], np.cumsum(size)))
+        a, b = [], []
+        here = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+        for i in range(len(ids)):
+            here[code[first[i] : first[i + 1]]] = 1
+            shared = np.add.reduceat(here[code], first[:-1])
+            here[code[first[i] : first[i + 1]]] = 0
+            hit = np.flatnonzero((of != of[i]) & (shared * 100 >= (size + size[i] - shared) * percent))
+            hit = hit[hit > i]
+            a.append(np.minimum(ids[hit], ids[i]))
+            b.append(np.maximum(ids[hit], ids[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return groups.join(sets, "id").groupBy("p").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4, slack: float = 0.22, stars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``(id, n_shingles, component_id, kept)``.
 
@@ -132,9 +188,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     ``component_id`` is the least id that links reach, and the row with that id is kept. Documents with equal
     sets form one class, of which one takes part. Classes meet in ``BUCKETS / rows`` bands of registers
     (at 0.8 a pair misses all of them once in 10 ** 7). In a band's bucket each class is first held
-    against one other, the bucket's star, in ``stars`` rounds with other stars; then only pairs that lie in
-    different components still meet, so a large group of near copies costs a few checks a member and not its
-    square, and no link that joins two components is passed over.
+    against one other, the bucket's star: first the class that lies in the fullest buckets, the middle
+    of a group of near copies, then others at random, ``stars`` rounds in all. After that only pairs that
+    lie in different components still meet, and of these only such as can be similar given what each has
+    in common with all others (``able``); in large buckets they meet in blocks inside a task, which returns
+    links only. So a large group of near copies costs a few checks a member, and no link that joins two
+    components is passed over.
 
     Texts without words (null, empty, white space) have an empty set and no links. Rows that share an id are
     one document with the links of all of them; rows without an id are kept, alone. Empty input gives no rows.
@@ -150,13 +209,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     keyed = bands(reps, rows).distinct()
     busy = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "bands")
 
-    def sets(ids: DataFrame) -> DataFrame:
-        return full_sets(source.join(ids, "id", "left_semi"), size).groupBy("id").agg(F.first("shingles").alias("shingles"))
-
+    met = busy.groupBy("id").agg(F.count("*").alias("x")).select("id")
+    sets = written(full_sets(source.join(met, "id", "left_semi"), size).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    fullness = busy.join(busy.groupBy("key").agg(F.count("*").alias("many")), "key").groupBy("id").agg(F.sum("many").alias("weight"))
+    busy = written(busy.join(fullness, "id"), "bands")
     links, label = members.limit(0), None
     for turn in range(stars + 1):
         if label is not None:
-            there = busy.join(label, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            there = busy.join(label, F.col("id") == F.col("node"), "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
             open_keys = there.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             there = written(there.join(open_keys, "key", "left_semi"), "open")
             if there.isEmpty():
@@ -164,12 +224,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         else:
             there = busy.withColumn("component", F.col("id"))
         if turn < stars:
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")
-            star = there.groupBy("key").agg(F.min(order).alias("star")).select("key", F.col("star.id").alias("star"), F.col("star.component").alias("of"))
+            best = F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            star = there.groupBy("key").agg(F.max(F.struct(best.alias("h"), "id", "component")).alias("star")).select("key", F.col("star.id").alias("star"), F.col("star.component").alias("of"))
             pairs = there.join(star, "key").where("component != of").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b"))
         else:
-            other = there.select("key", F.col("id").alias("other"), F.col("component").alias("of"))
-            pairs = there.join(other, "key").where("component < of").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+            there = written(able(there, sets, percent).select("key", "id", "component", "n", "e"), "able")
+            many = there.groupBy("key").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            there = written(there.join(many.select("key", "many"), "key"), "able")
+            few = there.where(F.col("many") <= BLOCK // 2)
+            other = few.select("key", F.col("id").alias("other"), F.col("component").alias("of"), F.col("n").alias("n2"), F.col("e").alias("e2"))
+            enough = F.least("e", "e2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+            pairs = few.join(other, "key").where((F.col("component") < F.col("of")) & enough).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+            large = links_in_blocks(block_pairs(there.where(F.col("many") > BLOCK // 2).select("key", "id", "component")), sets, percent)
+            links = links.unionByName(large)
         links = written(links.unionByName(confirmed(pairs.distinct(), reps, sets, percent, slack)), "links")
         label = components(links)
     every = components(links.unionByName(members))
