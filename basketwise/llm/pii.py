@@ -107,6 +107,13 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
     seen = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("x"))
     wide = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support).select("entity", "term")
     pairs = near.select("k", "id", "entity", "term").distinct().join(wide, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    entities = near.select("k", "id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # a term is in at least the documents that hold it near any entity: pairs that this rules out go now
+    held_near = near.select("k", "id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    total = float(base.count())
+    bits = F.log2(F.lit(total) / F.col("n_entity"))
+    share = lambda n: F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * n)) / bits
+    pairs = pairs.join(entities, "entity").where(bits > 0).join(held_near, "term").where(share(F.col("n_near")) >= general)
     pairs = written(pairs, "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
@@ -114,12 +121,7 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
         return pairs.select("entity", "term", F.lit(4).alias("kind")).limit(0)
     own = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
     held = docs.select(F.explode(own).alias("term")).join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = near.select("k", "id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = float(base.count())
-    told = pairs.join(held, "term").join(entities, "entity")
-    bits = F.log2(F.lit(total) / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    told = told.where(bits > 0).withColumn("share", pmi / bits).where(F.col("share") >= general)
+    told = pairs.join(held, "term").withColumn("share", share(F.greatest("n_term", "n_both"))).where(F.col("share") >= general)
     return told.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
 
 
