@@ -115,12 +115,22 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
     share = lambda n: F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * n)) / bits
     pairs = pairs.join(entities, "entity").where(bits > 0).join(held_near, "term").where(share(F.col("n_near")) >= general)
     pairs = written(pairs, "pairs")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+    def holding(some: DataFrame, wanted: DataFrame) -> DataFrame:
+        """How many documents of ``some`` hold each term of ``wanted``."""
+        n = wanted.count()
+        return some.select(F.explode(own).alias("term")).join(F.broadcast(wanted) if n <= broadcast_terms else wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+
+    # first the documents that may hold base spans, a few of all: their count is a bound that rules out most terms
+    few = docs.where(text.contains("@") | text.rlike(r"[0-9][\x20.-]?[0-9]"))
+    low = holding(few, written(pairs.select("term").distinct(), "terms"))
+    pairs = written(pairs.join(low, "term").where(share(F.greatest("n_term", "n_near")) >= general).drop("n_term"), "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if not n_terms:
+    if terms.isEmpty():
         return pairs.select("entity", "term", F.lit(4).alias("kind")).limit(0)
-    own = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.explode(own).alias("term")).join(F.broadcast(terms) if n_terms <= broadcast_terms else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    held = holding(docs, terms)
     told = pairs.join(held, "term").withColumn("share", share(F.greatest("n_term", "n_both"))).where(F.col("share") >= general)
     return told.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
 
