@@ -2,154 +2,189 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import Powers, Words, blocks
+from .words import Powers, Words, blocks, mix
 
-FREQUENT, CLASSES = 383, 128
-SIZE = 1 + FREQUENT + CLASSES  # 0 stands before a text
+SIZE = 512  # a vocabulary counts as so many words at least, so that small corpora are smoothed too
+START = np.uint64(0xA0761D6478BD642F)  # stands before a text
+WORD, CELL = 0, 1  # what counts are of
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` over all documents; a word is the hash of its letters, A-Z in lower case. Each task sums
-    what its blocks hold before anything shuffles."""
+def text_blocks(docs: DataFrame, most_tokens: int) -> DataFrame:
+    """Blocks of about ``most_tokens`` words of whole documents: ``(block, ids, target, n, words, tokens, cells)``
+    with the distinct words of the block (sorted hashes of their letters, A-Z in lower case; the one
+    before a text stands first), the documents' words as places among these (the first word is 1), and the number of
+    distinct word pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
-        held, waiting = [], 0
-
-        def merged():
-            keys, counts = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[head], np.add.reduceat(counts, head)
+        pw, part_id, serial = Powers(), TaskContext.get().partitionId(), 0
+        held, size, rows = [], 0, 0
+
+        def joined() -> pa.RecordBatch:
+            words, ranks = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+            n = np.concatenate([x[2] for x in held])
+            tokens = (ranks + 1).astype("<u4")
+            cells = len(pairs(tokens, n, len(words) + 1)[0])
+            ids, target = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), values)
+            data = [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(([START], words)).astype("<u8"), tokens)]
+            return pa.RecordBatch.from_arrays([pa.array([part_id << 32 | serial]), one(ids), one(target), one(pa.array(n, pa.int64())), *data, pa.array([cells], pa.int64())], ["block", "ids", "target", "n", "words", "tokens", "cells"])
 
         for batch in batches:
             for part in blocks(batch, "text", 4 << 20):
-                own = np.sort(Words(part.column("text"), lower=True).hashes(pw))
-                if len(own):
-                    head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    held.append((own[head], np.diff(np.append(head, len(own)))))
-                    waiting += len(head)
-                if waiting > 2_000_000:
-                    held = [merged()]
-                    waiting = 0
-                    if len(held[0][0]) > 1_000_000:  # bounded: the rest is summed after the shuffle
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1], pa.int64())], ["word", "n"])
-                        held = []
+                words = Words(part.column("text"), lower=True)
+                held.append((part.column("id"), part.column("target"), words.counts, words.hashes(pw)))
+                size, rows = size + len(words.starts), rows + len(part)
+                if size >= most_tokens or rows >= 100_000:
+                    yield joined()
+                    held, size, rows, serial = [], 0, 0, serial + 1
         if held:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["word", "n"])
+            yield joined()
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    kind = dict(docs.dtypes)["id"]
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, target array<boolean>, n array<long>, words binary, tokens binary, cells long")
 
 
-def encoded(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """``(id, tokens)``: each document's tokens as 16-bit numbers. A frequent word is a token of its own, any
-    other belongs to one of ``CLASSES`` by its hash, so every word counts."""
-    ranked = np.argsort(vocabulary, kind="stable")
-    sorted_words = vocabulary[ranked]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
-        for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
-                words = Words(part.column("text"), lower=True)
-                h = words.hashes(pw)
-                tokens = 1 + FREQUENT + (h % np.uint64(CLASSES)).astype(np.int64)
-                if len(sorted_words) and len(h):
-                    at = np.minimum(np.searchsorted(sorted_words, h), len(sorted_words) - 1)
-                    tokens = np.where(sorted_words[at] == h, 1 + ranked[at], tokens)
-                data = tokens.astype("<u2")
-                rows = [data[a:b].tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.binary())], ["id", "tokens"])
+def pairs(tokens: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct cells (``size`` times the word before, plus the word) of a block, the cell of each
+    token, and the word before each."""
+    own = tokens.astype(np.int64)
+    before = np.zeros(len(own), np.int64)
+    before[1:] = own[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    cells, of = np.unique(before * size + own, return_inverse=True)
+    return cells, of, before
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, tokens binary")
 
+def keys_of(cells: np.ndarray, words: np.ndarray) -> np.ndarray:
+    before, word = np.divmod(cells, len(words))
+    return mix(mix(words[before], 1) + words[word], 2)
 
-def _cells(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The cell (token before, token) of each token of some documents, and each document's count."""
-    data, counts = [], []
-    for x in tokens.to_pylist():
-        own = np.frombuffer(x, "<u2").astype(np.int64)
-        counts.append(len(own))
-        data.append(np.concatenate(([0], own[:-1])) * SIZE + own if len(own) else own)
-    return (np.concatenate(data) if data else np.zeros(0, np.int64)), np.array(counts, np.int64)
 
+def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by their part, and where each part begins (one more at the end)."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-def bigram_counts(tokens: DataFrame) -> DataFrame:
-    """``(target, cell, n)`` for the documents of the target and for all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, SIZE * SIZE), np.int64)
-        for batch in batches:
-            chosen = np.asarray(batch.column("target"), bool)
-            for row, mask in ((0, np.ones(len(chosen), bool)), (1, chosen)):
-                if mask.any():
-                    cells, _ = _cells(batch.column("tokens").filter(pa.array(mask)))
-                    sums[row] += np.bincount(cells, minlength=SIZE * SIZE)
-        for row in (0, 1):
-            cell = np.flatnonzero(sums[row])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), bool(row))), pa.array(cell), pa.array(sums[row][cell])], ["target", "cell", "n"])
+def packed(counts: np.ndarray) -> bytes:
+    return counts.T.astype("<u4" if not counts.size or counts.max() < 1 << 32 else "<u8").tobytes()
 
-    return tokens.select("target", "tokens").mapInArrow(run, "target boolean, cell long, n long").groupBy("target", "cell").agg(F.sum("n").alias("n"))
 
+def unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * rows * width else "<u8").reshape(width, rows).T.astype(np.int64)
 
-def losses(counts: np.ndarray, prior: float) -> np.ndarray:
-    """Bits of each token after each other: bigram counts backed by ``prior`` tokens of the unigram model,
-    which has one more of each token."""
-    counts = counts.reshape(SIZE, SIZE).astype(float)
-    single = counts.sum(0) + 1
-    single /= single.sum()
-    return -np.log2((counts + prior * single) / (counts.sum(1, keepdims=True) + prior))
 
+def asked(table: DataFrame, parts: int, kind: int) -> DataFrame:
+    """``(part, block, keys, counts)``: what each block counts, dealt out by hash. Words count as words and as words
+    before, pairs once; each in all documents and in those of the target."""
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: float = 64.0, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, tokens, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4"), np.array(row["n"], np.int64)
+                chosen = np.repeat(np.array(row["target"], bool), n)
+                cells, of, before = pairs(tokens, n, len(words))
+                count = lambda x, size: [np.bincount(x, minlength=size), np.bincount(x[chosen], minlength=size)]
+                if kind == WORD:
+                    keys, counts = words, np.stack(count(tokens.astype(np.int64), len(words)) + count(before, len(words)), 1)
+                else:
+                    keys, counts = keys_of(cells, words), np.stack(count(of, len(cells)), 1)
+                order, first = dealt(keys, parts)
+                keys, counts = keys[order], counts[order]
+                used = np.flatnonzero(np.diff(first))
+                data = [[keys[first[p] : first[p + 1]].tobytes() for p in used], [packed(counts[first[p] : first[p + 1]]) for p in used]]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), row["block"]), pa.int64()), *(pa.array(x, pa.binary()) for x in data)], ["part", "block", "keys", "counts"])
+
+    return table.select("block", "target", "n", "words", "tokens").mapInArrow(run, "part int, block long, keys binary, counts binary")
+
+
+def answered(asks: DataFrame, kind: int) -> DataFrame:
+    """``(block, kind, part, counts, kinds)``: the sums over the corpus, in the order of each block's keys; one row
+    of a part says how many different keys it has. A part holds all counts of its keys: a block has each key once,
+    so that a frequent one makes no part large."""
+    width = 4 if kind == WORD else 2
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([unpacked(x, len(k), width) for x, k in zip(table.column("counts").to_pylist(), keys)])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(at, counts[:, i], len(found)).astype(np.int64) for i in range(width)], 1)
+        ends = np.cumsum([len(k) for k in keys])
+        data = [packed(sums[at[e - len(k) : e]]) for e, k in zip(ends, keys)]
+        kinds = np.zeros(len(keys), np.int64)
+        kinds[0] = len(found)
+        return pa.table({"block": table.column("block"), "kind": pa.array(np.full(len(keys), kind, np.int32)), "part": table.column("part"), "counts": pa.array(data, pa.binary()), "kinds": pa.array(kinds)})
+
+    return asks.groupBy("part").applyInArrow(run, "block long, kind int, part int, counts binary, kinds long")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: float = 64.0, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, part_cells: int = 500_000) -> DataFrame:
     """One row per input row: ``(id, n_tokens, target_bits, background_bits, score)``.
 
     ``target_ids`` has one column, the ids of the documents that the target model learns from; the background
-    model learns from all documents. Both share one vocabulary (the ``FREQUENT`` most frequent words of the
-    corpus, ties by hash, and ``CLASSES`` classes of all other words), order, prior and counting, so only the
-    text they saw differs. Bits are means over a document's tokens; the score is target less background: the
-    lower, the more a document is like the target. Counts cover every word of every document; what reaches
-    the driver is bounded by the square of the vocabulary; target ids are broadcast if at most
-    ``broadcast_ids``, else tokens and ids shuffle. Documents without words (null, empty) have null
-    bits and score; without a target document both models are alike and scores 0. Null and unknown ids in
+    model learns from all documents. Both share one vocabulary (all words of the corpus), order, prior and
+    counting, so only the text they saw differs: bigram counts backed by ``prior`` tokens of the unigram model,
+    which has one more of each word. Bits are means over a document's tokens; the score is target less background: the
+    lower, the more a document is like the target.
+
+    Documents are gathered in blocks of about ``block_tokens`` words. Each block asks once for each of its
+    words and pairs, what all blocks count is summed in parts of about ``part_cells`` keys, and the answers go
+    back to the blocks; nothing but sums reaches the driver. Words and pairs are told apart by 64-bit hashes. Target ids
+    are broadcast if at most ``broadcast_ids``, else texts and ids shuffle. Documents without words (null, empty)
+    have null bits and score; without a target document both models are alike and scores 0. Null and unknown ids in
     ``target_ids`` have no effect; repeated rows each count and each give a row.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = word_counts(source)
-    vocabulary = np.array([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64).view(np.uint64)
     chosen = written(target_ids.toDF("__target").where("__target is not null").distinct(), "target")
     if chosen.count() <= broadcast_ids:
         chosen = F.broadcast(chosen)
-    tokens = written(encoded(source, vocabulary), "tokens")
-    marked = tokens.join(chosen, F.col("id") == F.col("__target"), "left").withColumn("target", F.col("__target").isNotNull())
-    both = np.zeros((2, SIZE * SIZE), np.int64)
-    found = bigram_counts(marked).toPandas()
-    both[found["target"].to_numpy(int), found["cell"].to_numpy(int)] = found["n"].to_numpy(int)
-    if not both[1].any():
-        both[1] = both[0]
-    tables = docs.sparkSession.sparkContext.broadcast(np.stack([losses(x, prior).ravel() for x in both]).astype(np.float32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = tables.value
-        for batch in batches:
-            cells, n = _cells(batch.column("tokens"))
-            ends = np.cumsum(n)
-            cols = []
-            for table in (target, background):
-                sums = np.concatenate(([0.0], np.cumsum(table[cells], dtype=np.float64)))
-                cols.append((sums[ends] - sums[ends - n]) / np.maximum(n, 1))
-            empty = n == 0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), *(pa.array(c, mask=empty) for c in (*cols, cols[0] - cols[1]))], ["id", "n_tokens", "target_bits", "background_bits", "score"])
-
-    out = tokens.mapInArrow(run, f"id {dict(tokens.dtypes)['id']}, n_tokens long, target_bits double, background_bits double, score double")
+    marked = source.join(chosen, F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("target"))
+    table = written(text_blocks(marked, block_tokens), "blocks")
+    every = F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b)
+    seen = F.aggregate(F.arrays_zip("n", "target"), F.lit(0).cast("long"), lambda a, x: a + F.when(x["target"], x["n"]).otherwise(0))
+    total = table.select(F.sum("cells").alias("cells"), F.sum(every).alias("tokens"), F.sum(seen).alias("target")).first()
+    parts = max(32, math.ceil((total["cells"] or 0) / part_cells))
+    of_words = written(answered(asked(table, parts, WORD), WORD), "words")
+    vocabulary = max(SIZE, (of_words.select(F.sum("kinds")).first()[0] or 0) - 1)
+    tokens = (total["tokens"] or 0, total["target"] or 0)
+    replies = of_words.drop("kinds").unionByName(answered(asked(table, parts, CELL), CELL).drop("kinds"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.select(["n", "words", "tokens"]).to_pylist()[0]
+        words, own, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4"), np.array(row["n"], np.int64)
+        cells, of, _ = pairs(own, n, len(words))
+        kinds, part, data = right.column("kind").to_numpy(), right.column("part").to_numpy(), right.column("counts").to_pylist()
+        counts = []
+        for kind, keys, width in ((WORD, words, 4), (CELL, keys_of(cells, words), 2)):
+            order, first = dealt(keys, parts)
+            back = np.empty((len(keys), width), np.int64)
+            for i in np.flatnonzero(kinds == kind):
+                at = order[first[part[i]] : first[part[i] + 1]]
+                back[at] = unpacked(data[i], len(at), width)
+            counts.append(back)
+        before, word = np.divmod(cells, len(words))
+        ends = np.cumsum(n)
+        cols = []
+        for m in (1 if tokens[1] else 0, 0):
+            single = (counts[0][word, m] + 1) / (tokens[m] + vocabulary)
+            losses = -np.log2((counts[1][:, m] + prior * single) / (counts[0][before, 2 + m] + prior))
+            added = np.concatenate(([0.0], np.cumsum(losses[of])))
+            cols.append((added[ends] - added[ends - n]) / np.maximum(n, 1))
+        empty = n == 0
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(n), *(pa.array(c, mask=empty) for c in (*cols, cols[0] - cols[1]))], ["id", "n_tokens", "target_bits", "background_bits", "score"])
+
+    kept = table.select("block", "ids", "n", "words", "tokens")
+    out = kept.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, f"id {dict(source.dtypes)['id']}, n_tokens long, target_bits double, background_bits double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -47,3 +47,28 @@ def test_no_target_no_rows_repeated_rows(spark):
     assert cross_entropy_difference(documents(spark, []), none).count() == 0
     df = documents(spark, [(1, "a b"), (1, "a b"), (None, "c")]).selectExpr("*", "1 AS id", "2 AS target", "'x' AS tokens")
     assert [r["score"] for r in cross_entropy_difference(df, none).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_thousands_of_rare_words_keep_their_own_counts(spark):
+    texts = [" ".join(f"rare{(i // 2 * 200 + j) % 4000} common" for j in range(200)) for i in range(40)] + [prose(i, 200, 3000) for i in range(20)] + [None]
+    split = [[w.lower() for w in words(t)] for t in texts]
+    target = set(range(0, 60, 3))
+    pair, before, single = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in enumerate(split):
+        for m in (0, 1) if i in target else (0,):
+            single[m].update(w)
+            pair[m].update(zip(["<", *w], w))
+            before[m].update(["<", *w][: len(w)])
+    size = len(single[0])
+    assert size > 4000
+    loss = lambda m, a, b: -math.log2((pair[m][a, b] + 64 * (single[m][b] + 1) / (sum(single[m].values()) + size)) / (before[m][a] + 64))
+    ids = spark.createDataFrame([(i,) for i in target], "x long")
+    for options in ({}, {"block_tokens": 500, "part_cells": 100, "broadcast_ids": 3}):
+        got = {r["doc_id"]: r for r in cross_entropy_difference(documents(spark, texts).repartition(3), ids, **options).collect()}
+        assert len(got) == len(texts)
+        for i, w in enumerate(split):
+            if w:
+                bits = [sum(loss(m, a, b) for a, b in zip(["<", *w], w)) / len(w) for m in (1, 0)]
+                assert abs(got[i]["target_bits"] - bits[0]) < 1e-6 and abs(got[i]["background_bits"] - bits[1]) < 1e-6
+            else:
+                assert got[i]["score"] is None
