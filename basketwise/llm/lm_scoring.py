@@ -21,9 +21,8 @@ WORD, CELL = 0, 1  # what counts are of
 
 def text_blocks(docs: DataFrame, most_tokens: int) -> DataFrame:
     """Blocks of about ``most_tokens`` words of whole documents: ``(block, ids, target, n, words, tokens, cells)``
-    with the distinct words of the block (sorted hashes of their letters, A-Z in lower case; the one
-    before a text stands first), the documents' words as places among these (the first word is 1), and the number of
-    distinct word pairs."""
+    with the distinct words of the block (sorted hashes of their letters, A-Z in lower case), the documents' words as
+    places among these (from 1 on; 0 stands before a text), and the number of distinct word pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw, part_id, serial = Powers(), TaskContext.get().partitionId(), 0
@@ -36,7 +35,7 @@ def text_blocks(docs: DataFrame, most_tokens: int) -> DataFrame:
             cells = len(pairs(tokens, n, len(words) + 1)[0])
             ids, target = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), values)
-            data = [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(([START], words)).astype("<u8"), tokens)]
+            data = [pa.array([small(x)], pa.binary()) for x in (ascending(words), planes(tokens))]
             return pa.RecordBatch.from_arrays([pa.array([part_id << 32 | serial]), one(ids), one(target), one(pa.array(n, pa.int64())), *data, pa.array([cells], pa.int64())], ["block", "ids", "target", "n", "words", "tokens", "cells"])
 
         for batch in batches:
@@ -71,18 +70,50 @@ def keys_of(cells: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by their part, and where each part begins (one more at the end)."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    """The order of keys, and where each part of their range begins in it (one more at the end)."""
+    order = np.argsort(keys)
+    return order, np.searchsorted((keys[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all their second ones and so on: those of small ones compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def numbers(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def ascending(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
+
+
+def ascended(data: bytes) -> np.ndarray:
+    return np.cumsum(numbers(data, "<u8"), dtype=np.uint64)
+
+
+def small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def full(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, tokens and counts of a block."""
+    words = np.concatenate(([START], ascended(full(row["words"]))))
+    return words, numbers(full(row["tokens"]), "<u4"), np.array(row["n"], np.int64)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return counts.T.astype("<u4" if not counts.size or counts.max() < 1 << 32 else "<u8").tobytes()
+    """Counts by column, in as few bytes each as the largest needs."""
+    return counts.T.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
 
 
 def unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if len(data) == 4 * rows * width else "<u8").reshape(width, rows).T.astype(np.int64)
+    return np.frombuffer(data, f"<u{len(data) // max(rows * width, 1) or 1}").reshape(width, rows).T.astype(np.int64)
 
 
 def asked(table: DataFrame, parts: int, kind: int) -> DataFrame:
@@ -91,8 +122,8 @@ def asked(table: DataFrame, parts: int, kind: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words, tokens, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4"), np.array(row["n"], np.int64)
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
+                words, tokens, n = opened(row)
                 chosen = np.repeat(np.array(row["target"], bool), n)
                 cells, of, before = pairs(tokens, n, len(words))
                 count = lambda x, size: [np.bincount(x, minlength=size), np.bincount(x[chosen], minlength=size)]
@@ -103,7 +134,7 @@ def asked(table: DataFrame, parts: int, kind: int) -> DataFrame:
                 order, first = dealt(keys, parts)
                 keys, counts = keys[order], counts[order]
                 used = np.flatnonzero(np.diff(first))
-                data = [[keys[first[p] : first[p + 1]].tobytes() for p in used], [packed(counts[first[p] : first[p + 1]]) for p in used]]
+                data = [[ascending(keys[first[p] : first[p + 1]]) for p in used], [packed(counts[first[p] : first[p + 1]]) for p in used]]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), row["block"]), pa.int64()), *(pa.array(x, pa.binary()) for x in data)], ["part", "block", "keys", "counts"])
 
     return table.select("block", "target", "n", "words", "tokens").mapInArrow(run, "part int, block long, keys binary, counts binary")
@@ -116,7 +147,7 @@ def answered(asks: DataFrame, kind: int) -> DataFrame:
     width = 4 if kind == WORD else 2
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        keys = [ascended(x) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([unpacked(x, len(k), width) for x, k in zip(table.column("counts").to_pylist(), keys)])
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.stack([np.bincount(at, counts[:, i], len(found)).astype(np.int64) for i in range(width)], 1)
@@ -162,7 +193,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: floa
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.select(["n", "words", "tokens"]).to_pylist()[0]
-        words, own, n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4"), np.array(row["n"], np.int64)
+        words, own, n = opened(row)
         cells, of, _ = pairs(own, n, len(words))
         kinds, part, data = right.column("kind").to_numpy(), right.column("part").to_numpy(), right.column("counts").to_pylist()
         counts = []
