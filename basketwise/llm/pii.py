@@ -18,7 +18,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{N}]++"
 TAGS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
 
 
@@ -33,8 +33,9 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def found(text: Column, pattern: str) -> Column:
-    """All matches in order, as an array of (start, end, value): what stands between them gives their places."""
+def found(text: Column, pattern: str, wanted: Column | None = None) -> Column:
+    """All matches in order, as an array of (start, end, value): what stands between them gives their places. With
+    ``wanted``, a map, only those whose lower case is a key of it."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.transform(F.slice(between, 1, F.size(values)), F.length).alias("gap"), values.alias("value"))
@@ -43,7 +44,10 @@ def found(text: Column, pattern: str) -> Column:
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        if wanted is not None:
+            out = F.when(F.map_contains_key(wanted, F.lower(x["value"])), out).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
@@ -76,23 +80,36 @@ def contexts(text: Column, spans: Column, reach: int) -> Column:
     return F.flatten(F.transform(spans, sides))
 
 
+def outside(text: Column, spans: Column) -> Column:
+    """The text with each span, or spans that overlap, replaced by a line end."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))))).alias("out"))
+    return F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], "\n"), F.lit("\n"), text.substr(acc["at"] + 1, F.length(text))))
+
+
 def marked(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """``(k, id, base, near)`` of each row, written once: the base spans, and the text around them."""
+    """``(k, id, base, near, text)`` of each row, written once: the base spans, and where there are any, each entity
+    with a hash of what stands around it and the text."""
     rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = base_spans(rows).withColumnRenamed("__base", "base")
-    rows = rows.withColumn("near", F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"), reach)))
+    near = F.transform(contexts(F.col("text"), F.col("base"), reach), lambda n: F.struct(n["entity"].alias("entity"), F.xxhash64(n["snippet"]).alias("context")))
+    rows = rows.withColumn("near", F.when(F.size("base") > 0, near))
     slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return written(rows.select("k", "id", slim.alias("base"), "near"), "base")
+    return written(rows.select("k", "id", slim.alias("base"), "near", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
 
 
-def occurrences(base: DataFrame, reach: int) -> DataFrame:
-    """``(k, id, entity, term, start, end, context)`` of the terms near base spans. A term that touches the end
-    of a full snippet may be cut off there and is left out."""
-    near = base.select("k", "id", F.explode("near").alias("n")).select("k", "id", "n.entity", "n.offset", "n.snippet")
-    near = near.withColumn("terms", found(F.col("snippet"), TERM))
-    one = near.select("k", "id", "entity", "offset", F.xxhash64("snippet").alias("context"), F.length("snippet").alias("size"), F.explode("terms").alias("t"))
-    whole = one.where((F.col("size") < reach) | ((F.col("t.start") > 0) & (F.col("t.end") < F.col("size"))))
-    return whole.select("k", "id", "entity", F.lower("t.value").alias("term"), (F.col("offset") + F.col("t.start")).alias("start"), (F.col("offset") + F.col("t.end")).alias("end"), "context")
+def occurrences(base: DataFrame, support: int) -> DataFrame:
+    """``(k, id, entity, context, terms)``: the terms outside base spans of each document that holds an entity,
+    for entities of ``support`` documents at least; equal rows once. The context is of the document's
+    first mention of the entity, by hash."""
+    held = base.where("text is not null").dropDuplicates(["k", "id"])
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(outside(F.col("text"), F.col("base"))), F.lit(TERM), F.lit(0)))
+    one = held.select("k", "id", F.explode("near").alias("n")).groupBy("k", "id", "n.entity").agg(F.min("n.context").alias("context"))
+    one = written(one, "entities")
+    often = one.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    one = one.join(often, "entity").groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_list(F.struct("entity", "context", "n_entity")).alias("held"))
+    return held.select("k", "id", terms.alias("terms")).join(one, (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id"))).select("k", "id", "held", "terms")
 
 
 def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float, remove: float, support: int, text_col: str, broadcast_terms: int) -> DataFrame:
@@ -100,20 +117,19 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
 
     With documents as events, a term reveals ``PMI(entity; term)`` bits of the ``-log2 P(entity)`` bits that
     the entity holds; the ratio is at most 1, where the term names the entity alone. A pair needs ``support``
-    different contexts and documents, else every rare word would reveal what stands beside it. How many documents
-    hold a term is counted over the whole corpus, for terms of supported pairs; those are broadcast
-    only if they are at most ``broadcast_terms``, else joined by a shuffle.
+    documents, and in them as many different contexts of the entity, else every rare word would reveal what
+    stands in the same text. How many documents hold a term is counted over the whole corpus, for terms of supported
+    pairs; those are broadcast only if they are at most ``broadcast_terms``, else joined by a shuffle.
     """
-    seen = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("x"))
-    wide = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support).select("entity", "term")
-    pairs = near.select("k", "id", "entity", "term").distinct().join(wide, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = near.select("k", "id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a term is in at least the documents that hold it near any entity: pairs that this rules out go now
-    held_near = near.select("k", "id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    wide = near.select(F.explode("held").alias("h"), "terms").select("h.entity", "h.context", "h.n_entity", F.explode("terms").alias("term"))
+    seen = wide.groupBy("entity", "term", "context", "n_entity").agg(F.count("*").alias("n"))
+    pairs = seen.groupBy("entity", "term", "n_entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where((F.col("contexts") >= support) & (F.col("n_both") >= support)).drop("contexts")
+    # a term is in at least the documents that hold it and any entity: pairs that this rules out go now
+    held_near = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     total = float(base.count())
     bits = F.log2(F.lit(total) / F.col("n_entity"))
     share = lambda n: F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * n)) / bits
-    pairs = pairs.join(entities, "entity").where(bits > 0).join(held_near, "term").where(share(F.col("n_near")) >= general)
+    pairs = pairs.where(bits > 0).join(held_near, "term").where(share(F.col("n_near")) >= general)
     pairs = written(pairs, "pairs")
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
@@ -138,16 +154,21 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
 def sanitised_spans(docs: DataFrame, reach: int = 48, general: float = 0.7, remove: float = 0.9, support: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
     """``(k, id, base, added)`` of each row: arrays of (kind, start, end) with kinds counted in ``KINDS``.
 
-    Base spans come from the patterns. Terms near one (``reach`` code points) whose share of its information,
+    Base spans come from the patterns. Terms of documents that hold an entity whose share of its information,
     by co-occurrence over all documents, reaches ``general`` are to be generalised, from ``remove`` on to be
-    removed, in documents that hold the entity. Null text counts as empty; rows that repeat an id with
+    removed, wherever they stand outside base spans in documents that hold the entity. ``reach`` code points on either side
+    are an entity's context. Null text counts as empty; rows that repeat an id with
     another text stay apart; equal rows get equal spans.
     """
     base = marked(docs, reach, id_col, text_col)
-    near = written(occurrences(base, reach), "near")
+    near = written(occurrences(base, support), "near")
     pairs = disclosing(docs, near, base, general, remove, support, text_col, broadcast_terms)
-    told = near.join(pairs, ["entity", "term"]).groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id"), "start", "end").agg(F.max("kind").alias("kind"))
-    added = told.groupBy("of_k", "of_id").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    told = near.select("k", "id", F.explode("held.entity").alias("entity"), "terms").join(pairs, "entity").where(F.array_contains("terms", F.col("term")))
+    told = told.groupBy("k", "id", "term").agg(F.max("kind").alias("kind")).groupBy(F.col("k").alias("t_k"), F.col("id").alias("t_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+    held = base.where("text is not null").dropDuplicates(["k", "id"]).join(told, (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id")))
+    free = lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+    hits = F.filter(F.transform(found(F.col("text"), TERM, F.col("told")), lambda x: F.struct(F.element_at("told", F.lower(x["value"])).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), free)
+    added = held.select(F.col("k").alias("of_k"), F.col("id").alias("of_id"), F.sort_array(hits).alias("added"))
     joined = base.join(added, (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
     return joined.select("k", "id", "base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("added"))
 
