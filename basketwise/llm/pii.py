@@ -101,11 +101,11 @@ def marked(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame
 
 def occurrences(base: DataFrame, support: int) -> DataFrame:
     """``(k, id, entity, context, terms)``: the terms outside base spans of each document that holds an entity,
-    for entities of ``support`` documents at least; equal rows once. The context is of the document's
-    first mention of the entity, by hash."""
+    for entities of ``support`` documents at least; equal rows once. The context is a hash of all that
+    stands around the entity in the document."""
     held = base.where("text is not null").dropDuplicates(["k", "id"])
     terms = F.array_distinct(F.regexp_extract_all(F.lower(outside(F.col("text"), F.col("base"))), F.lit(TERM), F.lit(0)))
-    one = held.select("k", "id", F.explode("near").alias("n")).groupBy("k", "id", "n.entity").agg(F.min("n.context").alias("context"))
+    one = held.select("k", "id", F.explode("near").alias("n")).groupBy("k", "id", "n.entity").agg(F.xxhash64(F.sort_array(F.collect_set("n.context"))).alias("context"))
     one = written(one, "entities")
     often = one.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     one = one.join(often, "entity").groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_list(F.struct("entity", "context", "n_entity")).alias("held"))

@@ -75,8 +75,10 @@ def test_far_short_and_second_mentions(spark):
     """A short name with a digit, 500 characters before the address and again at the end."""
     texts = [f"{prose(i, 3)} Zx7 {'filler words ' * 45}{prose(50 + i, 12)} at zed@corp.example {prose(100 + i, 60)} zx7 end" for i in range(6)]
     texts += [f"filler words end at {prose(200 + i, 40)}" for i in range(60)]
+    texts += [f"abe@corp.example {prose(300 + i, 40)} Qy9" for i in range(4)]  # nothing stands before the address
     got = {r["doc_id"]: r["spans"].split(",") for r in digests(documents(spark, texts).repartition(3)).collect()}
     for i in range(6):
         for at in (texts[i].index("Zx7"), texts[i].rindex("zx7")):
             assert f"removed:{at}:{at + 3}" in got[i]
     assert all(got[i] == [""] for i in range(6, 66))
+    assert all(f"removed:{len(texts[i]) - 3}:{len(texts[i])}" in got[i] for i in range(66, 70))
