@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -11,83 +12,118 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PairIndexBPE
-from .pieces import Numbered, PartTable, gathered
+from .pieces import Numbered, gathered
+from .storage import written
 from .token_counts import balanced
 from .words import blocks
 
 WINDOW = 2048
 #: Letters whose lower case is one letter of this range as well, and that are composed.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: How a vocabulary of this kind normalises a text and divides it into words.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose texts may be encoded by parts: BPE of lower-case words that
+    white space divides, special strings without white space that take nothing else along."""
+    model, way, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    steps = way.get("pretokenizers") or [{}, {}]
+    return (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and norm.get("normalizers") == NORMALIZERS
+        and way.get("type") == "Sequence" and len(steps) == 2 and steps[0].get("pattern") == {"Regex": SPLIT} and bool(steps[0].get("invert")) and steps[0].get("behavior") == "Removed"
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")
+        and all(t["content"].split() == [t["content"]] and not any(t.get(k) for k in ("lstrip", "rstrip", "normalized", "single_word")) for t in spec.get("added_tokens", []))
+    )
 
 
 class WordEncoder:
-    """Ids of whole texts, equal to those of the ``tokenizers`` library, for vocabularies that drop white space and
-    case: there a text's ids are those of its parts between white space, so each distinct part of a task is
-    encoded once. Words of plain Latin letters, nearly all, go through the pair index; the library itself
-    encodes the rest."""
+    """Ids of whole texts, equal to those of the ``tokenizers`` library. Where the vocabulary drops white space and
+    case (``by_words``), a text's ids are those of its parts between spaces and line ends, so each distinct part of a
+    task is encoded once: words of plain Latin letters, nearly all, go through the pair index, the library
+    encodes the rest. With any other tokenizer the library gets whole texts."""
 
-    def __init__(self, path: str, end_id: int, batch_chars: int = 256 << 10, most_bytes: int = 24 << 20):
+    def __init__(self, path: str, end_id: int, batch_chars: int = 256 << 10, most_bytes: int = 36 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.index = PairIndexBPE(path)
-        self.end_id, self.batch_chars = end_id, batch_chars
-        self.table = PartTable(most_bytes)
+        self.end_id, self.batch_chars, self.most_bytes = end_id, batch_chars, most_bytes
+        with open(path, encoding="utf-8") as f:
+            self.parted = by_words(json.load(f))
+        self.index = PairIndexBPE(path) if self.parted else None
+        self.size = self.model.get_vocab_size()
         self.forget()
 
     def forget(self) -> None:
-        self.table.forget()
-        self.words = Numbered()
+        self.words, self.bytes = Numbered(), 0
         self.word_ids, self.word_first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def solve(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of new parts in a row and where each ends. Letters and a full stop or comma after them are
-        words of their own in such vocabularies, and case has no effect, so fewer words than parts are encoded."""
-        old, sizes, of = len(self.words), np.ones(len(new), np.int64), []
-        look = self.words.__getitem__
-        for i, part in enumerate(new):
-            word = part.lower() if part.isascii() else part
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                of.append(look(word[:-1]))
-                of.append(look(word[-1]))
-                sizes[i] = 2
-            else:
-                of.append(look(word))
-        words = list(islice(self.words, old, None))
-        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, words)), bool, len(words))
-        ids, first = self.index.encode_words([w.lower().encode() for w, p in zip(words, plain) if p])
-        lists = [x.ids for batch in balanced([w for w, p in zip(words, plain) if not p], self.batch_chars) for x in self.model.encode_batch_fast(batch, add_special_tokens=False)]
-        counts = np.empty(len(words), np.int64)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a row, by the library, and how many each has."""
+        lists = [x.ids for batch in balanced(texts, self.batch_chars) for x in self.model.encode_batch_fast(batch, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of new words to the table."""
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, new)), bool, len(new))
+        ids, first = self.index.encode_words([w.encode() for w, p in zip(new, plain.tolist()) if p])
+        counts, every = np.empty(len(new), np.int64), np.empty(0, np.uint32)
         counts[plain] = np.diff(first)
-        counts[~plain] = [len(x) for x in lists]
+        rest, counts[~plain] = self.whole([w for w, p in zip(new, plain.tolist()) if not p])
         every = np.empty(int(counts.sum()), np.uint32)
         where = np.repeat(plain, counts)
-        every[where] = ids
-        every[~where] = list(chain.from_iterable(lists))
+        every[where], every[~where] = ids, rest
         self.word_ids = np.concatenate((self.word_ids, every))
         self.word_first = np.concatenate((self.word_first, self.word_first[-1] + np.cumsum(counts)))
-        ids, ends = gathered(self.word_ids, self.word_first, np.array(of, np.int64))
-        return ids, ends[np.cumsum(sizes) - 1]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.bytes += sum(map(len, new)) + 16 * len(new)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words in the table; equal ones of a block are looked up once."""
+        old, own = len(self.words), words.dictionary_encode()
+        names = own.dictionary.to_pylist()
+        found = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))
+        if len(self.words) > old:
+            self.learn(list(islice(self.words, old, None)))
+        return found[np.asarray(own.indices)]
+
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and where each text's end. Plain letters and a full stop or comma after
+        them are words of their own, and their case has no effect, so fewer words than parts are encoded."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        own = split.flatten().dictionary_encode()
+        part = own.dictionary
+        marked = pc.match_substring_regex(part, f"^{_PLAIN.pattern}[.,]$")
+        stem = pc.if_else(marked, pc.utf8_slice_codeunits(part, 0, -1), part)
+        stem = pc.if_else(pc.match_substring_regex(stem, f"^{_PLAIN.pattern}$"), pc.utf8_lower(stem), stem)
+        sizes = 1 + np.asarray(marked.cast(pa.int64()))
+        at = np.cumsum(sizes) - sizes
+        of = np.empty(int(sizes.sum()), np.int64)
+        of[at] = self.numbers(stem)
+        of[at[sizes == 2] + 1] = self.numbers(pc.utf8_slice_codeunits(part.filter(marked), -1))
+        ids, ends = gathered(self.word_ids, self.word_first, of)
+        ids, ends = gathered(ids, np.concatenate(([0], ends))[np.concatenate((at, [len(of)]))], np.asarray(own.indices))
+        return ids, np.concatenate(([0], ends))[np.cumsum(np.asarray(pc.list_value_length(split), np.int64))]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the end id, and where each begins (one more at the end)."""
-        if self.table.full():
+        if self.bytes > self.most_bytes:
             self.forget()
-        at, counts, new = self.table.numbers(texts, lambda x: x.replace("\n", " ").split(" "))
-        if new:
-            ids, ends = self.solve(new)
-            self.first = np.concatenate((self.first, self.first[-1] + ends))
-            self.ids = np.concatenate((self.ids, ids))
-        ids, ends = gathered(self.ids, self.first, at)
-        ends = np.concatenate(([0], ends))[np.cumsum(counts)]
+        if self.parted:
+            ids, ends = self.parts(texts)
+        else:
+            ids, counts = self.whole([x or "" for x in texts.to_pylist()])
+            ends = np.cumsum(counts)
         begin = np.concatenate(([0], ends[:-1] + np.arange(1, len(ends)))) if len(ends) else np.zeros(0, np.int64)
         last = ends + np.arange(len(ends))
         out = np.empty(len(ids) + len(ends), np.uint32)
@@ -102,77 +138,118 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, window: int, shards: int, keep_ids: bool) -> DataFrame:
-    """Whole windows of long documents, and the tail of each document with its ids, dealt out to shards by a
-    hash of the id and, for rows of a block that share an id, their order: no id makes a shard large."""
+def route_ranks(size: int) -> np.ndarray:
+    """Three fixed random orders of a vocabulary's ids."""
+    rng = np.random.default_rng(29)
+    return np.stack([rng.permutation(size) for _ in range(3)]).astype(np.int32)
+
+
+def pieces(docs: DataFrame, path: str, end_id: int, window: int, keep_ids: bool) -> DataFrame:
+    """Whole windows of long documents, and the tail of each document with its ids and route: the ids that come
+    first in three random orders. Two tails agree in one with the probability of their similarity, so tails in
+    the order of their routes have lexical neighbours around them."""
 
     # a worker process receives the encoder once and keeps its table of words from task to task
     shared = docs.sparkSession.sparkContext.broadcast(WordEncoder(path, end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
+        ranks = route_ranks(encoder.size)
         for batch in batches:
             for part in blocks(batch, "text", 12 << 20):
-                ids, first = encoder.encode(part.column("text").to_pylist())
-                key = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(key, kind="stable")
-                ranked = key[order]
-                head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                nth = np.empty(len(key), np.int64)
-                nth[order] = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key))))
-                shard = ((key & 0x7FFFFFFFFFFF) + nth * 40503) % shards
+                ids, first = encoder.encode(part.column("text"))
                 row, start, length, check, held = [], [], [], [], []
-                narrow = not len(ids) or int(ids.max()) < 65536
+                narrow = encoder.size <= 65536
+                begin = []
                 for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     for s in range(a, b, window):
                         own = ids[s : min(s + window, b)]
                         row.append(r)
+                        begin.append(s)
                         start.append(s - a)
                         length.append(len(own))
                         check.append(crc(own))
-                        held.append(own.astype("<u4").tobytes() if keep_ids else own.astype("<u2").tobytes() if len(own) < window and narrow else own.astype("<u4").tobytes() if len(own) < window else None)
+                        held.append(own.astype("<u2" if narrow else "<u4").tobytes() if keep_ids or len(own) < window else None)
+                route = np.zeros(len(row), np.int64)
+                if row:
+                    for rank in ranks:
+                        placed = rank[ids]
+                        placed[first[1:] - 1] = encoder.size  # the end id tells nothing
+                        route = route << 21 | np.minimum.reduceat(placed, begin)
                 row = np.array(row, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[row], pa.int32()), part.column("id").take(pa.array(row)), pa.array(np.diff(first)[row]), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64()), pa.array(held, pa.binary())], ["shard", "id", "doc_tokens", "start", "length", "crc", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(np.diff(first)[row]), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64()), pa.array(held, pa.binary()), pa.array(route)], ["id", "doc_tokens", "start", "length", "crc", "ids", "route"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"shard int, id {kind}, doc_tokens long, start long, length long, crc long, ids binary")
+    return docs.mapInArrow(run, f"id {kind}, doc_tokens long, start long, length long, crc long, ids binary, route long")
+
+
+def ids_of(data: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * length else "<u2")
+
+
+def postings(tails: list[np.ndarray], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, term, frequency)`` of tails, by document and term, without the end id."""
+    key = np.concatenate(tails).astype(np.int64) | np.repeat(np.arange(len(tails)), [len(x) for x in tails]) << 32
+    key = np.sort(key[key & 0xFFFFFFFF != end_id])
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[head] >> 32, key[head] & 0xFFFFFFFF, np.diff(np.append(head, len(key)))
+
+
+def document_frequencies(tails: DataFrame, end_id: int) -> DataFrame:
+    """``(term, n)``: in how many tails of the corpus each term stands, summed in each task before the shuffle. It
+    has at most as many rows as the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for batch in batches:
+            for part in blocks(batch, "ids", 8 << 20):
+                _, term, _ = postings([ids_of(d, k) for d, k in zip(part.column("ids").to_pylist(), part.column("length").to_pylist())], end_id)
+                own = np.bincount(term, minlength=len(n))
+                own[: len(n)] += n
+                n = own
+        term = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n[term])], ["term", "n"])
+
+    return tails.select("ids", "length").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Index:
-    """BM25 weights of a shard's tails: for each term the documents that hold it."""
+    """BM25 weights of a shard's tails, with the corpus' document frequencies (by term) and mean size: for each
+    term the documents that hold it."""
 
-    def __init__(self, tails: list[np.ndarray], end_id: int, query_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, tails: list[np.ndarray], end_id: int, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         n = self.n = len(tails)
-        key = np.concatenate(tails).astype(np.int64) | np.repeat(np.arange(n), [len(x) for x in tails]) << 32
-        key = np.sort(key[key & 0xFFFFFFFF != end_id])
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(head, len(key))).astype(float)
-        doc, term = key[head] >> 32, key[head] & 0xFFFFFFFF
+        doc, term, tf = postings(tails, end_id)
         size = np.array([len(x) for x in tails], float)
         _, at, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / size.mean()))
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
         order = np.argsort(at, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.concatenate(([0], np.cumsum(df)))
-        # of each document the terms that say most
-        best = np.lexsort((at, -idf[at], doc))
-        first = np.searchsorted(doc, np.arange(n + 1))
-        self.terms = [at[best[a : min(b, a + query_terms)]] for a, b in zip(first[:-1], first[1:])]
+        self.terms, self.of = at, np.searchsorted(doc, np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        posts, _ = gathered(np.arange(len(self.doc)), self.first, self.terms[seed])
+        """Of each tail for all terms of the seed."""
+        posts, _ = gathered(np.arange(len(self.doc)), self.first, self.terms[self.of[seed] : self.of[seed + 1]])
         return np.bincount(self.doc[posts], self.weight[posts], self.n)
 
 
-def fill(tails: list[np.ndarray], end_id: int, window: int, query_terms: int) -> list[tuple[int, int, int, int, int]]:
+def inverse_frequencies(counts: list[tuple[int, int]], n: int) -> np.ndarray:
+    """BM25's idf by term, from ``(term, documents)``."""
+    out = np.zeros(1 + max((t for t, _ in counts), default=0))
+    for t, df in counts:
+        out[t] = math.log1p((n - df + 0.5) / (df + 0.5))
+    return out
+
+
+def fill(tails: list[np.ndarray], end_id: int, window: int, idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
     """``(tail, from, length, sequence, offset)``: windows filled from a seed's best unused neighbours, the last
     of them cut where the window ends; its rest is the next seed. Where no neighbour is left, the next unused
     tail follows. Only the last window of a shard can have room left."""
     out: list[tuple[int, int, int, int, int]] = []
     if not tails:
         return out
-    index = Index(tails, end_id, query_terms)
+    index = Index(tails, end_id, idf, mean)
     sizes = [len(x) for x in tails]
     used = np.zeros(len(tails), bool)
     fresh, sequence = 0, 0
@@ -213,45 +290,68 @@ def fill(tails: list[np.ndarray], end_id: int, window: int, query_terms: int) ->
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, docs_a_shard: int = 512, query_terms: int = 32, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, docs_a_shard: int = 1024, part_tokens: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, with
     ``keep_ids`` also ``ids`` (little-endian unsigned 32-bit numbers).
 
     Each document is its ids and the end id; a null text counts as empty and gives one piece, the end id.
-    Whole windows of a long document stand alone; what is left of it, under ``window`` ids, is a tail. Tails
-    are dealt to shards of about ``docs_a_shard`` documents, each a BM25 index of its own, so a task
-    holds one shard whatever the input; a shard fills its windows completely but for the last. Rows that
-    repeat are packed each for itself; an empty table gives no rows.
+    Whole windows of a long document, of any length, stand alone; what is left of it, under ``window`` ids, is a
+    tail. Tails are dealt to tasks of about ``part_tokens`` ids by ranges of their routes, so tails that share
+    rare and common terms lie together and a large group of copies is cut into several ranges; each ``docs_a_shard``
+    in a row are a shard, a BM25 index with the frequencies of the whole corpus. A task holds one shard whatever the input.
+    All terms of a seed are its query. A shard fills its windows completely but for the last. Rows that repeat, or
+    have no id, are packed each for itself; an empty table gives no rows; other columns of ``docs`` play no part.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("key"))
-    shards = max(1, math.ceil(docs.count() / docs_a_shard))
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        rows.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["doc_tokens"], r["start"], r["crc"]))
-        tails = [r for r in rows if r["length"] < window]
-        arrays = [np.frombuffer(r["ids"], "<u4" if len(r["ids"]) == 4 * r["length"] else "<u2") for r in tails]
-        out = []
-        for i, begin, n, sequence, offset in fill(arrays, end_id, window, query_terms):
-            own = arrays[i][begin : begin + n]
-            out.append((tails[i], tails[i]["start"] + begin, n, crc(own), sequence, offset, own))
-        last = out[-1][4] + 1 if out else 0
-        for j, r in enumerate(r for r in rows if r["length"] == window):
-            out.append((r, 0 + r["start"], window, r["crc"], last + j, 0, None if not keep_ids else np.frombuffer(r["ids"], "<u4")))
-        head = rows[0]["shard"] << 32
-        cols = {
-            "id": pa.array([r["id"] for r, *_ in out], table.schema.field("id").type),
-            "start": pa.array([x[1] for x in out], pa.int64()),
-            "length": pa.array([x[2] for x in out], pa.int64()),
-            "ids_crc32": pa.array([x[3] for x in out], pa.int64()),
-            "doc_tokens": pa.array([x[0]["doc_tokens"] for x in out], pa.int64()),
-            "sequence_id": pa.array([head + x[4] for x in out], pa.int64()),
-            "offset": pa.array([x[5] for x in out], pa.int64()),
-        }
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = written(pieces(source, path, end_id, window, keep_ids), "pieces")
+    tails = made.where(F.col("length") < window)
+    total = tails.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
+    n, tokens = total["n"], total["tokens"] or 0
+    counts = [tuple(r) for r in document_frequencies(tails, end_id).collect()]  # at most one row for each id of the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))
+    mean = max(1.0, tokens / max(n, 1))
+    parts = max(1, min(math.ceil(tokens / part_tokens), max(2048, math.ceil(tokens / (32 * part_tokens)))))
+
+    def shard(rows: list[dict], sequence: int) -> tuple[pa.RecordBatch, int]:
+        arrays = [ids_of(r["ids"], r["length"]) for r in rows]
+        out = [(rows[i], begin, arrays[i][begin : begin + k], sequence + s, offset) for i, begin, k, s, offset in fill(arrays, end_id, window, shared.value, mean)]
+        ids = [own.astype("<u4") for _, _, own, _, _ in out]
+        cols = [
+            pa.array([r["id"] for r, *_ in out], kind_of["id"]), pa.array([r["start"] + begin for r, begin, *_ in out], pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
+            pa.array(map(crc, ids), pa.int64()), pa.array([r["doc_tokens"] for r, *_ in out], pa.int64()), pa.array([s for *_, s, _ in out], pa.int64()), pa.array([o for *_, o in out], pa.int64()),
+        ]
         if keep_ids:
-            cols["ids"] = pa.array([x[6].astype("<u4").tobytes() for x in out], pa.binary())
-        return pa.table(cols)
+            cols.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+        return pa.RecordBatch.from_arrays(cols, names), out[-1][3] + 1
+
+    kind_of: dict = {}
 
-    kind = dict(source.dtypes)["id"]
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
-    return pieces(source, path, end_id, window, shards, keep_ids).groupBy("shard").applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        sequence = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            kind_of["id"] = batch.schema.field("id").type
+            for i in range(0, len(batch), docs_a_shard):
+                held.extend(batch.slice(i, docs_a_shard).to_pylist())
+                while len(held) >= docs_a_shard:
+                    out, sequence = shard(held[:docs_a_shard], sequence)
+                    held = held[docs_a_shard:]
+                    yield out
+        if held:
+            yield shard(held, sequence)[0]
+
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
+    schema = f"id {dict(source.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
+    # equal routes are told apart by the row, so that no group of copies makes a range large
+    dealt = tails.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, "route", "nth").sortWithinPartitions("route", "nth")
+    packed = dealt.select("id", "doc_tokens", "start", "length", "ids").mapInArrow(run, schema).withColumn("sequence_id", F.col("sequence_id") * 2)
+    alone = made.where(F.col("length") == window).select("id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))
+    if keep_ids:
+        alone = alone.withColumn("ids", wide_ids("ids", "length"))
+    return packed.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def wide_ids(ids: str, length: str):
+    """Ids of 16 bits as ids of 32; those of 32 as they are."""
+    narrow = F.unhex(F.regexp_replace(F.hex(ids), "(.{4})", "$10000"))
+    return F.when(F.octet_length(ids) == F.col(length) * 4, F.col(ids)).otherwise(narrow)
