@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketwise.llm.components import components
 from basketwise.llm.near_dedup import near_duplicates, registers, representatives
@@ -78,8 +79,21 @@ def test_repeated_and_null_ids(spark):
     assert [r["doc_id"] for r in representatives(df).orderBy("doc_id").collect()] == [None, 3, 9, 9]
 
 
+def test_two_texts_under_one_id(spark):
+    """Each has a near copy of its own; either row order; an empty text under the same id; ids that are strings."""
+    a, b = prose(1, 80, 5000), prose(2, 80, 5000)
+    own = [(5, a), (5, b), (3, a + " tail"), (7, b + " tail"), (5, ""), (9, prose(3, 80, 5000))]
+    for texts in (own, own[::-1]):
+        got = rows(near_duplicates(documents(spark, texts)), "doc_id", "component_id", "kept")
+        assert got == sorted([(5, 3, False)] * 3 + [(3, 3, True), (7, 3, False), (9, 9, True)], key=repr)
+    named = documents(spark, own).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = rows(near_duplicates(named), "doc_id", "component_id", "kept")
+    assert got == sorted([("d5", "d3", False)] * 3 + [("d3", "d3", True), ("d7", "d3", False), ("d9", "d9", True)], key=repr)
+
+
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
+    assert representatives(documents(spark, [])).count() == 0
 
 
 def test_components_of_a_chain(spark):
