@@ -140,7 +140,8 @@ def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive:
 
 def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
     """Per document: text, windows of the full width that its task has seen once (``hash``, ``place``), places
-    of those seen more often (``sure``), and the hashes of the latter once a task and block (``shared``)."""
+    of those seen more often (``sure``), and the hashes of the latter once a task and block (``shared``). Here, where
+    words are judged, two independent hashes (``hash`` and ``other``, 128 bits) tell windows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
@@ -149,35 +150,37 @@ def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
                 words = Words(part.column("text"))
                 hashes = words.hashes(pw)
                 begin = np.flatnonzero(surviving(words, hashes, before, width, part.column("alive"), pw))
-                full = every_window(hashes, width, pw, width)[begin] if len(begin) else np.zeros(0, np.uint64)
-                order = np.argsort(full, kind="stable")
-                ranked = full[order]
+                full, other = (every_window(hashes, width, pw, seed)[begin] if len(begin) else np.zeros(0, np.uint64) for seed in (width, width + 1013))
+                order = np.lexsort((other, full))
                 same = np.zeros(len(full) + 1, bool)
-                same[1:-1] = ranked[1:] == ranked[:-1]
+                same[1:-1] = (full[order[1:]] == full[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
                 sure, head = np.zeros(len(full), bool), np.zeros(len(full), bool)
                 sure[order] = same[1:] | same[:-1]
                 head[order] = same[1:] & ~same[:-1]
                 of, place, n = words.row[begin], begin - words.first[words.row[begin]], len(part)
                 pick = lambda mask, values, kind: lists(values[mask], of[mask], n, kind)
-                signed = full.view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), pick(~sure, signed, pa.int64()), pick(~sure, place, pa.int32()), pick(sure, place, pa.int32()), pick(head, signed, pa.int64())], ["k", "id", "text", "hash", "place", "sure", "shared"])
+                own, second = full.view(np.int64), other.view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), pick(~sure, own, pa.int64()), pick(~sure, second, pa.int64()), pick(~sure, place, pa.int32()), pick(sure, place, pa.int32()), pick(head, own, pa.int64()), pick(head, second, pa.int64())], ["k", "id", "text", "hash", "other", "place", "sure", "shared", "shared_other"])
 
     kind = dict(held.dtypes)["id"]
-    return held.mapInArrow(run, f"k long, id {kind}, text string, hash array<long>, place array<int>, sure array<int>, shared array<long>")
-
-
-def repeated(rows: DataFrame) -> DataFrame:
-    """The hashes that occur at least twice; ``rows`` has hash and n. Sums are made before the shuffle."""
-    return rows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    return held.mapInArrow(run, f"k long, id {kind}, text string, hash array<long>, other array<long>, place array<int>, sure array<int>, shared array<long>, shared_other array<long>")
 
 
 def places(level: DataFrame) -> DataFrame:
-    """``(of_k, of_id, alive)``: each document's places whose hash is repeated somewhere."""
-    spread = level.select("k", "id", F.explode(F.arrays_zip("hash", "place")).alias("x")).select("k", "id", "x.hash", "x.place")
-    counted = level.select(F.explode("hash").alias("hash"), F.lit(1).alias("n"))
-    if "shared" in level.columns:
-        counted = counted.unionByName(level.select(F.explode("shared").alias("hash"), F.lit(2).alias("n")))
-    return spread.join(repeated(counted), "hash", "left_semi").groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
+    """``(of_k, of_id, alive)``: each document's places whose hash is repeated somewhere.
+
+    Hashes are counted with sums before the shuffle. The repeated ones are written before they are joined: AQE can
+    then split what one of them, a line that stands everywhere, brings to a task.
+    """
+    last = "shared" in level.columns
+    key = ["hash", "other"] if last else ["hash"]
+    spread = level.select("k", "id", F.explode(F.arrays_zip(*key, "place")).alias("x")).select("k", "id", *(f"x.{c}" for c in (*key, "place")))
+    counted = spread.select(*key, F.lit(1).alias("n"))
+    if last:
+        shared = level.select(F.explode(F.arrays_zip("shared", "shared_other")).alias("x"))
+        counted = counted.unionByName(shared.select(F.col("x.shared").alias("hash"), F.col("x.shared_other").alias("other"), F.lit(2).alias("n")))
+    often = written(counted.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key), "repeated")
+    return spread.join(often, key, "left_semi").groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -218,7 +221,8 @@ def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, id_col: st
 
     A word is removed if a window of ``width`` words over it also begins anywhere else in the input, in the
     same document or another; windows are judged on the input. Null texts have no words. Rows that repeat
-    both id and text count as two occurrences. Texts shorter than ``width`` words stay whole.
+    both id and text count as two occurrences. Texts shorter than ``width`` words stay whole; very long texts are
+    read whole, in blocks of their own. Null ids are ids like others; an empty table gives no rows.
     """
     source = keyed(docs, id_col, text_col)
     steps = levels(width, base)
