@@ -5,6 +5,8 @@ DataFrame functions only. Spans are code points, the end exclusive.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-KINDS = ("email", "ip", "card", "phone", "general", "removed")
+KINDS = ("email", "ip", "card", "phone", "word", "number", "code", "removed")
+REMOVED = len(KINDS) - 1
+#: What stands in place of each kind: a term is generalised to what sort of term it is.
+TAGS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<WORD>", "<NUMBER>", "<CODE>", "")
 TERM = r"[\p{L}\p{N}]++"
-TAGS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
+CHUNK, BLOCK = 4096, 512
 
 
 def _valid(kind: str, x: Column) -> Column:
@@ -27,84 +32,120 @@ def _valid(kind: str, x: Column) -> Column:
         return x.rlike(f"^{PART}(?:\\.{PART}){{3}}$")
     digits = F.regexp_replace(x, "[^0-9]", "")
     if kind == "card":
-        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+        return F.length(x).between(13, 37) & F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
     return F.lit(True)
 
 
-def found(text: Column, pattern: str, wanted: Column | None = None) -> Column:
-    """All matches in order, as an array of (start, end, value): what stands between them gives their places. With
-    ``wanted``, a map, only those whose lower case is a key of it."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.transform(F.slice(between, 1, F.size(values)), F.length).alias("gap"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+def with_matches(df: DataFrame, name: str, text: Column, pattern: str, keep, may: Column | None = None) -> DataFrame:
+    """``df`` with all matches for which ``keep(value)`` holds, in order: an array of (start, end, value). The lengths of
+    matches and of what stands between them give their places. They are summed in blocks, so that the work
+    is in proportion to a text's matches, not to their square. ``may`` says which texts can have any.
+
+    Steps are columns of their own, each read twice: Spark doesn't move such into the functions that read them.
+    """
+    values, pairs, blocks = f"__{name}_v", f"__{name}_p", f"__{name}_b"
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    df = df.withColumn(values, every if may is None else F.when(may, every))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(values)), F.length)
+    df = df.withColumn(pairs, F.when(F.size(values) > 0, F.arrays_zip(gaps.alias("gap"), F.col(values).alias("value"))))
+    df = df.withColumn(blocks, F.when(F.size(pairs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))))
+    width = lambda x: x["gap"] + F.length(x["value"])
+    widths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda at, x: at + width(x)))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    begins = F.aggregate(widths, F.struct(F.lit(0).alias("at"), none("int").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["value"])
-        out = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
-        if wanted is not None:
-            out = F.when(F.map_contains_key(wanted, F.lower(x["value"])), out).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(end.alias("at"), F.when(keep(x["value"]), more).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    kind = "struct<start:int,end:int,value:string>"
+    one = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none(kind).alias("out")), step, lambda acc: acc["out"])
+    return df.withColumn(name, F.coalesce(F.flatten(F.zip_with(blocks, begins, one)), none(kind))).drop(values, pairs, blocks)
 
 
 def base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``__base``: an array of (kind, start, end, value), kind counted from 0, in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    df = df.withColumns({f"__{kind}": F.when(may[kind], found(text, pattern)).otherwise(none) for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE))})
+    may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": text.rlike(r"\+[0-9]")}
+    for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE)):
+        df = with_matches(df, f"__{kind}", text, pattern, partial(_valid, kind), may[kind])
+
+    def of_kind(i: int) -> Column:
+        return F.transform(f"__{KINDS[i]}", lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
-    def kept(i: int, kind: str) -> Column:
-        own = F.filter(f"__{kind}", lambda x: _valid(kind, x["value"]))
-        return F.transform(own, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    return df.withColumn("__base", F.concat(*map(of_kind, range(4)))).drop(*(f"__{kind}" for kind in KINDS[:4]))
 
-    spans = [kept(i, kind) for i, kind in enumerate(KINDS[:4])]
-    return df.withColumn("__base", F.concat(*spans)).drop(*(f"__{kind}" for kind in KINDS[:4]))
 
+def chunks_of(text: Column) -> Column:
+    """A text in pieces of ``CHUNK`` code points, where any place can be reached without counting from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-def contexts(text: Column, spans: Column, reach: int) -> Column:
-    """For each span the ``reach`` code points on either side: (entity, side, offset, snippet, cut)."""
+
+def cut(chunks: str, low: Column, high: Column) -> Column:
+    """The text from ``low`` to ``high``, ``CHUNK`` code points at most."""
+    i = F.floor(low / CHUNK).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, i), F.lit("")), F.coalesce(F.get(chunks, i + 1), F.lit("")))
+    return two.substr(low - i * CHUNK + 1, high - low)
+
+
+def contexts(chunks: str, spans: str, reach: int) -> Column:
+    """For each span the ``reach`` code points on either side: (entity, snippet)."""
 
     def sides(s):
         low = F.greatest(s["start"] - reach, F.lit(0))
         entity = F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], r"[^0-9.]", "")))
-        left = F.struct(entity.alias("entity"), low.alias("offset"), text.substr(low + 1, s["start"] - low).alias("snippet"))
-        right = F.struct(entity.alias("entity"), s["end"].alias("offset"), text.substr(s["end"] + 1, F.lit(reach)).alias("snippet"))
-        return F.array(left, right)
+        return F.array(*(F.struct(entity.alias("entity"), cut(chunks, a, b).alias("snippet")) for a, b in ((low, s["start"]), (s["end"], s["end"] + reach))))
 
     return F.flatten(F.transform(spans, sides))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """The text with each span, or spans that overlap, replaced by a line end."""
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))))).alias("out"))
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], "\n"), F.lit("\n"), text.substr(acc["at"] + 1, F.length(text))))
+def overlaid(chunks: str, spans: str, mark) -> Column:
+    """The text with each span, or spans that overlap, replaced by ``mark(the first one)``, chunk by chunk. ``spans``
+    is in order of where they start."""
+
+    def one(chunk, i):
+        low = i * CHUNK
+
+        def step(acc, s):
+            free = s["start"] >= acc["at"]
+            piece = F.concat(chunk.substr(acc["at"] - low + 1, s["start"] - acc["at"]), mark(s))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        here = F.filter(spans, lambda s: (s["start"] < low + CHUNK) & (s["end"] > low))
+        rest = lambda acc: F.concat(acc["out"], chunk.substr(acc["at"] - low + 1, F.lit(CHUNK)))
+        return F.aggregate(here, F.struct(low.alias("at"), F.lit("").alias("out")), step, rest)
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(chunks, one), "")).otherwise(F.array_join(chunks, ""))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text in lower case: each by itself, as a letter's lower case may be no term."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def marked(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """``(k, id, base, near, text)`` of each row, written once: the base spans, and where there are any, each entity
+    """``(k, id, base, near, chunks)`` of each row, written once: the base spans, and where there are any, each entity
     with a hash of what stands around it and the text."""
     rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = base_spans(rows).withColumnRenamed("__base", "base")
-    near = F.transform(contexts(F.col("text"), F.col("base"), reach), lambda n: F.struct(n["entity"].alias("entity"), F.xxhash64(n["snippet"]).alias("context")))
+    rows = rows.withColumn("chunks", F.when(F.size("base") > 0, chunks_of(F.col("text"))))
+    near = F.transform(contexts("chunks", "base", reach), lambda n: F.struct(n["entity"].alias("entity"), F.xxhash64(n["snippet"]).alias("context")))
     rows = rows.withColumn("near", F.when(F.size("base") > 0, near))
     slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return written(rows.select("k", "id", slim.alias("base"), "near", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
+    return written(rows.select("k", "id", slim.alias("base"), "near", "chunks"), "base")
 
 
 def occurrences(base: DataFrame, support: int) -> DataFrame:
     """``(k, id, entity, context, terms)``: the terms outside base spans of each document that holds an entity,
     for entities of ``support`` documents at least; equal rows once. The context is a hash of all that
     stands around the entity in the document."""
-    held = base.where("text is not null").dropDuplicates(["k", "id"])
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(outside(F.col("text"), F.col("base"))), F.lit(TERM), F.lit(0)))
+    held = base.where("chunks is not null").dropDuplicates(["k", "id"])
+    held = held.withColumn("ordered", F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    terms = terms_of(overlaid("chunks", "ordered", lambda s: F.lit("\n")))
     one = held.select("k", "id", F.explode("near").alias("n")).groupBy("k", "id", "n.entity").agg(F.xxhash64(F.sort_array(F.collect_set("n.context"))).alias("context"))
     one = written(one, "entities")
     often = one.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
@@ -132,7 +173,7 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
     pairs = pairs.where(bits > 0).join(held_near, "term").where(share(F.col("n_near")) >= general)
     pairs = written(pairs, "pairs")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    own = terms_of(text)
 
     def holding(some: DataFrame, wanted: DataFrame) -> DataFrame:
         """How many documents of ``some`` hold each term of ``wanted``."""
@@ -148,7 +189,7 @@ def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float
         return pairs.select("entity", "term", F.lit(4).alias("kind")).limit(0)
     held = holding(docs, terms)
     told = pairs.join(held, "term").withColumn("share", share(F.greatest("n_term", "n_both"))).where(F.col("share") >= general)
-    return told.select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
+    return told.select("entity", "term", F.when(F.col("share") >= remove, REMOVED).when(~F.col("term").rlike(r"\p{N}"), 4).when(~F.col("term").rlike(r"\p{L}"), 5).otherwise(6).alias("kind"))
 
 
 def sanitised_spans(docs: DataFrame, reach: int = 48, general: float = 0.7, remove: float = 0.9, support: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
@@ -157,17 +198,19 @@ def sanitised_spans(docs: DataFrame, reach: int = 48, general: float = 0.7, remo
     Base spans come from the patterns. Terms of documents that hold an entity whose share of its information,
     by co-occurrence over all documents, reaches ``general`` are to be generalised, from ``remove`` on to be
     removed, wherever they stand outside base spans in documents that hold the entity. ``reach`` code points on either side
-    are an entity's context. Null text counts as empty; rows that repeat an id with
-    another text stay apart; equal rows get equal spans.
+    are an entity's context. A share equal to a threshold reaches it. Null text counts as empty; rows that repeat an id with
+    another text stay apart; equal rows get equal spans; an empty table gives no rows. The work on a text of any length
+    is in proportion to it: places are summed in blocks, and pieces are taken from chunks.
     """
     base = marked(docs, reach, id_col, text_col)
     near = written(occurrences(base, support), "near")
     pairs = disclosing(docs, near, base, general, remove, support, text_col, broadcast_terms)
     told = near.select("k", "id", F.explode("held.entity").alias("entity"), "terms").join(pairs, "entity").where(F.array_contains("terms", F.col("term")))
     told = told.groupBy("k", "id", "term").agg(F.max("kind").alias("kind")).groupBy(F.col("k").alias("t_k"), F.col("id").alias("t_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
-    held = base.where("text is not null").dropDuplicates(["k", "id"]).join(told, (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id")))
+    held = base.where("chunks is not null").dropDuplicates(["k", "id"]).join(told, (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id"))).withColumn("text", F.array_join("chunks", ""))
+    held = with_matches(held, "__terms", F.col("text"), TERM, lambda x: F.map_contains_key("told", F.lower(x)))
     free = lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-    hits = F.filter(F.transform(found(F.col("text"), TERM, F.col("told")), lambda x: F.struct(F.element_at("told", F.lower(x["value"])).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), free)
+    hits = F.transform(F.filter("__terms", free), lambda x: F.struct(F.element_at("told", F.lower(x["value"])).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     added = held.select(F.col("k").alias("of_k"), F.col("id").alias("of_id"), F.sort_array(hits).alias("added"))
     joined = base.join(added, (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
     return joined.select("k", "id", "base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("added"))
@@ -193,17 +236,9 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     spans = spans.groupBy(F.col("k").alias("__k")).agg(F.first(F.concat("base", "added")).alias("__spans"))
     df = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(spans, F.col("__key") == F.col("__k"), "left")
     ordered = F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    df = df.withColumn("__ordered", ordered)
-    text, tags = F.col(text_col), F.array(*(F.lit(t) for t in TAGS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        piece = F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    new = F.aggregate("__ordered", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
-    df = df.withColumn("__new", F.when(F.col("__spans").isNotNull(), new).otherwise(text))
+    df = df.withColumns({"__ordered": ordered, "__chunks": F.when(F.col("__spans").isNotNull(), chunks_of(F.col(text_col)))})
+    new = overlaid("__chunks", "__ordered", lambda s: F.get(F.array(*map(F.lit, TAGS)), s["kind"]))
+    df = df.withColumn("__new", F.when(F.col("__spans").isNotNull(), new).otherwise(F.col(text_col)))
     out = []
     for c, kind in docs.dtypes:
         if c == text_col:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from basketwise.llm.pii import digests, sanitised
 
@@ -82,3 +83,33 @@ def test_far_short_and_second_mentions(spark):
             assert f"removed:{at}:{at + 3}" in got[i]
     assert all(got[i] == [""] for i in range(6, 66))
     assert all(f"removed:{len(texts[i]) - 3}:{len(texts[i])}" in got[i] for i in range(66, 70))
+
+
+def test_dotted_capital_and_kinds_of_terms(spark):
+    """A name whose lower case has one more code point is found as well; numbers and codes are told apart from words."""
+    texts = [f"{prose(i, 12)} İstanbullu at zed@corp.example {prose(100 + i, 10)}" for i in range(6)] + [f"{prose(400 + i, 30)} contact" for i in range(60)]
+    df = documents(spark, texts)
+    got = {r["doc_id"]: r["spans"].split(",") for r in digests(df).collect()}
+    for i in range(6):
+        at = texts[i].index("İstanbullu")
+        assert f"removed:{at}:{at + 10}" in got[i]
+    assert all("İstanbullu" not in r["text"] for r in sanitised(df).collect())
+    often = [f"{prose(i, 12)} {'Zorro 4711 zx7' if i < 20 else ''} {'zed@corp.example' if i < 6 else ''} {prose(100 + i, 10)}" for i in range(400)]
+    out = {r["doc_id"]: r["text"] for r in sanitised(documents(spark, often)).collect()}
+    assert all("<WORD> <NUMBER> <CODE>" in out[i] and "Zorro" not in out[i] for i in range(6)) and "Zorro 4711 zx7" in out[19]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Hundreds of thousands of numbers, and spans by the thousand over many chunks."""
+    numbers = " ".join(str(7919 * i % 10**9) for i in range(200_000))
+    cards = "é🙂 4111 1111 1111 1111 a@b.cc, " * 3000
+    texts = [numbers, cards, "x" * 4090 + " a@b.cc " + "y" * 4090 + " +123456789", "5" * 20_000]
+    began = time.time()
+    got = {r["doc_id"]: r for r in digests(documents(spark, texts)).collect()}
+    out = {r["doc_id"]: r["text"] for r in sanitised(documents(spark, texts)).collect()}
+    assert time.time() - began < 120
+    for i, t in enumerate(texts):
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t))
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert out[0] == texts[0] and out[1].count("<CARD>") == 3000 and out[1].count("<EMAIL>") == 3000 and "4111" not in out[1]
+    assert out[2] == texts[2].replace("a@b.cc", "<EMAIL>").replace("+123456789", "<PHONE>")
