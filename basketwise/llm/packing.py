@@ -224,13 +224,25 @@ class Index:
         _, at, df = np.unique(term, return_inverse=True, return_counts=True)
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
         order = np.argsort(at, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
+        self.doc, self.weight, self.term = doc[order], weight[order], at[order]
         self.first = np.concatenate(([0], np.cumsum(df)))
         self.terms, self.of = at, np.searchsorted(doc, np.arange(n + 1))
+        self.range = np.arange(len(doc))
+
+    def leave(self, used: np.ndarray) -> None:
+        """Forget the postings of used documents."""
+        kept = ~used[self.doc]
+        self.doc, self.weight, self.term = self.doc[kept], self.weight[kept], self.term[kept]
+        self.first = np.searchsorted(self.term, np.arange(len(self.first)))
 
     def scores(self, seed: int) -> np.ndarray:
         """Of each tail for all terms of the seed."""
-        posts, _ = gathered(np.arange(len(self.doc)), self.first, self.terms[self.of[seed] : self.of[seed + 1]])
+        terms = self.terms[self.of[seed] : self.of[seed + 1]]
+        begin = self.first[terms]
+        sizes = self.first[terms + 1] - begin
+        ends = np.cumsum(sizes)
+        posts = np.repeat(begin - ends + sizes, sizes)
+        posts += self.range[: len(posts)]
         return np.bincount(self.doc[posts], self.weight[posts], self.n)
 
 
@@ -251,7 +263,7 @@ def fill(tails: list[np.ndarray], end_id: int, window: int, idf: np.ndarray, mea
         return out
     index = Index(tails, end_id, idf, mean)
     sizes = [len(x) for x in tails]
-    used = np.zeros(len(tails), bool)
+    used, held = np.zeros(len(tails), bool), len(tails)
     fresh, sequence = 0, 0
     rest: tuple[int, int] | None = None
 
@@ -276,6 +288,9 @@ def fill(tails: list[np.ndarray], end_id: int, window: int, idf: np.ndarray, mea
             if not room:
                 break
             if ranked is None:
+                if 2 * np.count_nonzero(~used) < held:
+                    held = np.count_nonzero(~used)
+                    index.leave(used)
                 score = index.scores(seed)
                 score[used] = 0
                 best = np.flatnonzero(score)
@@ -290,7 +305,7 @@ def fill(tails: list[np.ndarray], end_id: int, window: int, idf: np.ndarray, mea
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, docs_a_shard: int = 1024, part_tokens: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, docs_a_shard: int = 512, part_tokens: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, with
     ``keep_ids`` also ``ids`` (little-endian unsigned 32-bit numbers).
 
