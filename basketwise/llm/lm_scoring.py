@@ -108,12 +108,12 @@ def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts by column, in as few bytes each as the largest needs."""
-    return counts.T.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+    """Counts by column, in as few bytes each as the largest needs; of most only the first isn't 0."""
+    return planes(counts.T.astype(np.min_scalar_type(int(counts.max(initial=0)))).reshape(-1))
 
 
 def unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // max(rows * width, 1) or 1}").reshape(width, rows).T.astype(np.int64)
+    return numbers(data, f"<u{len(data) // max(rows * width, 1) or 1}").reshape(width, rows).T.astype(np.int64)
 
 
 def asked(table: DataFrame, parts: int, kind: int) -> DataFrame:
@@ -174,7 +174,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: floa
     back to the blocks; nothing but sums reaches the driver. Words and pairs are told apart by 64-bit hashes. Target ids
     are broadcast if at most ``broadcast_ids``, else texts and ids shuffle. Documents without words (null, empty)
     have null bits and score; without a target document both models are alike and scores 0. Null and unknown ids in
-    ``target_ids`` have no effect; repeated rows each count and each give a row.
+    ``target_ids`` have no effect; repeated rows each count and each give a row; very long texts are whole, in a
+    block of their own; an empty table gives no rows; other columns of ``docs`` play no part.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = written(target_ids.toDF("__target").where("__target is not null").distinct(), "target")
