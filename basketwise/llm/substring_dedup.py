@@ -89,8 +89,39 @@ def flags(words: Words, column: pa.Array, size: int) -> np.ndarray:
     return out
 
 
+def told_apart(full: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes of a block (with ``other`` as their second half) those that occur in it more than once, and of each
+    such the first."""
+    order = np.argsort(full, kind="stable") if other is None else np.lexsort((other, full))
+    same = np.zeros(len(full) + 1, bool)
+    same[1:-1] = full[order[1:]] == full[order[:-1]]
+    if other is not None:
+        same[1:-1] &= other[order[1:]] == other[order[:-1]]
+    sure, head = np.zeros(len(full), bool), np.zeros(len(full), bool)
+    sure[order] = same[1:] | same[:-1]
+    head[order] = same[1:] & ~same[:-1]
+    return sure, head
+
+
+def found_lists(words: Words, at: np.ndarray, full: np.ndarray, n: int, other: np.ndarray | None = None) -> list[pa.Array]:
+    """Lists for the ``n`` texts of a block: ``hash`` and ``place`` of what the block has once, ``sure``, places of what
+    it has more often, and ``shared``, the hashes of the latter, once. So a line that stands everywhere leaves a
+    block once, and makes no key large."""
+    sure, head = told_apart(full, other)
+    of = words.row[at]
+    place = at - words.first[of]
+    pick = lambda mask, values, kind: lists(values[mask], of[mask], n, kind)
+    own = full.view(np.int64)
+    out = [pick(~sure, own, pa.int64()), pick(~sure, place, pa.int32()), pick(sure, place, pa.int32()), pick(head, own, pa.int64())]
+    return out if other is None else [*out, pick(~sure, other, pa.int32()), pick(head, other, pa.int32())]
+
+
+LISTS = ["hash", "place", "sure", "shared"]
+KINDS = "hash array<long>, place array<int>, sure array<int>, shared array<long>"
+
+
 def first_level(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """Per document: its key, number of words, digest of all words, and its representatives."""
+    """Per document: its key, number of words, digest of all words, and its representatives (see ``found_lists``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
@@ -99,14 +130,12 @@ def first_level(docs: DataFrame, length: int, width: int) -> DataFrame:
                 words = Words(part.column("text"))
                 hashes = words.hashes(pw)
                 short, _, used = anchors(words, hashes, length, width, within(words, width), pw)
-                of = words.row[used]
                 raw = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
                 sha = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in raw]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), pa.array(words.counts, pa.int64()), pa.array(sha), lists(short[used].view(np.int64), of, n, pa.int64()), lists(used - words.first[of], of, n, pa.int32())], ["k", "id", "n_words", "sha", "hash", "place"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), pa.array(words.counts, pa.int64()), pa.array(sha), *found_lists(words, used, short[used], len(part))], ["k", "id", "n_words", "sha", *LISTS])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"k long, id {kind}, n_words long, sha string, hash array<long>, place array<int>")
+    return docs.mapInArrow(run, f"k long, id {kind}, n_words long, sha string, {KINDS}")
 
 
 def next_level(held: DataFrame, before: int, length: int, width: int) -> DataFrame:
@@ -120,12 +149,10 @@ def next_level(held: DataFrame, before: int, length: int, width: int) -> DataFra
                 hashes = words.hashes(pw)
                 begin = surviving(words, hashes, before, width, part.column("alive"), pw)
                 short, _, used = anchors(words, hashes, length, width, begin, pw)
-                of = words.row[used]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), lists(short[used].view(np.int64), of, n, pa.int64()), lists(used - words.first[of], of, n, pa.int32())], ["k", "id", "text", "hash", "place"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), *found_lists(words, used, short[used], len(part))], ["k", "id", "text", *LISTS])
 
     kind = dict(held.dtypes)["id"]
-    return held.mapInArrow(run, f"k long, id {kind}, text string, hash array<long>, place array<int>")
+    return held.mapInArrow(run, f"k long, id {kind}, text string, {KINDS}")
 
 
 def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive: pa.Array, pw: Powers) -> np.ndarray:
@@ -139,9 +166,8 @@ def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive:
 
 
 def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
-    """Per document: text, windows of the full width that its task has seen once (``hash``, ``place``), places
-    of those seen more often (``sure``), and the hashes of the latter once a task and block (``shared``). Here, where
-    words are judged, two independent hashes (``hash`` and ``other``, 128 bits) tell windows apart."""
+    """Per document: text and windows of the full width as ``found_lists`` gives them. Here, where words are judged,
+    96 bits of two hashes (``hash`` and ``other``) tell windows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw = Powers()
@@ -151,36 +177,26 @@ def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
                 hashes = words.hashes(pw)
                 begin = np.flatnonzero(surviving(words, hashes, before, width, part.column("alive"), pw))
                 full, other = (every_window(hashes, width, pw, seed)[begin] if len(begin) else np.zeros(0, np.uint64) for seed in (width, width + 1013))
-                order = np.lexsort((other, full))
-                same = np.zeros(len(full) + 1, bool)
-                same[1:-1] = (full[order[1:]] == full[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
-                sure, head = np.zeros(len(full), bool), np.zeros(len(full), bool)
-                sure[order] = same[1:] | same[:-1]
-                head[order] = same[1:] & ~same[:-1]
-                of, place, n = words.row[begin], begin - words.first[words.row[begin]], len(part)
-                pick = lambda mask, values, kind: lists(values[mask], of[mask], n, kind)
-                own, second = full.view(np.int64), other.view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), pick(~sure, own, pa.int64()), pick(~sure, second, pa.int64()), pick(~sure, place, pa.int32()), pick(sure, place, pa.int32()), pick(head, own, pa.int64()), pick(head, second, pa.int64())], ["k", "id", "text", "hash", "other", "place", "sure", "shared", "shared_other"])
+                other = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), *found_lists(words, begin, full, len(part), other)], ["k", "id", "text", *LISTS, "other", "shared_other"])
 
     kind = dict(held.dtypes)["id"]
-    return held.mapInArrow(run, f"k long, id {kind}, text string, hash array<long>, other array<long>, place array<int>, sure array<int>, shared array<long>, shared_other array<long>")
+    return held.mapInArrow(run, f"k long, id {kind}, text string, {KINDS}, other array<int>, shared_other array<int>")
 
 
 def places(level: DataFrame) -> DataFrame:
-    """``(of_k, of_id, alive)``: each document's places whose hash is repeated somewhere.
-
-    Hashes are counted with sums before the shuffle. The repeated ones are written before they are joined: AQE can
-    then split what one of them, a line that stands everywhere, brings to a task.
-    """
-    last = "shared" in level.columns
+    """``(of_k, of_id, alive)``: each document's places whose hash is repeated somewhere, but for those that are sure
+    in the last level (they stay in its rows). Hashes are counted with sums before the shuffle."""
+    last = "other" in level.columns
     key = ["hash", "other"] if last else ["hash"]
     spread = level.select("k", "id", F.explode(F.arrays_zip(*key, "place")).alias("x")).select("k", "id", *(f"x.{c}" for c in (*key, "place")))
-    counted = spread.select(*key, F.lit(1).alias("n"))
-    if last:
-        shared = level.select(F.explode(F.arrays_zip("shared", "shared_other")).alias("x"))
-        counted = counted.unionByName(shared.select(F.col("x.shared").alias("hash"), F.col("x.shared_other").alias("other"), F.lit(2).alias("n")))
-    often = written(counted.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key), "repeated")
-    return spread.join(often, key, "left_semi").groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
+    shared = level.select(F.explode(F.arrays_zip(*(["shared", "shared_other"] if last else ["shared"]))).alias("x")).select(*(F.col(f"x.{a}").alias(b) for a, b in zip(("shared", "shared_other"), key)), F.lit(2).alias("n"))
+    counted = spread.select(*key, F.lit(1).alias("n")).unionByName(shared)
+    often = counted.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key)
+    alive = spread.join(often, key, "left_semi").select("k", "id", "place")
+    if not last:
+        alive = alive.unionByName(level.select("k", "id", F.explode("sure").alias("place")))
+    return alive.groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
