@@ -21,6 +21,16 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _NONE = np.int64(1) << 40
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE with these words: else its ids can't be found this way."""
+    model, way = spec["model"], spec.get("pre_tokenizer") or {}
+    return (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and way.get("type") == "ByteLevel" and way.get("use_regex", True) and not way.get("add_prefix_space") and not spec.get("normalizer")
+        and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "normalized", "single_word"))
+    )
+
+
 def byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,6 +51,7 @@ class PairIndexBPE:
     def __init__(self, path: str, most_bytes: int = 24 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.byte_level = byte_level(spec)
         vocab = spec["model"]["vocab"]
         to_byte = byte_characters()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -140,7 +151,7 @@ class PairIndexBPE:
 
     def words(self, text: str) -> list:
         """The words of a text; a special string is ``("", string)``."""
-        if self.cut is None or "<" not in text or not self.cut.search(text):
+        if self.cut is None or not self.cut.search(text):
             return self.word.findall(text)
         out = []
         for part in self.cut.split(text):
@@ -171,6 +182,8 @@ class PairIndexBPE:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more at the end)."""
+        if not self.byte_level:
+            raise ValueError("not a byte-level BPE vocabulary with the usual words")
         if self.table.full():
             self.forget()
         at, counts, new = self.table.numbers(texts)
@@ -228,7 +241,8 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
     """Encode and decode each whole text and return ``(id, n_tokens, ids_sha256, decoded_sha256)``.
 
     Ids and texts stay in the task that made them, so no shuffle and a few blocks of memory are needed.
-    A null text counts as empty; special strings in a text become their single id; repeated rows stay.
+    A null text counts as empty; special strings in a text become their single id; repeated rows stay; very long texts
+    are a block of their own; an empty table gives no rows; a vocabulary of another kind is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

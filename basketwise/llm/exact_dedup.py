@@ -47,8 +47,8 @@ def verdicts(docs: DataFrame, counters: int = 1024, id_col: str = "doc_id", text
     Texts are equal if identical; null counts as empty. Of equal texts the row with the largest id stays (of
     rows that repeat that id one; null ids are least). At most ``counters`` candidates, whatever the data,
     are verified by exact counts and broadcast; their groups are decided where the rows lie. Every other
-    group holds at most one row in ``counters + 1``; those shuffle by digest, with sums made before. An
-    empty table gives no rows.
+    group holds at most one row in ``counters + 1``; those shuffle by digest, with sums made before. Very long texts
+    are digested whole and never shuffle. An empty table gives no rows; other columns play no part.
     """
     ids = written(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     best = F.max(F.struct(F.col("id").isNotNull().alias("real"), "id", "row")).alias("best")

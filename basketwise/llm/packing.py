@@ -51,14 +51,14 @@ class WordEncoder:
     task is encoded once: words of plain Latin letters, nearly all, go through the pair index, the library
     encodes the rest. With any other tokenizer the library gets whole texts."""
 
-    def __init__(self, path: str, end_id: int, batch_chars: int = 256 << 10, most_bytes: int = 36 << 20):
+    def __init__(self, path: str, end_id: int, batch_bytes: int = 256 << 10, most_bytes: int = 36 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.end_id, self.batch_chars, self.most_bytes = end_id, batch_chars, most_bytes
+        self.end_id, self.batch_bytes, self.most_bytes = end_id, batch_bytes, most_bytes
         with open(path, encoding="utf-8") as f:
             self.parted = by_words(json.load(f))
         self.index = PairIndexBPE(path) if self.parted else None
@@ -71,7 +71,7 @@ class WordEncoder:
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts in a row, by the library, and how many each has."""
-        lists = [x.ids for batch in balanced(texts, self.batch_chars) for x in self.model.encode_batch_fast(batch, add_special_tokens=False)]
+        lists = [x.ids for batch in balanced(texts, self.batch_bytes) for x in self.model.encode_batch_fast(batch, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
     def learn(self, new: list[str]) -> None:

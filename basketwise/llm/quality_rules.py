@@ -86,7 +86,8 @@ def verdicts(docs: DataFrame, most: float = 0.5, id_col: str = "doc_id", text_co
     repeated windows) and its host passes: none of the host's shrunk failure rates (the base rules, many
     symbols, many repeated lines) may exceed ``most``. A null text has no words and fails; a document
     without a host is judged by itself; repeated rows each count and each give a row; an empty table gives
-    none. The measures, a few numbers a document, are written once and read for hosts and documents.
+    none; a very long text is measured whole, inside its row; other columns play no part. A rate equal to ``most`` passes. The
+    measures, a few numbers a document, are written once and read for hosts and documents.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
     features = written(measured(source).drop("text").withColumn("base_failed", base_failed()), "features")

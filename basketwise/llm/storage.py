@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a session with local tasks gets one of its own;
+    on a cluster it is an error, as executors don't share local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="basketwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -17,14 +17,15 @@ from .words import blocks
 
 
 def balanced(strings: list[str], limit: int) -> Iterator[list[str]]:
-    """Batches of about ``limit`` characters; a longer string stands alone."""
+    """Batches of about ``limit`` bytes in UTF-8; a longer string stands alone."""
     held, size = [], 0
     for s in strings:
-        if held and size + len(s) > limit:
+        own = 8 + (len(s) if s.isascii() else len(s.encode()))
+        if held and size + own > limit:
             yield held
             held, size = [], 0
         held.append(s)
-        size += len(s) + 8
+        size += own
     if held:
         yield held
 
@@ -33,12 +34,13 @@ class LibraryCounter:
     """Counts with ``tokenizers`` for ``.json`` files and ``sentencepiece`` for ``.model`` files.
 
     Byte-level vocabularies with the usual word pattern let texts be split at single spaces (see
-    ``pieces``), so each distinct part of a task is encoded once; others get whole texts.
+    ``pieces``), so a long text comes in parts and each distinct part of a task is encoded once. Nowhere else is a split
+    known to be safe, so other vocabularies get whole texts.
     """
 
-    def __init__(self, path: str, batch_chars: int = 256 << 10, most_bytes: int = 24 << 20):
+    def __init__(self, path: str, batch_bytes: int = 256 << 10, most_bytes: int = 24 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.batch_chars = batch_chars
+        self.batch_bytes = batch_bytes
         self.split = False
         if path.endswith(".model"):
             import sentencepiece
@@ -60,7 +62,7 @@ class LibraryCounter:
         self.counts = np.zeros(0, np.int64)
 
     def solve(self, strings: list[str]) -> np.ndarray:
-        return np.array([n for batch in balanced(strings, self.batch_chars) for n in self.lengths(batch)], np.int64)
+        return np.array([n for batch in balanced(strings, self.batch_bytes) for n in self.lengths(batch)], np.int64)
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         if not self.split:
@@ -81,7 +83,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
 
     Blocks of rows are balanced by bytes and so are the batches given to the library. A null text counts as
     empty (0 tokens); special strings inside texts are handled as the library does by default; a text of any
-    length is counted whole; repeated rows each give a row.
+    length is counted whole; repeated rows each give a row, an empty table none; other columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

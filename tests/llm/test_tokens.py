@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from basketwise.llm.bpe import PairIndexBPE, decode, encode, round_trip_digests
 from basketwise.llm.pieces import parts, string
-from basketwise.llm.token_counts import LibraryCounter, token_counts
+from basketwise.llm.token_counts import LibraryCounter, balanced, token_counts
 
 from .helpers import documents, prose
 
@@ -60,3 +60,26 @@ def test_tables_start_anew_when_full():
         assert small.encode([text])[0].tolist() == ids(text)
     with pytest.raises(KeyError):
         PairIndexBPE(public_tokenizers.path("word_bpe_49k.json")).special["none"]
+
+
+def test_other_vocabularies(spark):
+    """SentencePiece files and vocabularies that can't be split get whole texts; the pair index refuses them."""
+    import sentencepiece
+
+    df = documents(spark, ODD)
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df, public_tokenizers.path("piece_bpe_32k.model"), block_bytes=64).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in enumerate(ODD)}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    assert not LibraryCounter(path).split
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, path).collect()} == {i: len(other.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+    with pytest.raises(ValueError):
+        PairIndexBPE(path).encode(["a"])
+
+
+def test_batches_are_balanced_by_bytes():
+    strings = ["a" * 40, "é" * 40, "日" * 40, "b" * 500, "c"] * 4
+    got = list(balanced(strings, 200))
+    assert [s for batch in got for s in batch] == strings
+    assert all(len(batch) == 1 or sum(len(s.encode()) + 8 for s in batch) <= 200 for batch in got)
