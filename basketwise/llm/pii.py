@@ -123,8 +123,10 @@ def overlaid(chunks: str, spans: str, mark) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    """The distinct terms of a text in lower case: each by itself, as a letter's lower case may be no term."""
-    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+    """The distinct terms of a text in lower case. Two letters depend on what stands beside them, or become what is
+    no term: texts with these are lowered term by term, as ``with_matches`` does, all others at once."""
+    every = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)))
+    return F.when(text.rlike("[\u0130\u03a3]"), F.array_distinct(F.transform(every(text), F.lower))).otherwise(every(F.lower(text)))
 
 
 def marked(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
