@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import written
@@ -186,14 +187,14 @@ def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
 
 def places(level: DataFrame) -> DataFrame:
     """``(of_k, of_id, alive)``: each document's places whose hash is repeated somewhere, but for those that are sure
-    in the last level (they stay in its rows). Hashes are counted with sums before the shuffle."""
+    in the last level (they stay in its rows). A hash leaves a block at most once, so one shuffle brings what is
+    counted and what is told of it together."""
     last = "other" in level.columns
     key = ["hash", "other"] if last else ["hash"]
     spread = level.select("k", "id", F.explode(F.arrays_zip(*key, "place")).alias("x")).select("k", "id", *(f"x.{c}" for c in (*key, "place")))
     shared = level.select(F.explode(F.arrays_zip(*(["shared", "shared_other"] if last else ["shared"]))).alias("x")).select(*(F.col(f"x.{a}").alias(b) for a, b in zip(("shared", "shared_other"), key)), F.lit(2).alias("n"))
-    counted = spread.select(*key, F.lit(1).alias("n")).unionByName(shared)
-    often = counted.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key)
-    alive = spread.join(often, key, "left_semi").select("k", "id", "place")
+    every = spread.withColumn("n", F.lit(1)).unionByName(shared, allowMissingColumns=True)
+    alive = every.withColumn("n", F.sum("n").over(W.partitionBy(*key))).where((F.col("n") > 1) & F.col("place").isNotNull()).select("k", "id", "place")
     if not last:
         alive = alive.unionByName(level.select("k", "id", F.explode("sure").alias("place")))
     return alive.groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
