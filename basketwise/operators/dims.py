@@ -28,11 +28,31 @@ def _sums() -> list[Column]:
     return [F.sum(n).cast("long").alias(n) for n in COUNTS.values()]
 
 
-def user_activity(log: DataFrame) -> DataFrame:
+def user_days(log: DataFrame) -> DataFrame:
+    """A row for each user and day: counts by part of the day, first, last and distinct times, last buy. All that is known
+    of users over time is summed from it."""
     hour = F.hour("time")
-    share = lambda a, b: F.count_if(hour.between(a, b)) / F.count("*")
-    flag = [F.bool_or("is_power_user").alias("is_power_user")] if "is_power_user" in log.columns else [F.lit(False).alias("is_power_user")]
-    return log.groupBy("user_id").agg(F.count_distinct(F.to_date("time")).alias("active_days"), F.min("time").alias("first_active_time"), F.max("time").alias("last_active_time"), share(6, 17).alias("day_pct"), share(18, 23).alias("evening_pct"), share(0, 5).alias("night_pct"), *flag)
+    flag = F.bool_or("is_power_user") if "is_power_user" in log.columns else F.lit(False)
+    buy = F.max(F.when(F.col("behavior_type") == 4, F.col("time")))
+    # times are put together first: counts of distinct ones are then plain counts
+    times = log.groupBy("user_id", "time").agg(F.count("*").alias("n"), flag.alias("is_power_user"), buy.alias("last_buy"))
+    total = lambda a, b: F.sum(F.when(hour.between(a, b), F.col("n")).otherwise(0))
+    return times.groupBy("user_id", F.to_date("time").alias("d")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_times"), F.min("time").alias("first"), F.max("time").alias("last"), F.max("last_buy").alias("last_buy"),
+        total(6, 17).alias("n_day"), total(18, 23).alias("n_evening"), total(0, 5).alias("n_night"), F.bool_or("is_power_user").alias("is_power_user"),
+    )
+
+
+def activity_of(days: DataFrame) -> DataFrame:
+    share = lambda part: F.sum(part) / F.sum("n")
+    return days.groupBy("user_id").agg(
+        F.count("*").alias("active_days"), F.min("first").alias("first_active_time"), F.max("last").alias("last_active_time"),
+        share("n_day").alias("day_pct"), share("n_evening").alias("evening_pct"), share("n_night").alias("night_pct"), F.bool_or("is_power_user").alias("is_power_user"),
+    )
+
+
+def user_activity(log: DataFrame) -> DataFrame:
+    return activity_of(user_days(log))
 
 
 def user_funnel(pair: DataFrame) -> DataFrame:

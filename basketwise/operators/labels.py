@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import ranked
+
 
 def window_labels(log: DataFrame, days: int = 7) -> DataFrame:
     """Pairs with a view, favourite or cart; label: a buy after the last of these, at most ``days`` later.
@@ -35,39 +36,28 @@ def with_stratum(df: DataFrame, special: list[str]) -> DataFrame:
 
 def stratified_split(df: DataFrame) -> DataFrame:
     """7:2:1 by time within each stratum. Of one row train, of two train and val; else test and val get a rounded
-    tenth and two tenths, at least one row each, train the earliest rest."""
-    order = W.partitionBy("stratum").orderBy("last_time", "user_id", "item_id")
-    n = F.count("*").over(W.partitionBy("stratum"))
-    df = df.withColumns({"__i": F.row_number().over(order), "__n": n})
+    tenth and two tenths, at least one row each, train the earliest rest. A stratum of any size is ranked by ranges."""
+    df = ranked(df, ["last_time", "user_id", "item_id"], "__i", ("stratum",), "__n")
     test, val = F.greatest(F.lit(1.0), F.rint(F.col("__n") * 0.1)), F.greatest(F.lit(1.0), F.rint(F.col("__n") * 0.2))
     full = test + val >= F.col("__n")
     df = df.withColumns({"__t": F.when(full, 1.0).otherwise(test), "__v": F.when(full, 1.0).otherwise(val)})
     rest = F.col("__n") - F.col("__t") - F.col("__v")
-    split = F.when(F.col("__n") == 1, "train").when(F.col("__n") == 2, F.when(F.col("__i") == 1, "train").otherwise("val")).when(F.col("__i") <= rest, "train").when(F.col("__i") <= rest + F.col("__v"), "val").otherwise("test")
+    first = F.when(F.col("__n") == 1, "train").when(F.col("__n") == 2, F.when(F.col("__i") == 1, "train").otherwise("val"))
+    split = first.when(F.col("__i") <= rest, "train").when(F.col("__i") <= rest + F.col("__v"), "val").otherwise("test")
     return df.withColumn("split", split).drop("__i", "__n", "__t", "__v")
 
 
-def ranked(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Positions from 1 in the whole table's order, without one task for all rows: ranges are sorted side by side,
-    and each is moved on by the sizes of those before it (one row a range)."""
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    own = part.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    sizes = part.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))
-    return own.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
-
-
 def global_split(df: DataFrame, train: float = 0.7, val: float = 0.2) -> DataFrame:
     """By time over all rows, at the truncated shares."""
-    total = df.agg(F.count("*").alias("__n"))
-    at = ranked(df, ["last_time", "user_id", "item_id"]).join(F.broadcast(total))
+    at = ranked(df, ["last_time", "user_id", "item_id"], size="__n")
     cut = lambda x: F.floor(F.col("__n") * F.lit(x))
-    return at.withColumn("split", F.when(F.col("position") <= cut(train), "train").when(F.col("position") <= cut(train + val), "val").otherwise("test")).drop("__n", "position")
+    split = F.when(F.col("position") <= cut(train), "train").when(F.col("position") <= cut(train + val), "val").otherwise("test")
+    return at.withColumn("split", split).drop("__n", "position")
 
 
 def tune_split(df: DataFrame, val_share: float = 0.2) -> DataFrame:
     """Within each stratum the latest rounded share is val, at least a row of each; single rows are train."""
-    order = W.partitionBy("stratum").orderBy("last_time", "user_id", "item_id")
-    n = F.count("*").over(W.partitionBy("stratum"))
+    df = ranked(df, ["last_time", "user_id", "item_id"], "__i", ("stratum",), "__n")
+    n = F.col("__n")
     cut = F.least(F.greatest(F.rint(n * (1 - val_share)), F.lit(1.0)), n - 1.0)
-    return df.withColumn("split", F.when((n < 2) | (F.row_number().over(order) <= cut), "train").otherwise("val"))
+    return df.withColumn("split", F.when((n < 2) | (F.col("__i") <= cut), "train").otherwise("val")).drop("__i", "__n")

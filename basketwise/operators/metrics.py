@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .dims import rate
+from .ranges import quantile_row, quantiles, ranked, running
 
+#: The thresholds of the sweep and the edges of the calibration bins.
 THRESHOLDS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 CALIBRATION = (0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 1.0)
 
@@ -48,9 +50,7 @@ def best_threshold(df: DataFrame, thresholds=THRESHOLDS, score: str = "score") -
 def curve(df: DataFrame, score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """``(keys, s, pos, neg, tp, fp, n_pos, n_neg)``: a row for each distinct score, sums from the highest down."""
     own = df.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    w = W.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*keys)
-    return own.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "n_pos": F.sum("pos").over(every), "n_neg": F.sum("neg").over(every)})
+    return running(own, [F.desc("s")], {"tp": "pos", "fp": "neg"}, {"n_pos": "pos", "n_neg": "neg"}, keys)
 
 
 def ranking(df: DataFrame, score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -75,9 +75,8 @@ def predictions(df: DataFrame, threshold: float, score: str = "score") -> DataFr
 def percentile_rank(df: DataFrame, score: str, name: str) -> DataFrame:
     """Average rank over n: from a table of distinct scores, joined back."""
     own = df.groupBy(score).agg(F.count("*").alias("__c"))
-    w = W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)
-    ranks = own.withColumns({"__u": F.sum("__c").over(w), "__n": F.sum("__c").over(W.partitionBy())}).select(score, ((F.col("__u") - (F.col("__c") - 1) / 2.0) / F.col("__n")).alias(name))
-    return df.join(ranks, score)
+    placed = running(own, [score], {"__u": "__c"}, {"__n": "__c"})
+    return df.join(placed.select(score, ((F.col("__u") - (F.col("__c") - 1) / 2.0) / F.col("__n")).alias(name)), score)
 
 
 def segment_metrics(df: DataFrame, segments: dict[str, Column | None], threshold: float, score: str = "score") -> DataFrame:
@@ -91,8 +90,8 @@ def segment_metrics(df: DataFrame, segments: dict[str, Column | None], threshold
 def bottom_entities(df: DataFrame, entity: str, feature: str, fraction: float = 0.2) -> DataFrame:
     """The ``ceil(fraction * n)`` entities of least feature, ties by id; nulls are left out."""
     own = df.where(F.col(entity).isNotNull() & F.col(feature).isNotNull()).groupBy(entity).agg(F.min(feature).alias("v"))
-    ranked = own.withColumns({"r": F.row_number().over(W.orderBy("v", entity)), "n": F.count("*").over(W.partitionBy())})
-    return ranked.where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(fraction)))).select(entity)
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(fraction)))
+    return ranked(own, ["v", entity], "r", size="n").where(F.col("r") <= least).select(entity)
 
 
 def cold_and_tail(df: DataFrame, threshold: float, user_col: str = "user_pv_count", item_col: str = "item_pv_count") -> DataFrame:
@@ -103,7 +102,7 @@ def cold_and_tail(df: DataFrame, threshold: float, user_col: str = "user_pv_coun
 
 
 def quantile_segments(df: DataFrame, threshold: float) -> DataFrame:
-    q = df.agg(*(F.percentile(c, F.lit(p)).alias(n) for n, c, p in (("q1", "user_pv_count", 0.25), ("q3", "user_pv_count", 0.75), ("t1", "item_pv_count", 1 / 3), ("t2", "item_pv_count", 2 / 3))))
+    q = quantile_row(df, {"q1": ("user_pv_count", 0.25), "q3": ("user_pv_count", 0.75), "t1": ("item_pv_count", 1 / 3), "t2": ("item_pv_count", 2 / 3)})
     u, i = F.col("user_pv_count"), F.col("item_pv_count")
     parts = {"users_low": u <= F.col("q1"), "users_mid": (u > F.col("q1")) & (u <= F.col("q3")), "users_high": u > F.col("q3"), "items_low": i <= F.col("t1"), "items_mid": (i > F.col("t1")) & (i <= F.col("t2")), "items_high": i > F.col("t2")}
     return segment_metrics(df.join(F.broadcast(q)), parts, threshold)
@@ -148,8 +147,11 @@ def error_type(threshold: float) -> Column:
 
 
 def error_profile(df: DataFrame, threshold: float, features: list[str]) -> DataFrame:
-    own = df.groupBy(error_type(threshold).alias("error_type")).agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in (*features, "score") for n, f in (("mean", F.avg), ("median", F.median))))
-    return own
+    names = (*features, "score")
+    typed = df.withColumn("error_type", error_type(threshold))
+    own = typed.groupBy("error_type").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in names))
+    mids = quantiles(typed, list(names), [0.5], ("error_type",)).groupBy("error_type").agg(*(F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(f"median_{c}") for c in names))
+    return own.join(mids, "error_type", "left")
 
 
 def error_samples(df: DataFrame, threshold: float, n: int = 200) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, sampling
-
+from .ranges import ranked
 
 
 def score_column():
@@ -49,10 +49,8 @@ def score(model, df: DataFrame, columns: list[str]) -> DataFrame:
 
 def with_folds(df: DataFrame, label: str, folds: int) -> DataFrame:
     """Stratified folds by rank within each class."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy(label).orderBy(sampling.spread(7), "user_id", "item_id"))
-    return df.withColumn("fold", F.pmod(rank, F.lit(folds)).cast("int"))
+    placed = ranked(df, [sampling.spread(7), "user_id", "item_id"], "__r", (label,))
+    return placed.withColumn("fold", F.pmod("__r", F.lit(folds)).cast("int")).drop("__r")
 
 
 def grid_search(df: DataFrame, columns: list[str], label: str, regs=(1.0, 0.1, 0.01, 0.001), folds: int = 3) -> list[dict]:
@@ -64,10 +62,10 @@ def grid_search(df: DataFrame, columns: list[str], label: str, regs=(1.0, 0.1, 0
     grid = ParamGridBuilder().addGrid(lr.regParam, list(regs)).build()
     ready = assembled(with_folds(sampling.weighted(df), label, folds), columns)
     found = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0), numFolds=folds, foldCol="fold").fit(ready)
-    return sorted(({"reg": r, "f1": f} for r, f in zip(regs, found.avgMetrics)), key=lambda x: -x["f1"])
+    return sorted(({"reg": float(r), "f1": float(f)} for r, f in zip(regs, found.avgMetrics)), key=lambda x: -x["f1"])
 
 
-def tune(train: DataFrame, val: DataFrame, columns: list[str], label: str, trials=((5, 3), (10, 3), (10, 5))) -> list[dict]:
+def tune(train: DataFrame, val: DataFrame, columns: list[str], label: str, trials=((20, 3), (20, 5), (50, 3))) -> list[dict]:
     """Boosted trees of each (rounds, depth), by average precision on the validation rows, best first."""
     out = []
     for rounds, depth in trials:
@@ -76,7 +74,7 @@ def tune(train: DataFrame, val: DataFrame, columns: list[str], label: str, trial
     return sorted(out, key=lambda x: -(x["average_precision"] or 0))
 
 
-def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int = 3, ratio: float = 0.25) -> DataFrame:
+def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int = 3, ratio: float = 0.25, rounds: int = 20, depth: int = 5) -> DataFrame:
     """Scores of a logistic and a boosted model, each row by models that have not seen its fold; negatives are
     thinned inside the fitted folds only."""
     own = with_folds(df, label, folds)
@@ -85,7 +83,7 @@ def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int = 3, r
         fit, rest = own.where(F.col("fold") != k), assembled(own.where(F.col("fold") == k), columns)
         thin = sampling.undersample(fit.withColumn("label", F.col(label)), ratio)
         line, _ = fit_logistic(thin, columns, label)
-        trees = fit_boosted(thin, columns, label, 3, 3)
+        trees = fit_boosted(thin, columns, label, rounds, depth)
         first = line.transform(rest).select("user_id", "item_id", label, "fold", vector_to_array("probability")[1].alias("score_logistic"))
         second = trees.transform(rest).select("user_id", "item_id", vector_to_array("probability")[1].alias("score_boosted"))
         parts.append(first.join(second, ["user_id", "item_id"]))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import quantile_row
+
 TIMES = ("first_active_time", "last_active_time")
 ZERO = ("item_decay_slope", "svd_score")
 MEDIAN = ("user_avg_interval_hours",)
@@ -21,7 +22,7 @@ def filled(df: DataFrame, zero=ZERO, median=MEDIAN) -> DataFrame:
     df = df.fillna(0, [c for c in zero if c in df.columns])
     if not own:
         return df
-    mids = df.agg(*(F.median(c).alias(f"__{c}") for c in own))
+    mids = quantile_row(df, {f"__{c}": (c, 0.5) for c in own})
     return df.join(F.broadcast(mids)).withColumns({c: F.coalesce(c, f"__{c}") for c in own}).drop(*(f"__{c}" for c in own))
 
 
@@ -56,7 +57,10 @@ def fit_parameters(wide: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     """Tables for serving: medians, each category's rate and the whole rate, and scales after filling."""
     y = (F.col("buy_path_type") > 0).cast("double")
     rates = wide.groupBy("item_category").agg(F.avg(y).alias("item_category_te"))
-    base = wide.agg(F.avg(y).alias("default_te"), *(F.median(c).alias(f"median_{c}") for c in MEDIAN if c in columns))
+    base = wide.agg(F.avg(y).alias("default_te"))
+    own = {f"median_{c}": (c, 0.5) for c in MEDIAN if c in columns}
+    if own:
+        base = base.join(F.broadcast(quantile_row(wide, own)))
     ready = _filled_and_encoded(wide, {"rates": rates, "base": base}, columns)
     return {"rates": rates, "base": base, "scales": scales(ready, columns)}
 

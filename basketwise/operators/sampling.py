@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .ranges import first_by, ranked
+
+WIDTH = 1000003
+TIES = ["user_id", "item_id"]
+
 
 def spread(seed: int) -> Column:
     """A fixed pseudo-random order of pairs that any engine can compute."""
-    return F.pmod(F.col("user_id") * 7919 + F.col("item_id") * 104729 + seed * 1299709, F.lit(1000003))
+    return F.pmod(F.col("user_id") * 7919 + F.col("item_id") * 104729 + seed * 1299709, F.lit(WIDTH))
 
 
 def allocations(counts: DataFrame, target: int, key: str = "stratum", n: str = "n") -> DataFrame:
@@ -35,31 +43,33 @@ def two_level_sample(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
     sizes = {r["label"]: r["allocated"] for r in checked_allocations(df.groupBy("label").agg(F.count("*").alias("n")), size, "label").collect()}
     counts = df.groupBy("label", "stratum").agg(F.count("*").alias("n"))
     parts = [allocations(counts.where(F.col("label") == k), v).withColumn("label", F.lit(k)) for k, v in sorted(sizes.items())]
-    share = reduce(DataFrame.unionByName, parts).select("label", "stratum", "allocated")
-    rank = F.row_number().over(W.partitionBy("label", "stratum").orderBy(spread(seed), "user_id", "item_id"))
-    return df.withColumn("__r", rank).join(share, ["label", "stratum"]).where("__r <= allocated").drop("__r", "allocated")
+    share = reduce(DataFrame.unionByName, parts).select("label", "stratum", F.col("allocated").alias("__take"))
+    return first_by(df, spread(seed), WIDTH, share, ("label", "stratum"), TIES)
 
 
 def class_sample(df: DataFrame, size: int, label: str, seed: int = 42) -> DataFrame:
     """Of each class ``max(1, int(size * n_c / n))`` rows."""
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
-    take = counts.join(F.broadcast(counts.agg(F.sum("__c").alias("__n")))).select(F.col(label).alias("__k"), F.greatest(F.lit(1), F.floor(F.lit(float(size)) * F.col("__c") / F.col("__n"))).alias("__take"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(spread(seed), "user_id", "item_id"))
-    return df.withColumn("__r", rank).join(F.broadcast(take), F.col(label) == F.col("__k")).where("__r <= __take").drop("__r", "__k", "__take")
+    whole = F.broadcast(counts.agg(F.sum("__c").alias("__n")))  # one row
+    take = counts.join(whole).select(label, F.greatest(F.lit(1), F.floor(F.lit(float(size)) * F.col("__c") / F.col("__n"))).alias("__take"))
+    return first_by(df, spread(seed), WIDTH, take, (label,), TIES)
+
+
+def _of_labels(df: DataFrame, n_pos: int, n_neg: int, seed: int) -> DataFrame:
+    take = df.sparkSession.createDataFrame([(1, n_pos), (0, n_neg)], f"label {dict(df.dtypes)['label']}, __take long")
+    return first_by(df, spread(seed), WIDTH, take, ("label",), TIES)
 
 
 def positive_sample(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """At most a fifth positives, the rest negatives."""
-    rank = F.row_number().over(W.partitionBy("label").orderBy(spread(seed), "user_id", "item_id"))
     n_pos = min(df.where("label = 1").count(), max(1, size // 5))
-    return df.withColumn("__r", rank).where(F.when(F.col("label") == 1, F.col("__r") <= n_pos).otherwise(F.col("__r") <= size - n_pos)).drop("__r")
+    return _of_labels(df, n_pos, size - n_pos, seed)
 
 
 def undersample(df: DataFrame, positive_ratio: float = 0.5, seed: int = 42) -> DataFrame:
     """All positives and so many negatives that positives are ``positive_ratio`` of the result."""
-    wanted = df.agg(F.floor(F.count_if(F.col("label") == 1) * (1 - positive_ratio) / positive_ratio + 1e-9).alias("__m"))
-    rank = F.row_number().over(W.partitionBy("label").orderBy(spread(seed), "user_id", "item_id"))
-    return df.withColumn("__r", rank).join(F.broadcast(wanted)).where("label = 1 or __r <= __m").drop("__r", "__m")
+    n_pos = df.where("label = 1").count()
+    return _of_labels(df, n_pos, math.floor(n_pos * (1 - positive_ratio) / positive_ratio + 1e-9), seed)
 
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -74,28 +84,46 @@ def weighted(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(w)).withColumn("weight", F.when(F.col("label") == 1, F.col("weight_1")).otherwise(F.col("weight_0"))).drop("weight_0", "weight_1")
 
 
-def smote(df: DataFrame, columns: list[str], positive_ratio: float = 0.5, k: int = 5, seed: int = 42, block: int = 200) -> DataFrame:
-    """Synthetic positives between a positive and one of its nearest, up to the ratio; no change if there are under
+def neighbours(pos: DataFrame, k: int, lines: int, reach: int, seed: int) -> DataFrame:
+    """``(nth, r, x, o)``: up to ``k`` near others of each row of ``pos`` (nth, x), r from 1. Rows are put in the order of their
+    projections on several random lines; those within ``reach`` places on any of them are compared, so the
+    work is in proportion to the rows."""
+    rng = random.Random(seed)
+    size = len(pos.select("x").first()["x"])
+    found = []
+    for _ in range(lines):
+        line = F.array(*(F.lit(rng.gauss(0, 1)) for _ in range(size)))
+        placed = ranked(pos.withColumn("on", F.aggregate(F.zip_with("x", line, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)), ["on", "nth"], "place")
+        steps = F.explode(F.array(*(F.lit(d) for d in range(-reach, reach + 1) if d)))
+        near = placed.withColumn("step", steps).withColumn("at", F.col("place") + F.col("step")).alias("a").join(placed.alias("b"), F.col("at") == F.col("b.place"))
+        found.append(near.select(F.col("a.nth").alias("nth"), F.col("a.x").alias("x"), F.col("b.nth").alias("other"), F.col("b.x").alias("o")))
+    every = reduce(DataFrame.unionByName, found).dropDuplicates(["nth", "other"])
+    gap = F.aggregate(F.zip_with("x", "o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    rank = F.row_number().over(W.partitionBy("nth").orderBy("gap", "other"))
+    return every.withColumn("gap", gap).withColumn("r", rank).where(F.col("r") <= k).select("nth", "r", "x", "o")
+
+
+def smote(df: DataFrame, columns: list[str], positive_ratio: float = 0.5, k: int = 5, seed: int = 42, lines: int = 4, reach: int = 12) -> DataFrame:
+    """Synthetic positives between a positive and one of its ``k`` nearest, up to the ratio; no change if there are under
     two positives or the ratio is reached.
 
-    Only the minority takes part: each positive meets all others in blocks (the work is the square of
-    the minority, which balancing keeps small), and the k nearest stay.
+    Each positive makes its share of the synthetic rows, the first ones one more, so no order over all is needed.
+    Neighbours are the nearest among those beside it on random ``lines`` (exact where positives are few).
     """
-    pos = df.where("label = 1").select("user_id", "item_id", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
-    n_pos, n = pos.count(), df.count()
+    own = df.where("label = 1").select(F.xxhash64("user_id", "item_id").alias("h"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    n_pos, n = own.count(), df.count()
     need = int((n - n_pos) * positive_ratio / (1 - positive_ratio)) - n_pos
     if n_pos < 2 or need <= 0:
         return df
-    k = min(k, n_pos - 1)
-    blocks = max(1, n_pos // block)
-    other = pos.withColumn("b", F.pmod(F.xxhash64("user_id", "item_id"), F.lit(blocks))).select("b", F.struct("user_id", "item_id", "x").alias("o"))
-    each = pos.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("b", F.col("b").cast("long")).join(other, "b").where((F.col("user_id") != F.col("o.user_id")) | (F.col("item_id") != F.col("o.item_id")))
-    gap = F.aggregate(F.zip_with("x", "o.x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = each.withColumn("gap", gap).withColumn("r", F.row_number().over(W.partitionBy("user_id", "item_id").orderBy("gap", "o.user_id", "o.item_id"))).where(F.col("r") <= k)
-    copies = -(-need // n_pos)
-    made = near.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).where(F.pmod(F.xxhash64("user_id", "item_id", "c", F.lit(seed)), F.lit(k)) + 1 == F.col("r"))
-    u = F.pmod(F.xxhash64("item_id", "user_id", "c", F.lit(seed + 1)), F.lit(1_000_000)) / 1e6
-    new = made.withColumn("u", u).withColumn("n", F.zip_with("x", "o.x", lambda a, b: a + F.col("u") * (b - a))).orderBy("c", "user_id", "item_id").limit(need)
+    pos = written(ranked(own, ["h", "x"], "nth").drop("h"), "positives")
+    near = written(neighbours(pos, min(k, n_pos - 1), lines, reach, seed), "neighbours")
+    known = near.groupBy("nth").agg(F.count("*").alias("k"))
+    share = F.lit(need // n_pos) + (F.col("nth") <= need % n_pos).cast("int")
+    copies = known.withColumn("c", F.explode(F.sequence(F.lit(1), share))) if need >= n_pos else known.where(F.col("nth") <= need).withColumn("c", F.lit(1))
+    made = copies.withColumn("r", (F.pmod(F.xxhash64("nth", "c", F.lit(seed)), F.col("k")) + 1).cast("int")).join(near, ["nth", "r"])
+    u = F.pmod(F.xxhash64("c", "nth", F.lit(seed + 1)), F.lit(1_000_000)) / 1e6
+    new = made.withColumn("u", u).withColumn("n", F.zip_with("x", "o", lambda a, b: a + F.col("u") * (b - a)))
     kinds = dict(df.dtypes)
-    rows = new.select(*((F.lit(1).cast(kinds[c]) if c == "label" else F.get("n", F.lit(columns.index(c))).cast("double") if c in columns else F.lit(None).cast(kinds[c])).alias(c) for c in df.columns))
+    value = lambda c: F.lit(1) if c == "label" else F.get("n", F.lit(columns.index(c))) if c in columns else F.lit(None)
+    rows = new.select(*(value(c).cast("double" if c in columns else kinds[c]).alias(c) for c in df.columns))
     return df.withColumns({c: F.col(c).cast("double") for c in columns}).unionByName(rows)

@@ -25,15 +25,23 @@ def user_history(log: DataFrame, size: int = 500_000) -> DataFrame:
 
 def sequences(samples: DataFrame, log: DataFrame, length: int = 50, size: int = 500_000) -> DataFrame:
     """Per sample the last ``length`` events strictly before ``last_time``, ascending, zero-padded on the right; gaps
-    in days, at most 30, over 30. Events meet their samples by user and only the last ones are gathered, so a
-    long history is never copied to each of a user's samples."""
-    events = log.select(F.col("user_id").alias("u"), "event_id", "time", item_hash(F.col("item_id"), size).alias("item"), category_index(F.col("item_category")).alias("category"), F.col("behavior_type").alias("behavior"))
+    in days, at most 30, over 30.
+
+    A user's events are numbered in time order. A sample's place among them comes from one merge of both by
+    time, and its events from their numbers: rows grow with samples times ``length``, not with a user's samples times
+    events.
+    """
+    events = log.select("user_id", "event_id", "time", item_hash(F.col("item_id"), size).alias("item"), category_index(F.col("item_category")).alias("category"), F.col("behavior_type").alias("behavior"))
+    numbered = events.withColumn("nth", F.row_number().over(W.partitionBy("user_id").orderBy("time", "event_id")))
     own = samples.select("user_id", "item_id", "last_time")
-    joined = own.join(events, (F.col("user_id") == F.col("u")) & (F.col("time") < F.col("last_time")), "left")
-    rank = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy(F.desc("time"), F.desc("event_id")))
-    last = joined.withColumn("r", rank).where(F.col("r") <= length)
+    # at equal times samples stand before events, so that only earlier events count
+    marks = own.select("user_id", F.col("last_time").alias("time"), F.lit(0).alias("is_event"), "item_id").unionByName(log.select("user_id", "time", F.lit(1).alias("is_event"), F.lit(None).cast("long").alias("item_id")))
+    before = F.sum("is_event").over(W.partitionBy("user_id").orderBy("time", "is_event").rowsBetween(W.unboundedPreceding, 0))
+    placed = marks.withColumn("n", before).where("is_event = 0").select("user_id", "item_id", F.col("time").alias("last_time"), "n")
+    wanted = placed.withColumn("nth", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.greatest(F.lit(1), F.col("n") - length + 1), F.col("n")).cast("array<int>"))))
+    last = wanted.join(numbered, ["user_id", "nth"], "left")
     days = (F.unix_seconds(F.col("last_time").cast("timestamp")) - F.unix_seconds(F.col("time").cast("timestamp"))) / 86400.0
-    event = F.when(F.col("u").isNotNull(), F.struct("time", "event_id", "item", "category", "behavior", (F.least(days, F.lit(30.0)) / 30.0).alias("gap")))
+    event = F.when(F.col("nth").isNotNull(), F.struct("nth", "item", "category", "behavior", (F.least(days, F.lit(30.0)) / 30.0).alias("gap")))
     out = last.groupBy("user_id", "item_id", "last_time").agg(F.sort_array(F.collect_list(event)).alias("e"))
     pad = lambda c, zero: F.slice(F.concat(F.col("e").getField(c), F.array_repeat(zero, length)), 1, length)
     return out.select("user_id", "item_id", "last_time", pad("item", F.lit(0).cast("long")).alias("items"), pad("category", F.lit(0)).alias("categories"), pad("behavior", F.lit(0)).alias("behaviors"), pad("gap", F.lit(0.0)).alias("gaps"), F.size("e").alias("seq_len"))

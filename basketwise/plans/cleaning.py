@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import clean, dims, filters, quality
 from ..sources import files, logs
+from ..sources.scratch import shared_dir
 from .base import DAILY, DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_C, LOG_D, LOG_H, PAIR, RAW, events, over, rounded
 
 TIMED = f"SELECT *, CASE WHEN event_id % 10 = 0 THEN 'x' WHEN event_id % 10 = 1 THEN strftime(ts, '%Y-%m-%d %H:30') ELSE strftime(ts, '%Y-%m-%d %H') END AS time_text FROM ({RAW.replace('SELECT event_id', 'SELECT ts, event_id')})"
@@ -65,7 +68,31 @@ def _missing(spark, d):
 
 COLUMNS = ("event_id", "user_id", "item_id", "item_category", "behavior_type", "time")
 
+def _csv(spark, d) -> str:
+    """The raw log as a CSV file with hours as text."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}.csv"
+    files.write_csv(logs.log_h(spark, d).select("user_id", "item_id", "item_category", "behavior_type", F.date_format("time", "yyyy-MM-dd HH").alias("time")), path)
+    return path
+
+
+def _sorted_parquet(spark, d) -> str:
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}.parquet"
+    files.key_sorted_parquet(dims.pairs(logs.log_h(spark, d)), path, "user_id", "item_id")
+    return path
+
+
+def _stored(spark, d):
+    path = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}.parquet"
+    files.write_parquet(dims.time_dim(logs.log_h(spark, d), "daily"), path)
+    return files.read_parquet(spark, path)
+
+
 QUERIES = {
+    "SRC1_SNK3_csv_scan": lambda s, d: files.read_log_csv(s, _csv(s, d)),
+    "SRC2_whole_csv": lambda s, d: files.read_table(s, _csv(s, d), schema="user_id long, item_id long, item_category int, behavior_type int, time string"),
+    "SNK1_parquet": _stored,
+    "SNK2_key_sorted": lambda s, d: files.read_table(s, _sorted_parquet(s, d)).select("user_id", "item_id", "buy_count"),
+    "PRJ2_downcast": lambda s, d: filters.downcast(rounded(dims.user_dim(logs.log_h(s, d)).select("user_id", "pv_count", "day_pct"), 3)),
     "SRC3_parquet_scan": lambda s, d: files.read_parquet(s, f"{d}/events.parquet").select("event_id", "user_id", "event_type"),
     "SRC4_suffix_scan": lambda s, d: files.read_table(s, f"{d}/orders.parquet").select("o_orderkey", "o_custkey"),
     "SRC5_batched_scan": lambda s, d: files.iter_batches(files.read_parquet(s, f"{d}/lineitem.parquet"), ["l_orderkey", "l_partkey", "l_quantity"]),
@@ -82,6 +109,7 @@ QUERIES = {
     "CLN9_gap_profile": lambda s, d: rounded(clean.gap_profile(logs.log_h(s, d), clean.outlier_users(logs.log_h(s, d)))),
     "CLN9_crawlers": lambda s, d: clean.crawlers(_crawler_log(s, d), _crawler_log(s, d).select("user_id").distinct()),
     "CLN10_flagged": lambda s, d: clean.flagged_outliers(logs.log_h(s, d)),
+    "DU8_power_users": lambda s, d: rounded(dims.user_dim(clean.flagged_outliers(logs.log_h(s, d)))),
     "CLN11_cleaning_stats": lambda s, d: clean.cleaning_stats(_timed(s, d)),
     "FLT1_dates_and_behaviours": lambda s, d: filters.by_date_and_behaviour(logs.log_h(s, d), "2024-01-05", "2024-01-15", [1, 4]),
     "FLT2_segment_and_categories": lambda s, d: filters.by_segment(logs.log_h(s, d), "mid", 3),
@@ -95,7 +123,7 @@ QUERIES = {
     "QLT5_cleaning_summary": lambda s, d: quality.cleaning_summary(clean.cleaning_stats(_timed(s, d))),
     "QLT6_duplicate_rates": lambda s, d: quality.duplicate_rates(logs.log_d(s, d)),
     "QLT7_power_users": lambda s, d: quality.power_users(clean.flagged_outliers(logs.log_h(s, d))),
-    "QLT8_missing_dates": lambda s, d: quality.missing_dates(logs.log_h(s, d).where(F.dayofmonth("time") % 3 != 0)),
+    "QLT8_missing_dates": lambda s, d: quality.missing_dates(logs.log_h(s, d)),
     "QLT8_date_coverage": lambda s, d: quality.date_coverage(logs.log_h(s, d)),
     "QLT9_primary_keys": _keys,
     "QLT10_conservation": lambda s, d: quality.conservation(logs.log_h(s, d), _dims(s, d)),
@@ -133,6 +161,15 @@ SQL = {
     "CLN8_without_outliers": over(LOG_H, "SELECT * FROM log WHERE user_id NOT IN (SELECT user_id FROM out)", fence=FENCE, out=OUTLIERS),
     "CLN9_gap_profile": over(LOG_H, "SELECT user_id, only_views, n_events, round(mean_gap, 6) AS mean_gap, round(std_gap, 6) AS std_gap, n_hours FROM gaps", fence=FENCE, out=OUTLIERS, gaps=GAPS),
     "CLN9_crawlers": over(CRAWLER_LOG, CRAWLERS, out="SELECT DISTINCT user_id FROM log", gaps=GAPS),
+    "SRC1_SNK3_csv_scan": over(LOG_H, "SELECT * EXCLUDE (event_id) FROM log"),
+    "SRC2_whole_csv": over(LOG_H, "SELECT * EXCLUDE (event_id) REPLACE (strftime(time, '%Y-%m-%d %H') AS time) FROM log"),
+    "SNK1_parquet": over(LOG_H, DAILY),
+    "SNK2_key_sorted": over(LOG_H, "SELECT user_id, item_id, buy_count FROM pair"),
+    "PRJ2_downcast": over(LOG_H, "SELECT user_id, pv_count, CAST(round(day_pct, 3) AS FLOAT) AS day_pct FROM u", u=DIM_USER.replace(f"BETWEEN 6 AND 17) / count(*), 6)", "BETWEEN 6 AND 17) / count(*), 9)")),
+    "DU8_power_users": over(
+        LOG_H, DIM_USER.replace("(SELECT *, false AS is_power_user FROM log)", "fl").replace("FROM pair GROUP BY user_id", "FROM pf GROUP BY user_id"), fence=FENCE, out=OUTLIERS, gaps=GAPS, crawlers=CRAWLERS,
+        fl=f"{FLAGGED} WHERE log.user_id NOT IN (SELECT user_id FROM crawlers)", pf=PAIR.replace("FROM log", "FROM fl"),
+    ),
     "CLN10_flagged": over(LOG_H, f"{FLAGGED} WHERE log.user_id NOT IN (SELECT user_id FROM crawlers)", fence=FENCE, out=OUTLIERS, gaps=GAPS, crawlers=CRAWLERS),
     "CLN11_cleaning_stats": over(RAW, _STATS),
     "FLT1_dates_and_behaviours": over(LOG_H, "SELECT * FROM log WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' AND behavior_type IN (1, 4)"),
@@ -147,7 +184,7 @@ SQL = {
     "QLT5_cleaning_summary": over(RAW, "SELECT original_count, original_count - after_dedup AS removed_dedup, after_dedup - after_behavior AS removed_behavior, after_behavior - after_time AS removed_time, final_count, round(CAST(final_count AS DOUBLE) * 100 / original_count, 6) AS retention_percent FROM st", st=_STATS),
     "QLT6_duplicate_rates": over(LOG_D, "SELECT coalesce(behavior_type, 0) AS behavior_type, CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicates, round(CAST(sum(n - 1) AS DOUBLE) * 100 / sum(n), 6) AS percent, max(n) AS max_multiplicity FROM g GROUP BY ROLLUP (behavior_type)", g=_DUP),
     "QLT7_power_users": over(LOG_H, "SELECT count(DISTINCT user_id) FILTER (WHERE is_power_user) AS power_users, count(DISTINCT user_id) FILTER (WHERE NOT is_power_user) AS normal_users, count(*) FILTER (WHERE is_power_user) AS power_rows, round(CAST(count(*) FILTER (WHERE is_power_user) AS DOUBLE) * 100 / count(*), 6) AS power_row_percent FROM fl", fence=FENCE, out=OUTLIERS, gaps=GAPS, crawlers=CRAWLERS, fl=f"{FLAGGED} WHERE log.user_id NOT IN (SELECT user_id FROM crawlers)"),
-    "QLT8_missing_dates": over(f"SELECT * FROM ({LOG_H}) WHERE day(time) % 3 <> 0", "SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM days) WHERE CAST(d AS DATE) NOT IN (SELECT date FROM days)", days="SELECT DISTINCT CAST(time AS DATE) AS date FROM log"),
+    "QLT8_missing_dates": over(LOG_H, "SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM days) WHERE CAST(d AS DATE) NOT IN (SELECT date FROM days)", days="SELECT DISTINCT CAST(time AS DATE) AS date FROM log"),
     "QLT8_date_coverage": over(LOG_H, "SELECT CAST(max(CAST(time AS DATE)) - min(CAST(time AS DATE)) + 1 AS BIGINT) AS expected_days, count(DISTINCT CAST(time AS DATE)) AS actual_days FROM log"),
     "QLT9_primary_keys": over(LOG_H, " UNION ALL ".join([_PK("dim_user", "u", "user_id"), _PK("dim_item", "i", "item_id"), _PK("dim_category", "c", "item_category"), _PK("dim_time_daily", "dy", "date"), _PK("dim_time_hourly", "h", "date, hour"), _PK("dim_time_weekday_hour", "w", "weekday, hour")]), **_TABLES, h="SELECT CAST(time AS DATE) AS date, hour(time) AS hour FROM log GROUP BY ALL", w="SELECT dayofweek(time) AS weekday, hour(time) AS hour FROM log GROUP BY ALL"),
     "QLT10_conservation": over(LOG_H, _CONS, **_TABLES),

@@ -13,7 +13,7 @@ def _pairs(s, d):
     return dims.pairs(logs.log_h(s, d))
 
 
-def _candidates(s, d):
+def candidates(s, d):
     """Candidate pairs, some unknown, some with a category of their own, some repeated."""
     log = logs.log_h(s, d)
     own = log.select("user_id", (F.col("item_id") + F.when(F.col("event_id") % 9 == 0, 100).otherwise(0)).alias("item_id"), F.when(F.col("event_id") % 2 == 0, F.col("item_category") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).cast("int").alias("item_category"))
@@ -39,8 +39,8 @@ QUERIES = {
     "JN6_outer_zero": lambda s, d: joins.views_and_buys(logs.log_h(s, d)),
     "JN7_semi": lambda s, d: joins.buyers_events(logs.log_h(s, d)),
     "JN8_anti": lambda s, d: joins.non_buyers_events(logs.log_h(s, d)),
-    "JN9_candidates": lambda s, d: joins.resolved_candidates(_candidates(s, d), logs.log_h(s, d)),
-    "JN10_alignment": lambda s, d: joins.alignment(_pairs(s, d).select("user_id", "item_id", F.lit(1).alias("label")), logs.log_h(s, d).where("event_id % 5 != 0").select("user_id", "item_id", (F.col("event_id") % 2).cast("int").alias("label"))),
+    "JN9_candidates": lambda s, d: joins.resolved_candidates(candidates(s, d), logs.log_h(s, d)),
+    "JN10_alignment": lambda s, d: joins.alignment(_pairs(s, d).select("user_id", "item_id", F.lit(1).alias("label")), logs.log_h(s, d).select("user_id", "item_id", (F.col("event_id") % 2).cast("int").alias("label"))),
     "JN11_lookup": lambda s, d: joins.lookup(_pairs(s, d).select("user_id", "item_id"), dims.item_dim(_pairs(s, d)), "item_id", "buy_user_count"),
     "JN12_by_key": lambda s, d: joins.with_column_by_key(_pairs(s, d).select("user_id", "item_id"), logs.log_h(s, d).groupBy("user_id", "item_id").agg(F.max("time").alias("last_time")), ["user_id", "item_id"]),
     "SO1_union": lambda s, d: logs.log_h(s, d).unionByName(logs.log_c(s, d)),
@@ -68,7 +68,7 @@ SQL = {
     "JN7_semi": over(LOG_H, "SELECT * FROM log WHERE user_id IN (SELECT user_id FROM log WHERE behavior_type = 4)"),
     "JN8_anti": over(LOG_H, "SELECT * FROM log WHERE user_id NOT IN (SELECT user_id FROM log WHERE behavior_type = 4)"),
     "JN9_candidates": over(LOG_H, RESOLVED, cand=CAND),
-    "JN10_alignment": over(LOG_H, "SELECT (SELECT count(*) FROM pair) AS n_samples, (SELECT count(*) FROM n WHERE c > 1) AS duplicate_keys, (SELECT count(*) FROM pair WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM n)) AS unmatched, (SELECT count(*) FROM n WHERE bad > 0) AS label_mismatches", n="SELECT user_id, item_id, count(*) AS c, count(*) FILTER (WHERE event_id % 2 <> 1) AS bad FROM log WHERE event_id % 5 <> 0 GROUP BY ALL"),
+    "JN10_alignment": over(LOG_H, "SELECT (SELECT count(*) FROM pair) AS n_samples, (SELECT count(*) FROM n WHERE c > 1) AS duplicate_keys, (SELECT count(*) FROM pair WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM n)) AS unmatched, (SELECT count(*) FROM n WHERE bad > 0) AS label_mismatches", n="SELECT user_id, item_id, count(*) AS c, count(*) FILTER (WHERE event_id % 2 <> 1) AS bad FROM log GROUP BY ALL"),
     "JN11_lookup": over(LOG_H, "SELECT p.user_id, p.item_id, i.buy_user_count FROM pair p LEFT JOIN i ON p.item_id = i.item_id", i=DIM_ITEM),
     "JN12_by_key": over(LOG_H, "SELECT user_id, item_id, max(time) AS last_time FROM log GROUP BY ALL"),
     "SO1_union": f"({LOG_H}) UNION ALL BY NAME ({LOG_C})",

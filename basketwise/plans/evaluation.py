@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, metrics
 from ..sources import logs
-from .base import LOG_H, over, rounded
+from .base import LOG_H, LOG_O, over, rounded
 from .sampling import LABELS
 
 FEATURES = ("user_pv_count", "item_pv_count", "user_buy_count")
 WEIGHTS = (0.02, -0.01, 0.05)
 
 
-def scored(s, d):
-    log = logs.log_h(s, d)
+def scored(s, d, source=logs.log_h):
+    log = source(s, d)
     lab = labels.window_labels(log)
     by = lambda k: log.groupBy(k).agg(F.count_if(F.col("behavior_type") == 1).alias(f"{k[:4]}_pv_count"), F.count_if(F.col("behavior_type") == 4).alias(f"{k[:4]}_buy_count"))
     pseudo = lambda a, b, m: F.pmod(F.col("user_id") * a + F.col("item_id") * b + 7, F.lit(m)) / float(m)
@@ -54,7 +54,17 @@ def _contrib(s, d):
     return metrics.contributions(scored(s, d), list(FEATURES), list(WEIGHTS))
 
 
+def _orders(s, d):
+    """Scores of the order log: as many rows as a large test table has."""
+    return scored(s, d, logs.log_o)
+
+
 QUERIES = {
+    "EV2_EV3_ranking_orders": lambda s, d: rounded(metrics.ranking(_orders(s, d))),
+    "EV5_threshold_sweep_orders": lambda s, d: rounded(metrics.confusion(_orders(s, d), metrics.THRESHOLDS)),
+    "EV8_predictions_orders": lambda s, d: metrics.predictions(_orders(s, d), 0.5),
+    "EV17_error_profile_orders": lambda s, d: rounded(metrics.error_profile(_orders(s, d), 0.5, list(FEATURES))),
+    "EV20_contributions_orders": lambda s, d: rounded(metrics.contributions(_orders(s, d), list(FEATURES), list(WEIGHTS))),
     "EV1_confusion": lambda s, d: rounded(metrics.confusion(scored(s, d), [0.5])),
     "EV2_EV3_ranking": lambda s, d: rounded(metrics.ranking(scored(s, d))),
     "EV4_log_loss": lambda s, d: rounded(metrics.log_loss(scored(s, d))),
@@ -134,3 +144,6 @@ SQL = {
     "BL2_blend_sweep": over(LOG_H, _auc("sw", "kind, weight"), sc=SC, pct=PCT, sw=_SWEEP),
     "BL3_logits": over(LOG_H, f"SELECT user_id, item_id, {_LOGIT('score')} AS logit_score, {_LOGIT('score_b')} AS logit_score_b FROM sc", sc=SC),
 }
+
+for _name in ("EV2_EV3_ranking", "EV5_threshold_sweep", "EV8_predictions", "EV17_error_profile", "EV20_contributions"):
+    SQL[f"{_name}_orders"] = SQL[_name].replace(f"log AS ({LOG_H})", f"log AS ({LOG_O})")

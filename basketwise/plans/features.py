@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dims, features, preprocess, selection
+from ..operators import dims, features, joins, preprocess, selection
 from ..sources import logs
 from .base import DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_H, LOG_O, over, ratio, rounded
-from .dimensions import JOINED
+from .dimensions import CAND, JOINED, RESOLVED, candidates
 
 STREAK = "SELECT user_id, max(n) AS user_streak_days FROM (SELECT user_id, count(*) AS n FROM (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS run FROM (SELECT DISTINCT user_id, CAST(time AS DATE) AS d FROM log)) GROUP BY user_id, run) GROUP BY user_id"
 HEAT = "SELECT item_id, CAST(time AS DATE) AS date, CAST(sum(CASE behavior_type WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 5 END) AS BIGINT) AS heat FROM log GROUP BY ALL"
@@ -44,7 +44,15 @@ def _served(s, d):
     return preprocess.served(wide.withColumn("item_category", F.when(F.col("item_category") == 3, 99).otherwise(F.col("item_category"))), preprocess.fit_parameters(wide, list(SERVED)), list(SERVED))
 
 
+def _candidates(s, d):
+    """The wide table of candidate pairs, many of them never seen, some of items that the log doesn't know."""
+    log = logs.log_h(s, d)
+    targets = joins.resolved_candidates(candidates(s, d), log).drop("status")
+    return features.wide_table(log, ["user_id", "item_id", "buy_path_type", *NARROW], targets)
+
+
 QUERIES = {
+    "FT13_candidate_wide": lambda s, d: rounded(_candidates(s, d)),
     "FT1_target_pairs": lambda s, d: features.target_pairs(logs.log_h(s, d)),
     "FT2_streak_days": lambda s, d: features.streak_days(logs.log_h(s, d)),
     "FT3_daily_heat": lambda s, d: features.daily_heat(logs.log_h(s, d)),
@@ -79,7 +87,9 @@ _MI = " UNION ALL ".join(
 )
 _ONE = {k: PARTS[k] for k in PARTS}
 
+_TARGETS = {"cand": CAND, "tg": f"SELECT user_id, item_id, item_category FROM ({RESOLVED})"} | PARTS | {"joined": JOINED.replace("(SELECT user_id, item_id, item_category FROM pair)", "tg")}
 SQL = {
+    "FT13_candidate_wide": over(LOG_H, f"SELECT user_id, item_id, buy_path_type, user_pv_count, item_pv_count, category_item_count, user_streak_days, {R(NARROW[4:])} FROM wide", **_TARGETS),
     "FT1_target_pairs": over(LOG_H, "SELECT user_id, item_id, item_category FROM pair"),
     "FT2_streak_days": over(LOG_H, STREAK),
     "FT3_daily_heat": over(LOG_H, HEAT),

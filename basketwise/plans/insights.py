@@ -14,7 +14,7 @@ E_ = "list_value(" + ", ".join(map(str, insights.EDGES)) + ")"
 
 
 def _samples(s, d):
-    return labels.window_labels(logs.log_u(s, d)).where(F.pmod(F.col("user_id") * 31 + F.col("item_id"), F.lit(7)) == 0)
+    return labels.window_labels(logs.log_u(s, d))
 
 
 QUERIES = {
@@ -52,7 +52,7 @@ _CUM = "SELECT item_category, interactions, buy_count, CAST(row_number() OVER w
 _BINS = f"""SELECT CAST(i - 1 AS INTEGER) AS i, e[i] AS low, e[i + 1] AS high, CASE WHEN i = len(e) - 1 THEN e[i] || '+' ELSE e[i] || '-' || (e[i + 1] - 1) END AS label
     FROM (SELECT e, unnest(generate_series(1, CAST(len(e) - 1 AS BIGINT))) AS i FROM (SELECT list_append(list_filter({E_}, lambda x: x < m * CAST(1.2 AS DOUBLE)), CAST(m * 2 AS INTEGER)) AS e FROM (SELECT max(n) AS m FROM us)))"""
 _EV = "SELECT s.user_id, s.item_id, s.last_time, e.event_id, e.time, e.item_id % 500000 + 1 AS items, e.item_category + 1 AS categories, e.behavior_type AS behaviors, row_number() OVER (PARTITION BY s.user_id, s.item_id ORDER BY e.time DESC, e.event_id DESC) AS r FROM sm s LEFT JOIN log e ON s.user_id = e.user_id AND e.time < s.last_time"
-_SM = f"SELECT * FROM ({LABELS}) WHERE (user_id * 31 + item_id) % 7 = 0"
+_SM = LABELS
 
 SQL = {
     "IN1_overview": over(LOG_H, "SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(DISTINCT item_category) AS n_categories, count(*) AS n_rows, CAST(max(CAST(time AS DATE)) - min(CAST(time AS DATE)) + 1 AS BIGINT) AS span_days, round(count(*) / CAST(count(DISTINCT user_id) AS DOUBLE), 6) AS actions_per_user, (SELECT round(avg(n), 6) FROM (SELECT count(DISTINCT item_id) AS n FROM log GROUP BY user_id)) AS items_per_user, round(count(DISTINCT user_id) FILTER (WHERE behavior_type = 4) / CAST(count(DISTINCT user_id) AS DOUBLE), 6) AS buyer_share, " + ratio("count(*) FILTER (WHERE behavior_type = 4)", "count(*) FILTER (WHERE behavior_type = 1)") + " AS buy_per_view, " + ratio("count(*) FILTER (WHERE behavior_type <> 4)", "count(*) FILTER (WHERE behavior_type = 4)") + " AS negative_ratio, " + ratio("count(*) FILTER (WHERE behavior_type = 4)", "count(DISTINCT user_id)") + " AS buys_per_user FROM log"),

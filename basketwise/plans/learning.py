@@ -2,24 +2,83 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import dims, models
+from ..operators import inference, labels, models, selection
 from ..sources import logs
+from ..sources.scratch import shared_dir, written
 from ..streaming import partials
-from .base import COUNTS, LOG_H, PAIR, over, rounded
+from .base import LOG_H, PAIR, over, rounded
+from .dimensions import candidates
 from .evaluation import scored
+from .sampling import SPECIAL
 
 FEATURES = ["user_pv_count", "item_pv_count", "user_buy_count"]
+SERVED = ["user_pv_count", "item_pv_count", "category_item_count", "user_streak_days", "item_decay_slope", "user_avg_interval_hours", "user_category_pref", "item_category_te"]
+
+
+def _added(s, d):
+    """The raw log, chunk by chunk: a stream cleans each and adds its partials, a batch job merges them."""
+    folder = f"{shared_dir(s)}/chunks-{uuid.uuid4().hex}"
+    raw = written(logs.log_raw(s, d).repartition(4), "raw")
+    source = s.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(raw.inputFiles()[0].rpartition("/")[0])
+    partials.start(s, source, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return partials.finalize(s, f"{folder}/out")["pairs"]
+
+
+def _inferred(s, d):
+    """Candidates that don't contradict the log, seen or not; those of unknown items are rejected."""
+    log = logs.log_h(s, d)
+    parameters, model = inference.fitted(log, labels.window_labels(log), SERVED)
+    own = candidates(s, d).withColumn("item_category", F.lit(None).cast("int"))
+    return inference.inferred(logs.log_raw(s, d), own, parameters, model, SERVED, 0.5)[0]
+
+
+def _scores(s, d):
+    ready = written(scored(s, d), "scored")
+    return models.score(models.fit_logistic(ready, FEATURES, "label")[0], ready, FEATURES)
+
+
+def _results(s, rows, kind):
+    """A few results of a search as a table."""
+    return s.createDataFrame([{k: r[k] for k in kind} for r in rows], ", ".join(f"{k} {t}" for k, t in kind.items()))
+
+
+def _split(s, d):
+    ready = written(labels.tune_split(labels.with_stratum(scored(s, d), SPECIAL)), "split")
+    return ready.where("split = 'train'"), ready.where("split = 'val'")
+
+
+def _protocol(s, d):
+    samples = written(labels.with_stratum(scored(s, d), SPECIAL), "samples")
+    found = models.baseline_protocol(samples, FEATURES, int(0.8 * samples.count()))
+    return _results(s, [found | found["ranking"]], {"threshold": "double", "f1": "double", "roc_auc": "double", "average_precision": "double"})
+
+
+def _selected(s, d):
+    """Columns that pass all filters, long: one row a kept column and pair."""
+    table, report = selection.select_features(written(scored(s, d), "scored"), [*FEATURES, "score", "score_b"], "label")
+    return table.select("user_id", "item_id", *report["final"])
 
 QUERIES = {
     "ST1_partials": lambda s, d: partials.pair_partials(logs.log_h(s, d).withColumn("batch_id", F.col("event_id") % 4)),
     "ST2_merged_pairs": lambda s, d: partials.merged_pairs(partials.pair_partials(logs.log_h(s, d).withColumn("batch_id", F.col("event_id") % 4))),
     "ST2_merged_users": lambda s, d: partials.merged_users(partials.user_partials(logs.log_h(s, d).withColumn("batch_id", F.col("event_id") % 4))),
     "ST3_clean_and_count": lambda s, d: partials.batch_counts(logs.log_raw(s, d).withColumn("batch_id", F.col("event_id") % 4)),
+    "ST3_streamed_pairs": _added,
+    "ML3_grid_search": lambda s, d: _results(s, models.grid_search(written(scored(s, d), "scored"), FEATURES, "label"), {"reg": "double", "f1": "double"}),
+    "ML4_tuning": lambda s, d: _results(s, models.tune(*_split(s, d), FEATURES, "label"), {"rounds": "int", "depth": "int", "average_precision": "double"}),
+    "ML6_sampling_methods": lambda s, d: _results(s, models.compare_sampling(*_split(s, d), FEATURES), {"method": "string", "precision": "double", "recall": "double", "f1": "double"}),
+    "ML7_protocol": _protocol,
+    "ML8_batch_scores": _scores,
+    "ML9_batch_inference": _inferred,
+    "FS4_selected": _selected,
+    "FS5_l1_importance": lambda s, d: selection.l1_importance(written(scored(s, d), "scored"), FEATURES, "label"),
     "ML1_logistic_scores": lambda s, d: rounded(models.logistic_scores(scored(s, d), FEATURES, "label"), 4),
-    "ML2_boosted_scores": lambda s, d: models.boosted_scores(scored(s, d), FEATURES, "label", rounds=3),
-    "ML5_out_of_fold": lambda s, d: models.out_of_fold(scored(s, d), FEATURES, "label", folds=2),
+    "ML2_boosted_scores": lambda s, d: models.boosted_scores(scored(s, d), FEATURES, "label"),
+    "ML5_out_of_fold": lambda s, d: models.out_of_fold(scored(s, d), FEATURES, "label"),
     "ML10_coefficients": lambda s, d: models.coefficient_table(*models.fit_logistic(scored(s, d), FEATURES, "label", 0.01, 0.0)),
 }
 
@@ -27,5 +86,6 @@ SQL = {
     "ST1_partials": over(LOG_H, PAIR.replace("SELECT user_id", "SELECT event_id % 4 AS batch_id, user_id").replace("GROUP BY user_id", "GROUP BY event_id % 4, user_id")),
     "ST2_merged_pairs": over(LOG_H, "SELECT * FROM pair"),
     "ST2_merged_users": over(LOG_H, "SELECT user_id, count(*) AS n_events, min(time) AS first_time, max(time) AS last_time, max(time) FILTER (WHERE behavior_type = 4) AS last_buy_time FROM log GROUP BY user_id"),
+    "ST3_streamed_pairs": over(LOG_H, "SELECT * FROM pair"),
     "ST3_clean_and_count": f"SELECT event_id % 4 AS batch_id, count(*) AS n_rows, count(*) FILTER (WHERE behavior_type <= 4) AS n_valid FROM ({LOG_H.replace(' WHERE behavior_type <= 4', '')}) GROUP BY ALL",
 }

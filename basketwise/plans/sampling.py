@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dims, features, labels, quality, sampling
+from ..operators import dims, features, labels, quality, ranges, sampling
 from ..sources import logs
 from .base import LOG_H, LOG_U, over, rounded
 from .features import PATH
@@ -62,7 +62,7 @@ QUERIES = {
     "IM1_undersample_quarter": lambda s, d: sampling.undersample(_labels(s, d), 0.25),
     "IM2_smote_counts": lambda s, d: sampling.smote(dims.pairs(logs.log_h(s, d)).join(_labels(s, d).select("user_id", "item_id", "label"), ["user_id", "item_id"]), ["pv_count", "fav_count", "cart_count"], 0.25).groupBy("label").agg(F.count("*").alias("n")),
     "IM3_class_weights": lambda s, d: rounded(sampling.class_weights(_labels(s, d))),
-    "WN7_shuffle": lambda s, d: _labels(s, d).orderBy(sampling.spread(42), "user_id", "item_id"),
+    "WN7_shuffle": lambda s, d: ranges.ranked(_labels(s, d), [sampling.spread(42), "user_id", "item_id"]),
 }
 
 _NEED = "CAST(floor((SELECT count(*) FROM labels WHERE label = 1) * CAST({x} AS DOUBLE) + 1e-9) AS BIGINT)"
@@ -96,5 +96,5 @@ SQL = {
     "IM1_undersample_quarter": over(LOG_H, f"SELECT * EXCLUDE (r) FROM ({_RANKED}) WHERE label = 1 OR r <= {_NEED.format(x=3)}", labels=LABELS),
     "IM2_smote_counts": over(LOG_H, "SELECT label, CASE WHEN label = 0 THEN count(*) ELSE greatest(count(*), CAST(floor((SELECT count(*) FROM labels WHERE label = 0) * CAST(0.25 AS DOUBLE) / 0.75) AS BIGINT)) END AS n FROM labels GROUP BY label", labels=LABELS),
     "IM3_class_weights": over(LOG_H, "SELECT p AS n_positive, n - p AS n_negative, round(n / (2.0 * (n - p)), 6) AS weight_0, round(n / (2.0 * p), 6) AS weight_1, round((n - p) / CAST(p AS DOUBLE), 6) AS pos_weight FROM (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS p FROM labels)".replace("2.0", "CAST(2 AS DOUBLE)"), labels=LABELS),
-    "WN7_shuffle": over(LOG_H, LABELS),
+    "WN7_shuffle": over(LOG_H, f"SELECT *, row_number() OVER (ORDER BY {HASH}, user_id, item_id) AS position FROM labels", labels=LABELS),
 }
