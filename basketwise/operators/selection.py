@@ -23,11 +23,11 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     share one aggregation of (column, bin, class), a table that doesn't grow with the rows."""
     cuts = [q / bins for q in range(1, bins)]
     edges = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, cuts))).alias(f"__{c}") for c in columns))
-    wide = df.select(F.col(target).alias("y"), *columns).join(F.broadcast(edges))
+    wide = df.select(F.col(target).alias("__of_target"), *columns).join(F.broadcast(edges))
     bin_of = lambda c: F.size(F.filter(f"__{c}", lambda e: F.round(F.col(c).cast("double"), 6) > F.round(e, 6)))
-    cells = wide.select("y", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), bin_of(c).alias("b")) for c in columns))).alias("x")).groupBy("x.column_name", "x.b", "y").count()
+    cells = wide.select("__of_target", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), bin_of(c).alias("b")) for c in columns))).alias("x")).groupBy("x.column_name", "x.b", "__of_target").count()
     n = F.sum("count").over(W.partitionBy("column_name"))
-    share = cells.select("column_name", (F.col("count") / n).alias("p"), (F.sum("count").over(W.partitionBy("column_name", "b")) / n).alias("pb"), (F.sum("count").over(W.partitionBy("column_name", "y")) / n).alias("py"))
+    share = cells.select("column_name", (F.col("count") / n).alias("p"), (F.sum("count").over(W.partitionBy("column_name", "b")) / n).alias("pb"), (F.sum("count").over(W.partitionBy("column_name", "__of_target")) / n).alias("py"))
     return share.groupBy("column_name").agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("pb") * F.col("py")))).alias("mi"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, dims, filters, quality
 from ..sources import files, logs
-from ..sources.scratch import shared_dir
+from ..sources.scratch import own_dir
 from .base import DAILY, DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_C, LOG_D, LOG_H, PAIR, RAW, events, over, rounded
 
 TIMED = f"SELECT *, CASE WHEN event_id % 10 = 0 THEN 'x' WHEN event_id % 10 = 1 THEN strftime(ts, '%Y-%m-%d %H:30') ELSE strftime(ts, '%Y-%m-%d %H') END AS time_text FROM ({RAW.replace('SELECT event_id', 'SELECT ts, event_id')})"
@@ -70,19 +70,19 @@ COLUMNS = ("event_id", "user_id", "item_id", "item_category", "behavior_type", "
 
 def _csv(spark, d) -> str:
     """The raw log as a CSV file with hours as text."""
-    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}.csv"
+    path = f"{own_dir(spark)}/log-{uuid.uuid4().hex}.csv"
     files.write_csv(logs.log_h(spark, d).select("user_id", "item_id", "item_category", "behavior_type", F.date_format("time", "yyyy-MM-dd HH").alias("time")), path)
     return path
 
 
 def _sorted_parquet(spark, d) -> str:
-    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}.parquet"
+    path = f"{own_dir(spark)}/pairs-{uuid.uuid4().hex}.parquet"
     files.key_sorted_parquet(dims.pairs(logs.log_h(spark, d)), path, "user_id", "item_id")
     return path
 
 
 def _stored(spark, d):
-    path = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}.parquet"
+    path = f"{own_dir(spark)}/daily-{uuid.uuid4().hex}.parquet"
     files.write_parquet(dims.time_dim(logs.log_h(spark, d), "daily"), path)
     return files.read_parquet(spark, path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference, labels, models, selection
 from ..sources import logs
-from ..sources.scratch import shared_dir, written
+from ..sources.scratch import own_dir, written
 from ..streaming import partials
 from .base import LOG_H, PAIR, over, rounded
 from .dimensions import candidates
@@ -21,7 +21,7 @@ SERVED = ["user_pv_count", "item_pv_count", "category_item_count", "user_streak_
 
 def _added(s, d):
     """The raw log, chunk by chunk: a stream cleans each and adds its partials, a batch job merges them."""
-    folder = f"{shared_dir(s)}/chunks-{uuid.uuid4().hex}"
+    folder = f"{own_dir(s)}/chunks-{uuid.uuid4().hex}"
     raw = written(logs.log_raw(s, d).repartition(4), "raw")
     source = s.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(raw.inputFiles()[0].rpartition("/")[0])
     partials.start(s, source, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
