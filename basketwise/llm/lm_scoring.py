@@ -165,7 +165,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: floa
 
     ``target_ids`` has one column, the ids of the documents that the target model learns from; the background
     model learns from all documents. Both share one vocabulary (all words of the corpus), order, prior and
-    counting, so only the text they saw differs: bigram counts backed by ``prior`` tokens of the unigram model,
+    counting, and the background's counts are scaled to the target's number of tokens, so that both lean on their
+    priors alike and only the text they saw differs: bigram counts backed by ``prior`` tokens of the unigram model,
     which has one more of each word. Bits are means over a document's tokens; the score is target less background: the
     lower, the more a document is like the target.
 
@@ -208,9 +209,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: floa
         before, word = np.divmod(cells, len(words))
         ends = np.cumsum(n)
         cols = []
-        for m in (1 if tokens[1] else 0, 0):
-            single = (counts[0][word, m] + 1) / (tokens[m] + vocabulary)
-            losses = -np.log2((counts[1][:, m] + prior * single) / (counts[0][before, 2 + m] + prior))
+        for m, scale in ((1 if tokens[1] else 0, 1.0), (0, tokens[1] / tokens[0] if tokens[1] else 1.0)):
+            single = (scale * counts[0][word, m] + 1) / (scale * tokens[m] + vocabulary)
+            losses = -np.log2((scale * counts[1][:, m] + prior * single) / (scale * counts[0][before, 2 + m] + prior))
             added = np.concatenate(([0.0], np.cumsum(losses[of])))
             cols.append((added[ends] - added[ends - n]) / np.maximum(n, 1))
         empty = n == 0

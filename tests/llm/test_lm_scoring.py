@@ -10,17 +10,17 @@ def brute(texts, target, prior=64.0):
     """With a vocabulary in which every word is frequent."""
     split = [[w.lower() for w in words(t)] for t in texts]
 
-    def model(docs):
+    def model(docs, scale=1.0):
         pair, before = Counter(), Counter()
         for w in docs:
             for a, b in zip(["<", *w], w):
                 pair[a, b] += 1
                 before[a] += 1
         single = Counter(x for w in docs for x in w)
-        total = sum(single.values()) + SIZE
-        return lambda a, b: -math.log2((pair[a, b] + prior * (single[b] + 1) / total) / (before[a] + prior))
+        total = scale * sum(single.values()) + SIZE
+        return lambda a, b: -math.log2((scale * pair[a, b] + prior * (scale * single[b] + 1) / total) / (scale * before[a] + prior))
 
-    t, g = model([w for i, w in enumerate(split) if i in target]), model(split)
+    t, g = model([w for i, w in enumerate(split) if i in target]), model(split, sum(len(split[i]) for i in target) / sum(map(len, split)))
     out = []
     for w in split:
         x = [(t(a, b), g(a, b)) for a, b in zip(["<", *w], w)]
@@ -61,7 +61,12 @@ def test_thousands_of_rare_words_keep_their_own_counts(spark):
             before[m].update(["<", *w][: len(w)])
     size = len(single[0])
     assert size > 4000
-    loss = lambda m, a, b: -math.log2((pair[m][a, b] + 64 * (single[m][b] + 1) / (sum(single[m].values()) + size)) / (before[m][a] + 64))
+    scale = [sum(single[1].values()) / sum(single[0].values()), 1.0]
+
+    def loss(m, a, b):
+        own = (scale[m] * single[m][b] + 1) / (scale[m] * sum(single[m].values()) + size)
+        return -math.log2((scale[m] * pair[m][a, b] + 64 * own) / (scale[m] * before[m][a] + 64))
+
     ids = spark.createDataFrame([(i,) for i in target], "x long")
     for options in ({}, {"block_tokens": 500, "part_cells": 100, "broadcast_ids": 3}):
         got = {r["doc_id"]: r for r in cross_entropy_difference(documents(spark, texts).repartition(3), ids, **options).collect()}
