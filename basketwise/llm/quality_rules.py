@@ -97,13 +97,14 @@ def verdicts(docs: DataFrame, most: float = 0.5, id_col: str = "doc_id", text_co
 
 
 def passing(docs: DataFrame, most: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, whole, that ``verdicts`` keeps. Texts don't shuffle: documents are measured where
-    they lie, and only the few rejected hosts are joined."""
-    source = docs.select(F.col(host_col).alias("source"), F.col(text_col).alias("text"))
-    bad = written(rejected_hosts(written(measured(source).drop("text"), "features"), most).toDF("__host"), "hosts")
-    mine = docs.withColumn("__text", F.col(text_col)).select(*(F.col(c).alias(f"__c_{i}") for i, c in enumerate(docs.columns)), F.col("__text").alias("text"), F.col(host_col).alias("__of"))
-    # a filter moves below deterministic columns and would take copies of all measures along; not below this one, which it reads
-    fixed = measured(mine).withColumn("__nth", F.monotonically_increasing_id())
-    good = fixed.where(~base_failed() & (F.col("__nth") >= 0)).join(bad, F.col("__of") == F.col("__host"), "left_anti")
-    return good.select(*(F.col(f"__c_{i}").alias(c) for i, c in enumerate(docs.columns)))
-
+    """The rows of ``docs``, whole, that ``verdicts`` keeps. Texts are measured once and don't shuffle: rows are written with
+    their measures, those that fail without their text, and only the few rejected hosts are joined."""
+    names = [f"__c_{i}" for i in range(len(docs.columns))]
+    mine = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
+    told = measured(mine).withColumn("__failed", base_failed())
+    text = names[docs.columns.index(text_col)]
+    rows = (F.when(~F.col("__failed"), F.col(n)).alias(n) if n == text else F.col(n) for n in names)
+    told = written(told.select(*rows, "source", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "__failed"), "measured")
+    bad = written(rejected_hosts(told, most).toDF("__host"), "hosts")
+    good = told.where("not __failed").join(bad, F.col("source") == F.col("__host"), "left_anti")
+    return good.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
