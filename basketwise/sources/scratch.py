@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     that outlive the executor that wrote them, and an expensive input is computed once."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
