@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import Powers, Words, blocks, mix
+from .words import Powers, Words, blocks, full, mix, small
 
 SIZE = 512  # a vocabulary counts as so many words at least, so that small corpora are smoothed too
 START = np.uint64(0xA0761D6478BD642F)  # stands before a text
@@ -93,14 +93,6 @@ def ascended(data: bytes) -> np.ndarray:
     return np.cumsum(numbers(data, "<u8"), dtype=np.uint64)
 
 
-def small(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def full(data: bytes) -> bytes:
-    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words, tokens and counts of a block."""
     words = np.concatenate(([START], ascended(full(row["words"]))))

@@ -21,7 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import Powers, Words, blocks, mix
+from .words import Powers, Words, blocks, mix, small
+from .words import full as unpacked
 
 BLOCK = 4 << 20
 
@@ -167,7 +168,7 @@ def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive:
 
 
 def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
-    """Per document: text and windows of the full width as ``found_lists`` gives them. Here, where words are judged,
+    """Per document: text, compressed, and windows of the full width as ``found_lists`` gives them. Here, where words are judged,
     96 bits of two hashes (``hash`` and ``other``) tell windows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +180,11 @@ def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
                 begin = np.flatnonzero(surviving(words, hashes, before, width, part.column("alive"), pw))
                 full, other = (every_window(hashes, width, pw, seed)[begin] if len(begin) else np.zeros(0, np.uint64) for seed in (width, width + 1013))
                 other = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), *found_lists(words, begin, full, len(part), other)], ["k", "id", "text", *LISTS, "other", "shared_other"])
+                text = pa.array([small(x) for x in part.column("text").fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), text, *found_lists(words, begin, full, len(part), other)], ["k", "id", "text", *LISTS, "other", "shared_other"])
 
     kind = dict(held.dtypes)["id"]
-    return held.mapInArrow(run, f"k long, id {kind}, text string, {KINDS}, other array<int>, shared_other array<int>")
+    return held.mapInArrow(run, f"k long, id {kind}, text binary, {KINDS}, other array<int>, shared_other array<int>")
 
 
 def places(level: DataFrame) -> DataFrame:
@@ -192,9 +194,10 @@ def places(level: DataFrame) -> DataFrame:
     last = "other" in level.columns
     key = ["hash", "other"] if last else ["hash"]
     spread = level.select("k", "id", F.explode(F.arrays_zip(*key, "place")).alias("x")).select("k", "id", *(f"x.{c}" for c in (*key, "place")))
-    shared = level.select(F.explode(F.arrays_zip(*(["shared", "shared_other"] if last else ["shared"]))).alias("x")).select(*(F.col(f"x.{a}").alias(b) for a, b in zip(("shared", "shared_other"), key)), F.lit(2).alias("n"))
-    every = spread.withColumn("n", F.lit(1)).unionByName(shared, allowMissingColumns=True)
-    alive = every.withColumn("n", F.sum("n").over(W.partitionBy(*key))).where((F.col("n") > 1) & F.col("place").isNotNull()).select("k", "id", "place")
+    shared = level.select(F.explode(F.arrays_zip(*(["shared", "shared_other"] if last else ["shared"]))).alias("x")).select(*(F.col(f"x.{a}").alias(b) for a, b in zip(("shared", "shared_other"), key)))
+    every = spread.unionByName(shared, allowMissingColumns=True)
+    times = F.sum(F.when(F.col("place").isNull(), 2).otherwise(1)).over(W.partitionBy(*key))
+    alive = every.withColumn("n", times).where((F.col("n") > 1) & F.col("place").isNotNull()).select("k", "id", "place")
     if not last:
         alive = alive.unionByName(level.select("k", "id", F.explode("sure").alias("place")))
     return alive.groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
@@ -212,7 +215,7 @@ def cut(found: DataFrame, width: int, text_out: bool) -> DataFrame:
         for batch in batches:
             removed, sha, kept_texts = [], [], []
             for text, sure, alive in zip(*(batch.column(c).to_pylist() for c in ("text", "sure", "alive"))):
-                own = (text or "").encode().split()
+                own = unpacked(text).split()
                 gone = np.zeros(len(own) + 1, np.int64)
                 for some in (sure, alive):
                     if some:

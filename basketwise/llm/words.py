@@ -76,6 +76,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
+def small(data: bytes) -> bytes:
+    """Compressed bytes, for what shuffles or is stored."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def full(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 class Words:
     """The words of some texts: where each begins and ends in ``buf``, its row, and each row's first word."""
 
