@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import clear, shared_dir, written
+from ..sources.scratch import clear, release, shared_dir, written
 
-__all__ = ["clear", "shared_dir", "table", "written"]
+__all__ = ["clear", "release", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import release, written
 from .words import Powers, Words, blocks, mix, small
 from .words import full as unpacked
 
@@ -256,8 +256,10 @@ def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, id_col: st
         held = text.join(alive, same, "inner").select("k", "id", "text", "alive")
         if length < width:
             text = written(next_level(held, before, length, width), "level")
+            release(docs.sparkSession)
             alive = places(text)
     full = written(last_level(held, before, width), "windows")
+    release(docs.sparkSession)
     found = full.join(places(full), same, "left").where(F.col("alive").isNotNull() | (F.size("sure") > 0)).select("k", "id", "text", "sure", "alive")
     verdict = cut(found, width, text_out).dropDuplicates(["k", "id"]).withColumnsRenamed({"k": "of_k", "id": "of_id"})
     out = first.join(verdict, same, "left")

@@ -60,6 +60,7 @@ def test_terms_that_reveal_an_entity(spark):
         here = texts[i].index("contact")
         assert f":{here}:{here + 7}" not in got[i]
     assert all(got[i].count(":") == 2 for i in range(6, 36)) and all(got[i] == "" for i in range(36, 96))
+    assert {r["doc_id"]: r["spans"] for r in digests(df, broadcast_terms=0).collect()} == got  # terms joined by a shuffle
     out = {r["doc_id"]: r for r in sanitised(df).collect()}
     assert "Zaphodine" not in out[0]["text"] and "<EMAIL>" in out[0]["text"] and out[0]["n_chars"] == len(out[0]["text"])
     assert out[50]["text"] == texts[50] and sanitised(df).columns == df.columns
