@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import release, written
+from .storage import written
 from .words import Powers, Words, blocks, mix, small
 from .words import full as unpacked
 
@@ -235,7 +235,7 @@ def cut(found: DataFrame, width: int, text_out: bool) -> DataFrame:
     return found.mapInArrow(run, f"k long, id {kind}, n_removed long, kept_sha256 string" + ", kept_text string" * text_out)
 
 
-def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, id_col: str = "doc_id", text_col: str = "text", text_out: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, broadcast_keys: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", text_out: bool = False) -> DataFrame:
     """One row per input row: ``(id, n_words, n_removed, kept_sha256)``, with ``text_out`` also ``kept_text``
     where words went (null where none did).
 
@@ -243,6 +243,9 @@ def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, id_col: st
     same document or another; windows are judged on the input. Null texts have no words. Rows that repeat
     both id and text count as two occurrences. Texts shorter than ``width`` words stay whole; very long texts are
     read whole, in blocks of their own. Null ids are ids like others; an empty table gives no rows.
+
+    The keys of documents that hold something repeated are broadcast if at most ``broadcast_keys`` (8 bytes each), so that other
+    texts don't shuffle; beyond that all texts shuffle once.
     """
     source = keyed(docs, id_col, text_col)
     steps = levels(width, base)
@@ -253,13 +256,14 @@ def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, id_col: st
     same = (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id"))
     text = source
     for before, length in zip(steps, steps[1:]):
+        alive = written(alive, "alive")
+        if alive.count() <= broadcast_keys:  # then only the texts that go on shuffle
+            text = text.join(F.broadcast(alive.select("of_k")), F.col("k") == F.col("of_k"), "left_semi")
         held = text.join(alive, same, "inner").select("k", "id", "text", "alive")
         if length < width:
             text = written(next_level(held, before, length, width), "level")
-            release(docs.sparkSession)
             alive = places(text)
     full = written(last_level(held, before, width), "windows")
-    release(docs.sparkSession)
     found = full.join(places(full), same, "left").where(F.col("alive").isNotNull() | (F.size("sure") > 0)).select("k", "id", "text", "sure", "alive")
     verdict = cut(found, width, text_out).dropDuplicates(["k", "id"]).withColumnsRenamed({"k": "of_k", "id": "of_id"})
     out = first.join(verdict, same, "left")
