@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -35,13 +34,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are written: it does so once the driver finds their plans unused,
-    which may else be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def clear(spark: SparkSession) -> bool:
     """Delete all that this application has written to the shared folder; call it when no result of it is needed
     any more. False if there was nothing."""
