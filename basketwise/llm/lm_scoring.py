@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import Powers, Words, blocks, full, mix, small
+from .words import Words, blocks, full, mix, small
 
 SIZE = 512  # a vocabulary counts as so many words at least, so that small corpora are smoothed too
 START = np.uint64(0xA0761D6478BD642F)  # stands before a text
@@ -25,7 +25,7 @@ def text_blocks(docs: DataFrame, most_tokens: int) -> DataFrame:
     places among these (from 1 on; 0 stands before a text), and the number of distinct word pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw, part_id, serial = Powers(), TaskContext.get().partitionId(), 0
+        part_id, serial = TaskContext.get().partitionId(), 0
         held, size, rows = [], 0, 0
 
         def joined() -> pa.RecordBatch:
@@ -41,7 +41,7 @@ def text_blocks(docs: DataFrame, most_tokens: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text", 4 << 20):
                 words = Words(part.column("text"), lower=True)
-                held.append((part.column("id"), part.column("target"), words.counts, words.hashes(pw)))
+                held.append((part.column("id"), part.column("target"), words.counts, words.hashes()[0]))
                 size, rows = size + len(words.starts), rows + len(part)
                 if size >= most_tokens or rows >= 100_000:
                     yield joined()

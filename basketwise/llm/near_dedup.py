@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import written
-from .words import Powers, Words, blocks, mix
+from .words import Words, blocks, joined, mix
 
 BUCKETS, MANTISSA = 128, 10
 _PREFERENCE = np.argsort(np.random.default_rng(41).random((BUCKETS, BUCKETS)), axis=1).argsort(axis=1)
@@ -42,12 +42,12 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: pa.Array, size: int, pw: Powers) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of ``size`` words, A-Z in lower case; a text with
     fewer words has one, all its words; one without words none."""
     words = Words(texts, lower=True)
-    hashes = words.hashes(pw)
-    starts, window = words.windows(hashes, size, pw, size)
+    hashes = words.hashes()
+    starts, window = words.windows(hashes, size, size)
     cuts = np.searchsorted(starts, words.first)
     for row in range(len(texts)):
         own = window[cuts[row] : cuts[row + 1]]
@@ -55,11 +55,11 @@ def shingle_sets(texts: pa.Array, size: int, pw: Powers) -> Iterator[np.ndarray]
             own = np.sort(own)
             yield own[np.concatenate(([True], own[1:] != own[:-1]))]
         elif words.counts[row]:
-            part = hashes[words.first[row] : words.first[row + 1]]
-            sums = np.uint64(len(part))
-            for h in part:
-                sums = mix(np.array([sums ^ h], np.uint64), 77)[0]
-            yield np.array([sums], np.uint64)
+            part = slice(words.first[row], words.first[row + 1])
+            sums = np.array([words.counts[row]], np.uint64)
+            for h in np.concatenate((hashes[0][part], hashes[1][part])):
+                sums = joined(sums, h, 77)
+            yield sums
         else:
             yield np.zeros(0, np.uint64)
 
@@ -73,11 +73,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """``(id, n_shingles, node, regs)``: equal sets have equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
         for batch in batches:
             for part in blocks(batch, "text", 4 << 20):
                 n, node, regs = [], [], []
-                for own in shingle_sets(part.column("text"), size, pw):
+                for own in shingle_sets(part.column("text"), size):
                     n.append(len(own))
                     node.append(digests(own))
                     regs.append(registers(own).astype(np.int32) if len(own) else np.zeros(0, np.int32))
@@ -92,10 +91,9 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """``(node, shingles)`` of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
         for batch in batches:
             for part in blocks(batch, "text", 4 << 20):
-                own = list(shingle_sets(part.column("text"), size, pw))
+                own = list(shingle_sets(part.column("text"), size))
                 sizes = np.concatenate(([0], np.cumsum([len(x) for x in own])))
                 yield pa.RecordBatch.from_arrays([pa.array(map(digests, own), pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))], ["node", "shingles"])
 

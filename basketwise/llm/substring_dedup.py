@@ -21,23 +21,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import Powers, Words, blocks, mix, small
+from .words import Words, blocks, runs, small
 from .words import full as unpacked
 
 BLOCK = 4 << 20
 
 
-def every_window(hashes: np.ndarray, width: int, pw: Powers, seed: int) -> np.ndarray:
-    """A hash of the windows that begin at each word (those that run into the next text mean nothing)."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = pw.get(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes, seed + 1) * up[: len(hashes)], out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * down[:n], seed)
-
-
 def least_of(values: np.ndarray, span: int) -> np.ndarray:
     """Where the least of each ``span`` values in a row stands, the first of equal ones."""
     at, best, held = np.arange(len(values)), values, 1
@@ -64,10 +53,10 @@ def within(words: Words, width: int) -> np.ndarray:
     return words.row[:n] == words.row[width - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def anchors(words: Words, hashes: np.ndarray, length: int, width: int, begin: np.ndarray, pw: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: Words, hashes: np.ndarray, length: int, width: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The short windows that represent the windows of ``width`` words at ``begin`` (a flag for each word):
     all hashes of that length, the place of each window's representative, and the places used."""
-    short = every_window(hashes, length, pw, length)
+    short = runs(hashes, length, length)
     if not len(begin) or not begin.any():
         return short, np.zeros(0, np.int64), np.zeros(0, np.int64)
     chosen = least_of(short, width - length + 1)[np.flatnonzero(begin)]
@@ -126,12 +115,11 @@ def first_level(docs: DataFrame, length: int, width: int) -> DataFrame:
     """Per document: its key, number of words, digest of all words, and its representatives (see ``found_lists``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
         for batch in batches:
             for part in blocks(batch, "text", BLOCK):
                 words = Words(part.column("text"))
-                hashes = words.hashes(pw)
-                short, _, used = anchors(words, hashes, length, width, within(words, width), pw)
+                hashes = words.hashes()[0]
+                short, _, used = anchors(words, hashes, length, width, within(words, width))
                 raw = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
                 sha = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), pa.array(words.counts, pa.int64()), pa.array(sha), *found_lists(words, used, short[used], len(part))], ["k", "id", "n_words", "sha", *LISTS])
@@ -144,23 +132,22 @@ def next_level(held: DataFrame, before: int, length: int, width: int) -> DataFra
     """As ``first_level`` for windows whose representative of the level before is repeated (``alive``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
         for batch in batches:
             for part in blocks(batch, "text", BLOCK):
                 words = Words(part.column("text"))
-                hashes = words.hashes(pw)
-                begin = surviving(words, hashes, before, width, part.column("alive"), pw)
-                short, _, used = anchors(words, hashes, length, width, begin, pw)
+                hashes = words.hashes()[0]
+                begin = surviving(words, hashes, before, width, part.column("alive"))
+                short, _, used = anchors(words, hashes, length, width, begin)
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), *found_lists(words, used, short[used], len(part))], ["k", "id", "text", *LISTS])
 
     kind = dict(held.dtypes)["id"]
     return held.mapInArrow(run, f"k long, id {kind}, text string, {KINDS}")
 
 
-def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive: pa.Array, pw: Powers) -> np.ndarray:
+def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive: pa.Array) -> np.ndarray:
     """For each word whether a window of ``width`` words begins there whose representative is alive."""
     begin = within(words, width)
-    short, chosen, _ = anchors(words, hashes, before, width, begin, pw)
+    short, chosen, _ = anchors(words, hashes, before, width, begin)
     out = np.zeros(len(begin), bool)
     if len(chosen):
         out[np.flatnonzero(begin)] = flags(words, alive, len(short))[chosen]
@@ -169,16 +156,15 @@ def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive:
 
 def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
     """Per document: text, compressed, and windows of the full width as ``found_lists`` gives them. Here, where words are judged,
-    96 bits of two hashes (``hash`` and ``other``) tell windows apart."""
+    96 bits, from two independent hashes of words (``hash`` and ``other``), tell windows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pw = Powers()
         for batch in batches:
             for part in blocks(batch, "text", 2 * BLOCK):
                 words = Words(part.column("text"))
-                hashes = words.hashes(pw)
-                begin = np.flatnonzero(surviving(words, hashes, before, width, part.column("alive"), pw))
-                full, other = (every_window(hashes, width, pw, seed)[begin] if len(begin) else np.zeros(0, np.uint64) for seed in (width, width + 1013))
+                hashes = words.hashes()
+                begin = np.flatnonzero(surviving(words, hashes[0], before, width, part.column("alive")))
+                full, other = (runs(own, width, width)[begin] if len(begin) else np.zeros(0, np.uint64) for own in hashes)
                 other = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 text = pa.array([small(x) for x in part.column("text").fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), text, *found_lists(words, begin, full, len(part), other)], ["k", "id", "text", *LISTS, "other", "shared_other"])

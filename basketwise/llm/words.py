@@ -1,8 +1,8 @@
 """Vectorised words and window hashes over Arrow string columns.
 
-A word is a maximal run of bytes outside ``0x20`` and ``0x09-0x0D`` of the UTF-8 text. All hashes are
-64-bit polynomials over prefix sums (modulo 2**64, odd base), finished by a bit mixer, so the hash of any
-window costs two look-ups whatever its length.
+A word is a maximal run of bytes outside ``0x20`` and ``0x09-0x0D`` of the UTF-8 text. Each different word of a block is
+hashed once, whole, by xxh3 (128 bits, two hashes of 64); windows are put together from halves, with a bit mixer at
+every step, so no structure of words or windows makes two of them alike.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_SEGMENT = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -30,24 +29,25 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the base, or of its inverse, modulo 2**64."""
-    base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-    steps = np.full(max(n, 1), base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
+def joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each a followed by each b."""
+    return mix(a * _ODD + b, seed)
 
 
-class Powers:
-    """Powers kept for one task, computed anew when a longer row is needed."""
-
-    def __init__(self, n: int = _SEGMENT):
-        self.n, self.up, self.down = n, powers(n), powers(n, True)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.__init__(max(n, 2 * self.n))
-        return self.up, self.down
+def runs(values: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A hash of the ``width`` values from each place on, by doubling: runs of 2, 4, 8 and so on, and those that make up
+    ``width`` put together."""
+    if len(values) < width:
+        return np.zeros(0, np.uint64)
+    out, held, length, power = None, 0, 1, mix(values, seed)
+    while True:
+        if width & length:
+            out = power if out is None else joined(out[: len(out) - length], power[held:], seed + 3 * held + 1)
+            held += length
+        if held == width:
+            return out
+        power = joined(power[:-length], power[length:], seed + 3 * length + 2)
+        length *= 2
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -104,28 +104,19 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.at) - 1), self.counts)
 
-    def hashes(self, pw: Powers) -> np.ndarray:
-        """A hash of each word."""
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):
-            low = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, low + _SEGMENT, "right")))
-            part = self.buf[low : self.ends[j - 1]]
-            up, down = pw.get(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
-            s, e = self.starts[i:j] - low, self.ends[i:j] - low
-            out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-            i = j
-        return mix(out)
-
-    def windows(self, hashes: np.ndarray, width: int, pw: Powers, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """The first word of each window of ``width`` words inside one text, and a hash of each."""
-        if len(hashes) < width:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        up, down = pw.get(len(hashes) + 1)
-        sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(mix(hashes, seed + 1) * up[: len(hashes)], out=sums[1:])
-        starts = np.flatnonzero(self.row[: len(hashes) - width + 1] == self.row[width - 1 :])
-        return starts, mix((sums[starts + width] - sums[starts]) * down[starts], seed)
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each word, independent of one another."""
+        size = self.ends - self.starts
+        places = np.concatenate(([0], np.cumsum(size)))
+        kind, width = (pa.large_binary(), np.int64) if places[-1] > 2**31 - 1 else (pa.binary(), np.int32)
+        letters = np.ascontiguousarray(self.buf[~_SPACE[self.buf]])
+        words = pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(places.astype(width)), pa.py_buffer(letters)]).dictionary_encode()
+        known = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist())), np.uint64).reshape(-1, 2)
+        at = words.indices.to_numpy()
+        return known[at, 0], known[at, 1]
+
+    def windows(self, hashes: tuple[np.ndarray, np.ndarray], width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each window of ``width`` words inside one text, and a hash of each from both hashes of its words."""
+        n = len(self.row) - width + 1
+        starts = np.flatnonzero(self.row[:n] == self.row[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        return starts, joined(runs(hashes[0], width, seed), runs(hashes[1], width, seed + 1), seed)[starts]

@@ -112,3 +112,9 @@ def test_registers_agree_as_often_as_sets_are_similar():
             a, b = np.sort(both[: int(n * 0.9)]), np.sort(both[int(n * 0.1) :])
             shares.append((registers(a) == registers(b)).mean())
         assert abs(np.mean(shares) - 0.8) < 0.03
+
+
+def test_structured_words_are_no_links(spark):
+    texts = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)) for k in (0, 1)]
+    own = documents(spark, [" ".join([t] * 6) for t in texts] + texts)
+    assert rows(near_duplicates(own, 4, 80), "doc_id", "component_id") == [(i, i) for i in range(4)]

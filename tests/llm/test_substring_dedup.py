@@ -66,3 +66,25 @@ def test_empty_table_and_text_out(spark):
 def test_least_of_takes_the_first_of_equals():
     values = np.array([3, 1, 1, 2, 0, 0, 5], np.uint64)
     assert least_of(values, 3).tolist() == [1, 1, 4, 4, 4]
+
+
+def parity_words(n=1024):
+    """Two words of ``n`` letters that polynomial hashes modulo a power of two can't tell apart."""
+    return ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1)]
+
+
+def test_structured_words_are_told_apart(spark):
+    texts = ["w " * 34 + w for w in parity_words()] + ["v " * 34 + w for w in parity_words(4096)]
+    assert [r[1] for r in rows(remove_repeated(documents(spark, texts)), "doc_id", "n_removed")] == [0, 0, 0, 0]
+
+
+def test_structured_windows_are_told_apart():
+    from basketwise.llm.words import runs
+
+    a, b = np.uint64(7), np.uint64(99)
+    for width in (32, 35, 1024):
+        one = np.array([(a, b)[i.bit_count() % 2] for i in range(width)], np.uint64)
+        other = np.array([(b, a)[i.bit_count() % 2] for i in range(width)], np.uint64)
+        assert runs(one, width, 1)[0] != runs(other, width, 1)[0]
+        assert len(runs(np.tile(one, 2), width, 1)) == width + 1
+        assert runs(np.tile(one, 2), width, 1)[0] == runs(one, width, 1)[0]
