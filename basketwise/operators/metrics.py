@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .dims import rate
 from .ranges import quantile_row, quantiles, ranked, running
 
@@ -166,11 +167,15 @@ def exemplars(df: DataFrame) -> DataFrame:
     return pick("surest positive", 1, F.desc("score")).unionByName(pick("surest negative", 0, F.desc("score"))).unionByName(pick("least sure positive", 1, F.asc("score")))
 
 
-def comparison(tables: dict[str, DataFrame], baseline: str) -> DataFrame:
-    """Ranking metrics of several score tables, with the difference to a baseline."""
-    every = reduce(DataFrame.unionByName, [ranking(df).withColumn("model", F.lit(n)) for n, df in tables.items()])
-    base = every.where(F.col("model") == baseline).select(F.col("average_precision").alias("base"))
-    return every.join(F.broadcast(base)).withColumns({"delta": F.col("average_precision") - F.col("base"), "better": F.col("average_precision") > F.col("base")}).drop("base")
+def comparison(tables: dict[str, DataFrame], baseline: str, digits: int = 9) -> DataFrame:
+    """Ranking metrics of several score tables, with the difference to a baseline. All are one evaluation, and differences are
+    taken of figures rounded to ``digits``: sums of doubles come in another order each time, and the baseline is never better
+    than itself."""
+    own = [df.select(F.lit(n).alias("model"), "label", "score") for n, df in tables.items()]
+    every = written(ranking(reduce(DataFrame.unionByName, own), keys=("model",)), "comparison")
+    base = every.where(F.col("model") == baseline).select(F.round("average_precision", digits).alias("base"))
+    delta = F.round("average_precision", digits) - F.col("base")
+    return every.join(F.broadcast(base)).withColumns({"delta": delta, "better": (F.col("model") != baseline) & (delta > 0)}).drop("base")
 
 
 def contributions(df: DataFrame, features: list[str], coefficients: list[float]) -> DataFrame:
