@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, lm_scoring, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
+from . import bpe, exact_dedup, language_id, lexical_search, lm_scoring, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
 from .storage import table
 
 
@@ -56,6 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_rules": op2_quality_rules,
@@ -67,14 +71,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
 }
 
+
 def _host_rule(name: str) -> str:
     """The shrunk rate of a host for one rule, in SQL."""
     weight = f"CASE WHEN v_{name} > 0 THEN least(1000.0, greatest(2.0, m_{name} * (1 - m_{name}) / v_{name} - 1)) ELSE 1000.0 END"
     return f"(f_{name} + m_{name} * ({weight})) / (n + ({weight})) > 0.5"
 
 
+_TERMS = rf"regexp_extract_all(translate(text, '{lexical_search.UPPER}', '{lexical_search.LOWER}'), '{lexical_search.TERM}')"
 _RULES = ("short", "repetitive", "symbols", "lines")
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +115,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS d, doc_id, ts, len(ts) AS n FROM (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL) WHERE len(ts) > 0),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+        q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        p AS (SELECT x.d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(ts) AS term FROM d) x SEMI JOIN q USING (term) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+        f AS (SELECT item_id, d, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+              FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, d, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM f WHERE score > 0 QUALIFY rank <= 10""",
 }
