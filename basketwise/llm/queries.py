@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, lexical_search, lm_scoring, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
+from . import bpe, exact_dedup, language_id, lexical_search, lm_scoring, near_dedup, packing, pii, quality_rules, substring_dedup, syncmers, token_counts, whitening
 from .storage import table
 
 
@@ -60,6 +60,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op12_syncmers": op12_syncmers,
+    "op13_whitening": op13_whitening,
 }
 
 
