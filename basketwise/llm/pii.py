@@ -122,6 +122,25 @@ def overlaid(chunks: str, spans: str, mark) -> Column:
     return F.when(F.size(spans) > 0, F.array_join(F.transform(chunks, one), "")).otherwise(F.array_join(chunks, ""))
 
 
+def masked(chunks: str, spans: str) -> Column:
+    """The text with what spans cover as line feeds, so that places stay. ``spans`` is in order of where they start."""
+
+    def one(chunk, i):
+        low = i * CHUNK
+
+        def step(acc, s):
+            begin = F.greatest(acc["at"], s["start"])
+            stop = F.greatest(begin, F.least(s["end"], low + CHUNK))
+            piece = F.concat(chunk.substr(acc["at"] - low + 1, begin - acc["at"]), F.repeat(F.lit("\n"), stop - begin))
+            return F.struct(stop.alias("at"), F.when(s["end"] > acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        here = F.filter(spans, lambda s: (s["start"] < low + CHUNK) & (s["end"] > low))
+        rest = lambda acc: F.concat(acc["out"], chunk.substr(acc["at"] - low + 1, F.lit(CHUNK)))
+        return F.aggregate(here, F.struct(low.alias("at"), F.lit("").alias("out")), step, rest)
+
+    return F.array_join(F.transform(chunks, one), "")
+
+
 def terms_of(text: Column) -> Column:
     """The distinct terms of a text in lower case. Two letters depend on what stands beside them, or become what is
     no term: texts with these are lowered term by term, as ``with_matches`` does, all others at once."""
@@ -141,57 +160,98 @@ def marked(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame
     return written(rows.select("k", "id", slim.alias("base"), "near", "chunks"), "base")
 
 
-def occurrences(base: DataFrame, support: int) -> DataFrame:
-    """``(k, id, entity, context, terms)``: the terms outside base spans of each document that holds an entity,
-    for entities of ``support`` documents at least; equal rows once. The context is a hash of all that
-    stands around the entity in the document."""
-    held = base.where("chunks is not null").dropDuplicates(["k", "id"])
-    held = held.withColumn("ordered", F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    terms = terms_of(overlaid("chunks", "ordered", lambda s: F.lit("\n")))
-    one = held.select("k", "id", F.explode("near").alias("n")).groupBy("k", "id", "n.entity").agg(F.xxhash64(F.sort_array(F.collect_set("n.context"))).alias("context"))
+def entities(held: DataFrame, support: int) -> DataFrame:
+    """``(k, id, entity, context, n_entity)`` for entities of ``support`` documents at least, equal entities once: of those that
+    stand in the same documents, in the same ones of them in equal contexts, one stands for all, as all meet the same
+    terms. The context is the least document with all the same around the entity."""
+    one = held.select("k", "id", F.explode("near").alias("n")).groupBy("k", "id", "n.entity").agg(F.xxhash64(F.sort_array(F.collect_set("n.context"))).alias("around"))
     one = written(one, "entities")
-    often = one.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    one = one.join(often, "entity").groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_list(F.struct("entity", "context", "n_entity")).alias("held"))
-    return held.select("k", "id", terms.alias("terms")).join(one, (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id"))).select("k", "id", "held", "terms")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame, general: float, remove: float, support: int, text_col: str, broadcast_terms: int) -> DataFrame:
-    """``(entity, term, kind)`` of terms that reveal an entity.
-
-    With documents as events, a term reveals ``PMI(entity; term)`` bits of the ``-log2 P(entity)`` bits that
-    the entity holds; the ratio is at most 1, where the term names the entity alone. A pair needs ``support``
+    first = one.groupBy("entity", "around").agg(F.min(F.struct("k", "id")).alias("first"))
+    placed = one.join(first, ["entity", "around"]).select("k", "id", "entity", F.xxhash64("first.k", "first.id").alias("context"))
+    placed = written(placed, "contexts")
+    signs = (F.bit_xor(F.xxhash64(F.lit(seed), "k", "id", "context")).alias(f"sign{seed}") for seed in (1, 2))
+    sets = placed.groupBy("entity").agg(F.count("*").alias("n_entity"), *signs).where(F.col("n_entity") >= support)
+    chosen = written(sets.groupBy("sign1", "sign2", "n_entity").agg(F.min("entity").alias("entity")).select("entity", "n_entity"), "often")
+    return written(placed.join(chosen, "entity"), "entities")
+
+
+def plain_texts(base: DataFrame) -> DataFrame:
+    """``(k, id, text)`` of documents with base spans, which are line feeds there, equal rows once. Written, so that what is made of
+    a text is made once: a filter that Spark derives from an explode would hold all steps that lead to it."""
+    held = base.where("chunks is not null").dropDuplicates(["k", "id"])
+    ordered = F.sort_array(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    held = written(held.select("k", "id", "chunks", ordered.alias("ordered")), "ordered")
+    return written(held.select("k", "id", masked("chunks", "ordered").alias("text")), "plain")
+
+
+def term_sets(plain: DataFrame, of: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """``(k, id, t)`` and ``(t, term, n_near)``: the terms outside base spans of the documents ``of`` that stand in ``support`` of
+    them at least, those of the same documents as one ``t``."""
+    there = of.select(F.col("k").alias("of_k"), F.col("id").alias("of_id")).distinct()
+    near = plain.join(there, (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
+    near = written(near.select("k", "id", F.explode(terms_of(F.col("text"))).alias("term")), "near")
+    signs = (F.bit_xor(F.xxhash64(F.lit(seed), "k", "id")).alias(f"sign{seed}") for seed in (1, 2))
+    sets = near.groupBy("term").agg(F.count("*").alias("n_near"), *signs).where(F.col("n_near") >= support)
+    sets = written(sets, "sets")
+    named = sets.groupBy("sign1", "sign2", "n_near").agg(F.min("term").alias("t"))
+    members = written(sets.join(named, ["sign1", "sign2", "n_near"]).select("t", "term", "n_near"), "members")
+    chosen = members.where("t = term").select("term")
+    return near.join(chosen, "term").select("k", "id", F.col("term").alias("t")), members
+
+
+def disclosing(docs: DataFrame, base: DataFrame, plain: DataFrame, general: float, remove: float, support: int, text_col: str, broadcast_terms: int) -> DataFrame:
+    """``(k, id, term, kind)`` of the terms in each document that reveal an entity there.
+
+    With documents as events (equal rows are one), a term reveals ``PMI(entity; term)`` bits of the ``-log2 P(entity)``
+    bits that the entity holds; the ratio is at most 1, where the term names the entity alone. A pair needs ``support``
     documents, and in them as many different contexts of the entity, else every rare word would reveal what
     stands in the same text. How many documents hold a term is counted over the whole corpus, for terms of supported
     pairs; those are broadcast only if they are at most ``broadcast_terms``, else joined by a shuffle.
+
+    Entities that stand in the same documents, and terms that do, meet as one each, and only such as have ``support``: a list
+    that many documents hold is one entity and one term, however long.
     """
-    wide = near.select(F.explode("held").alias("h"), "terms").select("h.entity", "h.context", "h.n_entity", F.explode("terms").alias("term"))
-    seen = wide.groupBy("entity", "term", "context", "n_entity").agg(F.count("*").alias("n"))
-    pairs = seen.groupBy("entity", "term", "n_entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where((F.col("contexts") >= support) & (F.col("n_both") >= support)).drop("contexts")
-    # a term is in at least the documents that hold it and any entity: pairs that this rules out go now
-    held_near = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    total = float(base.count())
+    of = entities(base.where("chunks is not null").dropDuplicates(["k", "id"]), support)
+    terms, members = term_sets(plain, of, support)
+    both = of.join(terms.withColumnsRenamed({"k": "t_k", "id": "t_id"}), (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id"))).select("k", "id", "entity", "context", "n_entity", "t")
+    total = float(base.select("k", "id").distinct().count())
     bits = F.log2(F.lit(total) / F.col("n_entity"))
     share = lambda n: F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * n)) / bits
-    pairs = pairs.where(bits > 0).join(held_near, "term").where(share(F.col("n_near")) >= general)
-    pairs = written(pairs, "pairs")
+    seen = both.groupBy("entity", "n_entity", "t", "context").agg(F.count("*").alias("n")).groupBy("entity", "n_entity", "t").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
+    seen = seen.where((F.col("contexts") >= support) & (F.col("n_both") >= support) & (bits > 0))
+    # a term is in at least the documents that hold it and any entity: pairs that this rules out go now
+    pairs = written(seen.join(members.where("t = term").select("t", "n_near"), "t").where(share(F.col("n_near")) >= general), "pairs")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = terms_of(text)
+    keyed = docs.select(F.xxhash64(*docs.columns[:1], text_col).alias("k"), F.col(docs.columns[0]).alias("id"), text.alias("__text"))
 
     def holding(some: DataFrame, wanted: DataFrame) -> DataFrame:
-        """How many documents of ``some`` hold each term of ``wanted``."""
+        """How many different documents of ``some`` hold each term of ``wanted``."""
         n = wanted.count()
-        return some.select(F.explode(own).alias("term")).join(F.broadcast(wanted) if n <= broadcast_terms else wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+        hits = some.select("k", "id", F.explode(terms_of(F.col("__text"))).alias("term")).join(F.broadcast(wanted) if n <= broadcast_terms else wanted, "term")
+        return hits.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+
+    def wanted() -> DataFrame:
+        """``(t, term, n_near)`` of the terms of pairs."""
+        return written(members.join(pairs.select("t").distinct(), "t"), "terms")
 
     # first the documents that may hold base spans, a few of all: their count is a bound that rules out most terms
-    few = docs.where(text.contains("@") | text.rlike(r"[0-9][\x20.-]?[0-9]"))
-    low = holding(few, written(pairs.select("term").distinct(), "terms"))
-    pairs = written(pairs.join(low, "term").where(share(F.greatest("n_term", "n_near")) >= general).drop("n_term"), "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    if terms.isEmpty():
-        return pairs.select("entity", "term", F.lit(4).alias("kind")).limit(0)
-    held = holding(docs, terms)
-    told = pairs.join(held, "term").withColumn("share", share(F.greatest("n_term", "n_both"))).where(F.col("share") >= general)
-    return told.select("entity", "term", F.when(F.col("share") >= remove, REMOVED).when(~F.col("term").rlike(r"\p{N}"), 4).when(~F.col("term").rlike(r"\p{L}"), 5).otherwise(6).alias("kind"))
+    few = keyed.where(F.col("__text").contains("@") | F.col("__text").rlike(r"[0-9][\x20.-]?[0-9]"))
+    own = wanted()
+    low = written(own.join(holding(few, own.select("term")), "term"), "low")
+    bound = low.groupBy("t").agg(F.min("n_term").alias("n_term"))
+    pairs = written(pairs.join(bound, "t").where(share(F.greatest("n_term", "n_near")) >= general).drop("n_term"), "pairs")
+    own = wanted()
+    told = base.select("k", "id", F.lit("").alias("term"), F.lit(4).alias("kind"))
+    if own.isEmpty():
+        return told.limit(0)
+    own = written(own.join(holding(keyed, own.select("term")), "term"), "terms")
+    # terms of one t that as many documents hold have the same shares
+    n_of = F.greatest("n_term", "n_both")
+    shares = pairs.join(own.select("t", "n_term").distinct(), "t").where(share(n_of) >= general).select("entity", "t", "n_term", (share(n_of) >= remove).cast("int").alias("level"))
+    # of pairs of one t and count only those that stand together in a document are looked at
+    there = both.join(shares, ["entity", "t"]).groupBy("k", "id", "t", "n_term").agg(F.max("level").alias("level"))
+    told = there.join(own.select("t", "n_term", "term"), ["t", "n_term"])
+    return told.select("k", "id", "term", F.when(F.col("level") == 1, REMOVED).when(~F.col("term").rlike(r"\p{N}"), 4).when(~F.col("term").rlike(r"\p{L}"), 5).otherwise(6).alias("kind"))
 
 
 def sanitised_spans(docs: DataFrame, reach: int = 48, general: float = 0.7, remove: float = 0.9, support: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = 200_000) -> DataFrame:
@@ -201,19 +261,19 @@ def sanitised_spans(docs: DataFrame, reach: int = 48, general: float = 0.7, remo
     by co-occurrence over all documents, reaches ``general`` are to be generalised, from ``remove`` on to be
     removed, wherever they stand outside base spans in documents that hold the entity. ``reach`` code points on either side
     are an entity's context. A share equal to a threshold reaches it. Null text counts as empty; rows that repeat an id with
-    another text stay apart; equal rows get equal spans; an empty table gives no rows. The work on a text of any length
-    is in proportion to it: places are summed in blocks, and pieces are taken from chunks.
+    another text stay apart; equal rows count once and get equal spans; an empty table gives no rows. Places in a text of
+    any length are summed in blocks, and pieces are taken from chunks; its terms and entities meet by joins, those of the same
+    documents as one, so what a document costs beyond its text are its different kinds of entities times those of terms.
     """
     base = marked(docs, reach, id_col, text_col)
-    near = written(occurrences(base, support), "near")
-    pairs = disclosing(docs, near, base, general, remove, support, text_col, broadcast_terms)
-    told = near.select("k", "id", F.explode("held.entity").alias("entity"), "terms").join(pairs, "entity").where(F.array_contains("terms", F.col("term")))
-    told = told.groupBy("k", "id", "term").agg(F.max("kind").alias("kind")).groupBy(F.col("k").alias("t_k"), F.col("id").alias("t_id")).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
-    held = base.where("chunks is not null").dropDuplicates(["k", "id"]).join(told, (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id"))).withColumn("text", F.array_join("chunks", ""))
-    held = with_matches(held, "__terms", F.col("text"), TERM, lambda x: F.map_contains_key("told", F.lower(x)))
-    free = lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-    hits = F.transform(F.filter("__terms", free), lambda x: F.struct(F.element_at("told", F.lower(x["value"])).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    added = held.select(F.col("k").alias("of_k"), F.col("id").alias("of_id"), F.sort_array(hits).alias("added"))
+    plain = plain_texts(base)
+    told = written(disclosing(docs.select(id_col, text_col), base, plain, general, remove, support, text_col, broadcast_terms), "told")
+    of = told.select(F.col("k").alias("t_k"), F.col("id").alias("t_id")).distinct()
+    held = plain.join(of, (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id")), "left_semi")
+    hits = written(with_matches(held, "__terms", F.col("text"), TERM, lambda x: F.lit(True)).select("k", "id", "__terms"), "mentions").select("k", "id", F.explode("__terms").alias("x"))
+    hits = hits.select(F.col("k").alias("h_k"), F.col("id").alias("h_id"), F.lower("x.value").alias("h_term"), "x.start", "x.end")
+    hits = hits.join(told, (F.col("h_term") == F.col("term")) & (F.col("h_k") == F.col("k")) & F.col("h_id").eqNullSafe(F.col("id")))
+    added = hits.groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     joined = base.join(added, (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
     return joined.select("k", "id", "base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("added"))
 

@@ -1,6 +1,11 @@
 import hashlib
+import math
+import random
 import re
 import time
+from collections import Counter
+
+import pytest
 
 from basketwise.llm.pii import digests, sanitised
 
@@ -114,3 +119,86 @@ def test_long_texts_take_time_in_proportion(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
     assert out[0] == texts[0] and out[1].count("<CARD>") == 3000 and out[1].count("<EMAIL>") == 3000 and "4111" not in out[1]
     assert out[2] == texts[2].replace("a@b.cc", "<EMAIL>").replace("+123456789", "<PHONE>")
+
+
+def brute_terms(docs, reach=48, general=0.7, remove=0.9, support=2):
+    """What each document (id, text) discloses by co-occurrence: for each term its kind, counted over different documents."""
+    every = sorted({(i, t or "") for i, t in docs})
+    held = {}
+    for d in every:
+        spans = brute(d[1])
+        if spans:
+            around = {}
+            for kind, a, b in spans:
+                value = d[1][a:b].lower() if kind == "email" else re.sub("[^0-9.]", "", d[1][a:b])
+                around.setdefault((kind, value), set()).update((d[1][max(a - reach, 0) : a], d[1][b : b + reach]))
+            plain = list(d[1])
+            for _, a, b in spans:
+                plain[a:b] = "\n" * (b - a)
+            held[d] = ({e: frozenset(x) for e, x in around.items()}, {x.lower() for x in re.findall(r"[^\W_]+", "".join(plain))})
+    n_term = Counter(x for _, t in every for x in {x.lower() for x in re.findall(r"[^\W_]+", t)})
+    found = {d: {} for d in held}
+    for e in {e for around, _ in held.values() for e in around}:
+        of = [d for d in held if e in held[d][0]]
+        bits = math.log2(len(every) / len(of))
+        if len(of) < support or bits <= 0:
+            continue
+        for term in {t for d in of for t in held[d][1]}:
+            both = [d for d in of if term in held[d][1]]
+            if len(both) >= support and len({held[d][0][e] for d in both}) >= support:
+                share = math.log2(len(both) * len(every) / (len(of) * max(n_term[term], len(both)))) / bits
+                if share >= general - 1e-12:
+                    for d in both:
+                        found[d][term] = max(found[d].get(term, 0), 2 if share >= remove - 1e-12 else 1)
+    return found
+
+
+def random_corpus(seed, n=160):
+    """Names that stand beside some addresses, in one document or several, and rows that repeat."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(n):
+        text = [prose(rng.random(), rng.randrange(3, 12), 90)]
+        for _ in range(rng.randrange(4)):
+            who = rng.randrange(14)
+            text.append(rng.choice([f"name{who % 5} mail u{who}@corp.example", f"u{who}@corp.example , Nn{who} x{who % 3}", f"name{who}", f"+1234567{who:03d} tel{who % 4}"]))
+            text.append(prose(rng.random(), rng.randrange(1, 9), 90))
+        docs += [(i, " ".join(text))] * rng.choice([1, 1, 1, 5])
+    return docs + [(n, None), (n + 1, "")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_disclosed_terms_equal_brute_force(spark, seed):
+    docs = random_corpus(seed)
+    want = brute_terms(docs)
+    assert sum(map(len, want.values())) > 20
+    for r in digests(documents(spark, docs).repartition(3)).collect():
+        text = dict(docs)[r["doc_id"]] or ""
+        told = want.get((r["doc_id"], text), {})
+        plain = list(text)
+        for _, a, b in brute(text):
+            plain[a:b] = "\n" * (b - a)
+        spans = {(m.start(), m.end(), told[m.group().lower()]) for m in re.finditer(r"[^\W_]+", "".join(plain)) if m.group().lower() in told}
+        got = [x.split(":") for x in r["spans"].split(",") if x and x.split(":")[0] in ("word", "number", "code", "removed")]
+        assert {(int(a), int(b), 2 if k == "removed" else 1) for k, a, b in got} == spans, r["doc_id"]
+
+
+def test_repeated_rows_disclose_the_same(spark):
+    pair = [(i, f"{prose(i, 12)} Zaphodine at zed@corp.example {prose(100 + i, 10)}") for i in range(2)]
+    rest = [(10 + i, prose(200 + i, 20)) for i in range(60)]
+    once = {r["doc_id"]: r["spans"] for r in digests(documents(spark, pair + rest)).collect()}
+    assert "removed" in once[0] and "removed" in once[1]
+    for r in digests(documents(spark, pair + [pair[1]] * 8 + rest + [rest[3]] * 5).repartition(3)).collect():
+        assert r["spans"] == once[r["doc_id"]]
+
+
+def test_dense_documents_end_soon(spark):
+    """Two lists of ten thousand addresses and a hundred thousand terms that share both, in other words around each."""
+    texts = []
+    for turn in range(2):
+        lines = [f"{'left' if turn else 'right'} u{i}@corp.example" for i in range(10_000)] + [f"t{i}q" for i in range(100_000)]
+        texts.append("\n".join(lines))
+    began = time.time()
+    got = {r["doc_id"]: r for r in digests(documents(spark, texts + [prose(i, 30) for i in range(60)])).collect()}
+    assert time.time() - began < 120
+    assert got[0]["n_email"] == 10_000 and got[0]["spans"].count("removed:") == 100_000
