@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.logs import REQUIRED
+from .ranges import neighbours, quantile_row
 
 TUPLE = ["user_id", "item_id", "behavior_type", "time"]
 VALID = (1, 2, 3, 4)
@@ -59,7 +59,7 @@ def outlier_fence(log: DataFrame, method: str = "iqr") -> DataFrame:
     """One row: users, the fence of events a user. ``iqr``: q3 + 1.5 (q3 - q1); ``3sigma``: mean + 3 std."""
     counts = log.groupBy("user_id").agg(F.count("*").alias("n"))
     if method == "iqr":
-        q = counts.agg(F.count("*").alias("users"), F.percentile("n", F.lit(0.25)).alias("q1"), F.percentile("n", F.lit(0.75)).alias("q3"))
+        q = counts.agg(F.count("*").alias("users")).join(F.broadcast(quantile_row(counts, {"q1": ("n", 0.25), "q3": ("n", 0.75)})))
         return q.select("users", "q1", "q3", (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("fence"))
     if method == "3sigma":
         return counts.agg(F.count("*").alias("users"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std")).select("users", "mean", "std", (F.col("mean") + 3 * F.col("std")).alias("fence"))
@@ -77,9 +77,11 @@ def without_outliers(log: DataFrame, method: str = "iqr") -> DataFrame:
 
 
 def gap_profile(log: DataFrame, users: DataFrame) -> DataFrame:
-    """Per candidate: only views, events, mean and std of the gaps in seconds, distinct hours of the day."""
-    own = log.join(users.select("user_id"), "user_id", "left_semi")
-    gap = F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(F.lag("time").over(W.partitionBy("user_id").orderBy("time")).cast("timestamp"))
+    """Per candidate: only views, events, mean and std of the gaps in seconds, distinct hours of the day. Candidates are the
+    users of most events: their events are cut into ranges of time, so none of them is one task."""
+    own = log.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "behavior_type", "time")
+    own = neighbours(own, ["time"], before={"earlier": "time"}, keys=("user_id",))
+    gap = F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(F.col("earlier").cast("timestamp"))
     return own.withColumn("gap", gap).groupBy("user_id").agg((F.max("behavior_type") == 1).alias("only_views"), F.count("*").alias("n_events"), F.avg("gap").alias("mean_gap"), F.stddev_samp("gap").alias("std_gap"), F.count_distinct(F.hour("time")).alias("n_hours"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import quantile_row
+
 
 def by_date_and_behaviour(log: DataFrame, first: str, last: str, behaviours: list[int]) -> DataFrame:
     """Both dates inclusive."""
@@ -14,7 +16,7 @@ def by_date_and_behaviour(log: DataFrame, first: str, last: str, behaviours: lis
 def user_segments(log: DataFrame) -> DataFrame:
     """``low`` below the first quartile of views, ``high`` from the third on, else ``mid``."""
     users = log.groupBy("user_id").agg(F.count_if(F.col("behavior_type") == 1).alias("pv_count"))
-    q = users.agg(F.percentile("pv_count", F.lit(0.25)).alias("q1"), F.percentile("pv_count", F.lit(0.75)).alias("q3"))
+    q = quantile_row(users, {"q1": ("pv_count", 0.25), "q3": ("pv_count", 0.75)})
     return users.join(F.broadcast(q)).select("user_id", "pv_count", F.when(F.col("pv_count") < F.col("q1"), "low").when(F.col("pv_count") >= F.col("q3"), "high").otherwise("mid").alias("segment"))
 
 
@@ -33,7 +35,7 @@ def scored_users(log: DataFrame) -> DataFrame:
 
 def by_score_segment(scores: DataFrame, users: str = "all", encoding: str = "all") -> DataFrame:
     """Users low (< q25), mid or high (> q75) by views, power or normal; thirds of the target encoding."""
-    q = scores.agg(F.percentile("user_pv_count", F.lit(0.25)).alias("q1"), F.percentile("user_pv_count", F.lit(0.75)).alias("q3"), F.percentile("item_category_te", F.lit(1 / 3)).alias("t1"), F.percentile("item_category_te", F.lit(2 / 3)).alias("t2"))
+    q = quantile_row(scores, {"q1": ("user_pv_count", 0.25), "q3": ("user_pv_count", 0.75), "t1": ("item_category_te", 1 / 3), "t2": ("item_category_te", 2 / 3)})
     pv, te = F.col("user_pv_count"), F.col("item_category_te")
     by_user = {"all": F.lit(True), "low": pv < F.col("q1"), "mid": pv.between(F.col("q1"), F.col("q3")), "high": pv > F.col("q3")}
     if "is_power_user" in scores.columns:

@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .dims import behaviour_counts, rate
+from .ranges import neighbours
 from .selection import correlation
 
+#: The edges of the activity bins.
 EDGES = (0, 1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000)
 
 
@@ -110,9 +112,10 @@ def reach_funnel(log: DataFrame) -> DataFrame:
 
 
 def transitions(log: DataFrame) -> DataFrame:
-    """Each event's next behaviour of the same user, 0 at the end."""
-    w = W.partitionBy("user_id").orderBy("time", "event_id")
-    return log.select("event_id", "user_id", "behavior_type", F.coalesce(F.lead("behavior_type").over(w), F.lit(0)).alias("next_behavior"))
+    """Each event's next behaviour of the same user, 0 at the end. A user's events are cut into ranges of time."""
+    own = log.select("event_id", "user_id", "behavior_type", "time")
+    own = neighbours(own, ["time", "event_id"], after={"next": "behavior_type"}, keys=("user_id",))
+    return own.select("event_id", "user_id", "behavior_type", F.coalesce("next", F.lit(0)).alias("next_behavior"))
 
 
 def transition_matrix(log: DataFrame) -> DataFrame:
@@ -135,9 +138,9 @@ def depth(log: DataFrame, behaviour: int) -> DataFrame:
 
 
 def gaps(log: DataFrame) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("time", "event_id")
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
-    return log.select("event_id", "user_id", (seconds(F.col("time")) - seconds(F.lag("time").over(w))).alias("gap_seconds"))
+    own = neighbours(log.select("event_id", "user_id", "time"), ["time", "event_id"], before={"earlier": "time"}, keys=("user_id",))
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return own.select("event_id", "user_id", (seconds("time") - seconds("earlier")).alias("gap_seconds"))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

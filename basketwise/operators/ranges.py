@@ -53,6 +53,23 @@ def running(df: DataFrame, order: list, sums: dict[str, str], totals: dict[str,
     return out.select(*(F.col(f"a.{c}") for c in df.columns), *((F.col(f"__r_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums), *(F.col(f"__t_{n}").alias(n) for n in totals or {}))
 
 
+def neighbours(df: DataFrame, order: list, before: dict[str, str] | None = None, after: dict[str, str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with values of the row before and of the row after in the group's ``order``: both name columns by result. They are
+    null at a group's ends. A group of any size is cut into ranges, each known to the next by its first and last row."""
+    before, after = before or {}, after or {}
+    part = _dealt(df, order, keys)
+    ends = [F.max_by(c, "__m").alias(f"__l_{n}") for n, c in before.items()] + [F.min_by(c, "__m").alias(f"__f_{n}") for n, c in after.items()]
+    runs = part.groupBy("__p", *keys).agg(F.min("__m").alias("__first"), F.max("__m").alias("__last"), *ends)
+    along = W.partitionBy(*keys).orderBy("__p")
+    runs = runs.withColumns({f"__b_{n}": F.lag(f"__l_{n}").over(along) for n in before} | {f"__a_{n}": F.lead(f"__f_{n}").over(along) for n in after})
+    here = W.partitionBy("__p", *keys).orderBy("__m")
+    own = part.withColumns({f"__r_{n}": F.lag(c).over(here) for n, c in before.items()} | {f"__s_{n}": F.lead(c).over(here) for n, c in after.items()})
+    out = own.alias("a").join(runs.alias("b"), _same(own, runs, keys))
+    left = (F.when(F.col("__m") == F.col("__first"), F.col(f"__b_{n}")).otherwise(F.col(f"__r_{n}")).alias(n) for n in before)
+    right = (F.when(F.col("__m") == F.col("__last"), F.col(f"__a_{n}")).otherwise(F.col(f"__s_{n}")).alias(n) for n in after)
+    return out.select(*(F.col(f"a.{c}") for c in df.columns), *left, *right)
+
+
 def first_by(df: DataFrame, spread: Column, width: int, take: DataFrame, keys: tuple[str, ...], ties: list[str], buckets: int = 4096) -> DataFrame:
     """Of each group the first ``take`` rows in the order of ``spread`` (0 to ``width``) and ``ties``. ``take`` has the keys and
     ``__take``; groups that it doesn't name give none.

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import quantiles
+
 
 def _long(one: DataFrame, columns: list[str], name: str) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias(name)) for c in columns))).alias("x")).select("x.*")
@@ -22,7 +24,8 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     """Mutual information (nats) of each column, cut at its quantiles, with the target's classes. All columns
     share one aggregation of (column, bin, class), a table that doesn't grow with the rows."""
     cuts = [q / bins for q in range(1, bins)]
-    edges = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, cuts))).alias(f"__{c}") for c in columns))
+    found = quantiles(df, columns, cuts)
+    edges = found.groupBy().agg(*(F.sort_array(F.collect_list(F.when(F.col("column_name") == c, F.col("value")))).alias(f"__{c}") for c in columns))
     wide = df.select(F.col(target).alias("__of_target"), *columns).join(F.broadcast(edges))
     bin_of = lambda c: F.size(F.filter(f"__{c}", lambda e: F.round(F.col(c).cast("double"), 6) > F.round(e, 6)))
     cells = wide.select("__of_target", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), bin_of(c).alias("b")) for c in columns))).alias("x")).groupBy("x.column_name", "x.b", "__of_target").count()
@@ -54,12 +57,20 @@ def correlated_drops(table: list[tuple[str, str, float]], mi: dict[str, float],
     return gone
 
 
+def interpolated(values: list[float], share: float) -> float:
+    """The quantile of a few values, between neighbours where it falls there."""
+    values = sorted(values) or [0.0]
+    at = share * (len(values) - 1)
+    low = int(at)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+
 def select_features(df: DataFrame, columns: list[str], target: str) -> tuple[DataFrame, dict]:
     """The table with the columns that pass all three filters, and a report."""
     first = [r["column_name"] for r in variances(df, columns).where("kept").collect()]
     first = [c for c in columns if c in first]
     mi = {r["column_name"]: r["mi"] for r in mutual_information(df, first, target).collect()}
-    floor = sorted(mi.values())[int(0.25 * (len(mi) - 1))] if mi else 0.0
+    floor = interpolated(list(mi.values()), 0.25)
     second = [c for c in first if mi[c] >= floor]
     drops = correlated_drops([(r["a"], r["b"], r["r"]) for r in correlations(df, second).collect()], mi) if len(second) > 1 else []
     kept = [c for c in second if c not in drops]

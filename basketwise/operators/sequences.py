@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .ranges import running
+
 
 def item_hash(item: Column, size: int = 500_000) -> Column:
     """1 to size; 0 is padding."""
@@ -27,18 +29,18 @@ def sequences(samples: DataFrame, log: DataFrame, length: int = 50, size: int =
     """Per sample the last ``length`` events strictly before ``last_time``, ascending, zero-padded on the right; gaps
     in days, at most 30, over 30.
 
-    A user's events are numbered in time order. A sample's place among them comes from one merge of both by
-    time, and its events from their numbers: rows grow with samples times ``length``, not with a user's samples times
-    events.
+    Events and samples of a user stand in one order of time, cut into ranges, so that no user is one task. How many events come
+    before tells an event's number and a sample's place among them; a sample then finds its events by their numbers: rows
+    grow with samples times ``length``, not with a user's samples times events.
     """
-    events = log.select("user_id", "event_id", "time", item_hash(F.col("item_id"), size).alias("item"), category_index(F.col("item_category")).alias("category"), F.col("behavior_type").alias("behavior"))
-    numbered = events.withColumn("nth", F.row_number().over(W.partitionBy("user_id").orderBy("time", "event_id")))
-    own = samples.select("user_id", "item_id", "last_time")
+    none = lambda kind: F.lit(None).cast(kind)
+    events = log.select("user_id", "time", F.lit(1).alias("is_event"), "event_id", item_hash(F.col("item_id"), size).alias("item"), category_index(F.col("item_category")).alias("category"), F.col("behavior_type").alias("behavior"), none("long").alias("item_id"))
+    own = samples.select("user_id", F.col("last_time").alias("time"), F.lit(0).alias("is_event"), none("long").alias("event_id"), none("long").alias("item"), none("int").alias("category"), none("int").alias("behavior"), "item_id")
     # at equal times samples stand before events, so that only earlier events count
-    marks = own.select("user_id", F.col("last_time").alias("time"), F.lit(0).alias("is_event"), "item_id").unionByName(log.select("user_id", "time", F.lit(1).alias("is_event"), F.lit(None).cast("long").alias("item_id")))
-    before = F.sum("is_event").over(W.partitionBy("user_id").orderBy("time", "is_event").rowsBetween(W.unboundedPreceding, 0))
-    placed = marks.withColumn("n", before).where("is_event = 0").select("user_id", "item_id", F.col("time").alias("last_time"), "n")
-    wanted = placed.withColumn("nth", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.greatest(F.lit(1), F.col("n") - length + 1), F.col("n")).cast("array<int>"))))
+    every = written(running(own.unionByName(events), ["time", "is_event", "event_id"], {"n": "is_event"}, keys=("user_id",)), "timeline")
+    numbered = every.where("is_event = 1").select("user_id", F.col("n").alias("nth"), "time", "item", "category", "behavior")
+    placed = every.where("is_event = 0").select("user_id", "item_id", F.col("time").alias("last_time"), "n")
+    wanted = placed.withColumn("nth", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.greatest(F.lit(1), F.col("n") - length + 1), F.col("n")))))
     last = wanted.join(numbered, ["user_id", "nth"], "left")
     days = (F.unix_seconds(F.col("last_time").cast("timestamp")) - F.unix_seconds(F.col("time").cast("timestamp"))) / 86400.0
     event = F.when(F.col("nth").isNotNull(), F.struct("nth", "item", "category", "behavior", (F.least(days, F.lit(30.0)) / 30.0).alias("gap")))

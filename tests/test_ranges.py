@@ -129,3 +129,49 @@ def test_models_prefer_what_tells(spark):
 def test_scratch_is_cleared(spark):
     df = scratch.written(spark.range(3), "x")
     assert df.count() == 3 and scratch.own_dir(spark).startswith(scratch.shared_dir(spark))
+
+
+def test_neighbours_in_groups_and_in_all(spark):
+    rows, df = table(spark)
+    for keys in ((), ("g",)):
+        got = {r["id"]: (r["earlier"], r["later"]) for r in ranges.neighbours(df, ["v", "id"], {"earlier": "w"}, {"later": "id"}, keys).collect()}
+        groups: dict = {}
+        for r in sorted(rows, key=lambda r: (r[1], r[2])):
+            groups.setdefault(r[0] if keys else 0, []).append(r)
+        want = {}
+        for own in groups.values():
+            for i, r in enumerate(own):
+                want[r[2]] = (own[i - 1][3] if i else None, own[i + 1][2] if i + 1 < len(own) else None)
+        assert got == want
+    assert ranges.neighbours(df.limit(0), ["v"], {"x": "w"}).count() == 0
+
+
+def test_a_hot_user_is_no_single_task(spark):
+    """Half of all events are one user's: no task of the windows holds more than a few ranges of them."""
+    from basketwise.operators import clean, insights
+
+    n = 40_000
+    df = spark.range(n).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 500 + 100).alias("user_id"), (F.col("id") % 20).alias("item_id"),
+        (F.col("id") % 5).cast("int").alias("item_category"), (F.col("id") % 4 + 1).cast("int").alias("behavior_type"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 900).cast("timestamp_ntz").alias("time"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ranges._dealt(df, ["time", "event_id"], ("user_id",))
+        assert placed.groupBy("__p").count().agg(F.max("count")).first()[0] < n / 6
+        got = insights.gaps(df).where("user_id = 7").agg(F.count("gap_seconds").alias("n"), F.min("gap_seconds").alias("low"), F.max("gap_seconds").alias("high")).first()
+        assert tuple(got) == (n // 2 - 1, 1800, 1800)
+        own = clean.gap_profile(df, df.where("user_id = 7").select("user_id").distinct()).first()
+        assert (own["n_events"], own["mean_gap"], round(own["std_gap"], 6), own["n_hours"]) == (n // 2, 1800.0, 0.0, 24)
+        assert insights.transitions(df).where("user_id = 7 and next_behavior = 0").count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_threshold_of_information_lies_between_neighbours():
+    values = [float(i) for i in range(24)]
+    assert selection.interpolated(values, 0.25) == np.percentile(values, 25) == 5.75  # six of 24 lie below
+    assert selection.interpolated([], 0.25) == 0 and selection.interpolated([3.0], 0.25) == 3.0
