@@ -38,7 +38,11 @@ def daily_heat(log: DataFrame) -> DataFrame:
 
 def decay_slope(log: DataFrame) -> DataFrame:
     """The slope of daily heat over the rank of the active day; null under three days."""
-    placed = daily_heat(log).withColumn("x", F.row_number().over(W.partitionBy("item_id").orderBy("date")) - 1)
+    return slope_of(daily_heat(log))
+
+
+def slope_of(heat_days: DataFrame) -> DataFrame:
+    placed = heat_days.withColumn("x", F.row_number().over(W.partitionBy("item_id").orderBy("date")) - 1)
     slope = F.regr_slope(F.col("heat").cast("double"), F.col("x").cast("double"))
     return placed.groupBy("item_id").agg(F.when(F.count("*") >= 3, slope).alias("item_decay_slope"))
 
@@ -80,8 +84,12 @@ def rfm(log: DataFrame, pair: DataFrame, observed: str | None = None) -> DataFra
 
 def category_preference(pair: DataFrame) -> DataFrame:
     """A user's buys in a category over all buys, of those who bought."""
-    own = pair.groupBy("user_id", "item_category").agg(F.sum("buy_count").alias("n")).where("n > 0")
-    return own.select("user_id", "item_category", (F.col("n") / F.sum("n").over(W.partitionBy("user_id"))).alias("user_category_pref"))
+    return preference_of(pair.groupBy("user_id", "item_category").agg(F.sum("buy_count").alias("n")))
+
+
+def preference_of(bought: DataFrame) -> DataFrame:
+    """As ``category_preference``, from n buys a user and category."""
+    return bought.where("n > 0").select("user_id", "item_category", (F.col("n") / F.sum("n").over(W.partitionBy("user_id"))).alias("user_category_pref"))
 
 
 def wide_table(log: DataFrame, columns: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -92,13 +100,19 @@ def wide_table(log: DataFrame, columns: list[str] | None = None, targets: DataFr
     several dimensions are summed from each.
     """
     pair, days = written(dims.pairs(log), "pairs"), written(dims.user_days(log), "user_days")
+    return wide_of(pair, days, daily_heat(log), columns, targets)
+
+
+def wide_of(pair: DataFrame, days: DataFrame, heat_days: DataFrame, columns: list[str] | None = None, targets: DataFrame | None = None, bought: DataFrame | None = None) -> DataFrame:
+    """The wide table from what it is summed from: pairs, users' days, items' days and, if they are known apart from pairs, buys
+    by user and category."""
     users = dims.user_funnel(pair).join(dims.activity_of(days), "user_id")
     last = days.groupBy("user_id").agg(F.max("last_buy").alias("last_buy"))
     ends = days.agg(F.date_add(F.max("d"), 1).cast("timestamp_ntz").alias("seen"))
     df = joins.enriched(pair if targets is None else targets, dims.item_dim(pair), dims.category_dim(pair), users)
     parts = (
-        (streaks_of(days), ["user_id"]), (decay_slope(log), ["item_id"]), (intervals_of(days), ["user_id"]), (buy_path(pair), ["user_id", "item_id"]),
-        (rfm_of(pair, last, ends), ["user_id"]), (category_preference(pair), ["user_id", "item_category"]),
+        (streaks_of(days), ["user_id"]), (slope_of(heat_days), ["item_id"]), (intervals_of(days), ["user_id"]), (buy_path(pair), ["user_id", "item_id"]),
+        (rfm_of(pair, last, ends), ["user_id"]), (category_preference(pair) if bought is None else preference_of(bought), ["user_id", "item_category"]),
     )
     for part, key in parts:
         df = df.join(part, key, "left")

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import functions as F
 
-from ..operators import inference, labels, models, selection
+from ..operators import features, inference, labels, models, preprocess, selection
 from ..sources import logs
 from ..sources.scratch import own_dir, written
 from ..streaming import partials
 from .base import LOG_H, PAIR, over, rounded
-from .dimensions import candidates
+from .dimensions import CAND, RESOLVED, candidates
 from .evaluation import scored
+from .features import NARROW
+from .features import SERVED as SERVED_FEW
+from .features import SQL as FEATURE_SQL
 from .sampling import SPECIAL
 
 FEATURES = ["user_pv_count", "item_pv_count", "user_buy_count"]
@@ -25,15 +29,48 @@ def _added(s, d):
     raw = written(logs.log_raw(s, d).repartition(4), "raw")
     source = s.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(raw.inputFiles()[0].rpartition("/")[0])
     partials.start(s, source, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return partials.finalize(s, f"{folder}/out")["pairs"]
+    return partials.finalize(s, f"{folder}/out")
 
 
-def _inferred(s, d):
+def _merged(s, d):
+    """As ``_added``, the log in one batch."""
+    folder = f"{own_dir(s)}/batch-{uuid.uuid4().hex}"
+    partials.add(logs.log_raw(s, d), 0, folder)
+    return partials.finalize(s, folder)
+
+
+def _model(s, d, merged):
+    """The model of these tables, fitted once a session and application and loaded from then on."""
+    path = f"{own_dir(s)}/model-{zlib.crc32(d.encode()):08x}"
+    return inference.stored_or_fitted(s, path, SERVED, lambda: partials.wide_table(merged), lambda: labels.window_labels(logs.log_h(s, d)))
+
+
+def _asked(s, d):
     """Candidates that don't contradict the log, seen or not; those of unknown items are rejected."""
-    log = logs.log_h(s, d)
-    parameters, model = inference.fitted(log, labels.window_labels(log), SERVED)
-    own = candidates(s, d).withColumn("item_category", F.lit(None).cast("int"))
-    return inference.inferred(logs.log_raw(s, d), own, parameters, model, SERVED, 0.5)[0]
+    return candidates(s, d).withColumn("item_category", F.lit(None).cast("int"))
+
+
+def _inferred(s, d):
+    """Partials of the log, features of candidates from them, predictions by the stored model."""
+    merged = _merged(s, d)
+    merged["pairs"] = written(merged["pairs"], "pairs")
+    pairs, _, _ = inference.resolved(_asked(s, d), merged["pairs"])
+    return inference.predicted(partials.wide_table(merged, targets=pairs), _model(s, d, merged))
+
+
+def _metadata(s, d):
+    """Predictions, rejects and metadata written; of the latter the counts that don't depend on the model."""
+    merged = _merged(s, d)
+    row = inference.run(merged, _asked(s, d), _model(s, d, merged), f"{own_dir(s)}/served-{uuid.uuid4().hex}")
+    return row.select("n_candidates", "n_pairs", "n_rejects", "n_predictions", "threshold", F.col("n_features").cast("long").alias("n_features"))
+
+
+def _stored_parameters(s, d):
+    """Serving parameters, written and read back."""
+    own = list(SERVED_FEW)
+    path = f"{own_dir(s)}/parameters-{uuid.uuid4().hex}"
+    preprocess.cached_parameters(s, path, features.wide_table(logs.log_h(s, d)), own)
+    return preprocess.cached_parameters(s, path, None, own)["scales"]
 
 
 def _scores(s, d):
@@ -67,7 +104,11 @@ QUERIES = {
     "ST2_merged_pairs": lambda s, d: partials.merged_pairs(partials.pair_partials(logs.log_h(s, d).withColumn("batch_id", F.col("event_id") % 4))),
     "ST2_merged_users": lambda s, d: partials.merged_users(partials.user_partials(logs.log_h(s, d).withColumn("batch_id", F.col("event_id") % 4))),
     "ST3_clean_and_count": lambda s, d: partials.batch_counts(logs.log_raw(s, d).withColumn("batch_id", F.col("event_id") % 4)),
-    "ST3_streamed_pairs": _added,
+    "ST3_streamed_pairs": lambda s, d: _added(s, d)["pairs"],
+    "ST2_streamed_days": lambda s, d: _added(s, d)["days"],
+    "ST2_streamed_wide": lambda s, d: rounded(partials.wide_table(_added(s, d), ["user_id", "item_id", *NARROW])),
+    "SNK4_run_metadata": _metadata,
+    "PP8_stored_parameters": lambda s, d: rounded(_stored_parameters(s, d)),
     "ML3_grid_search": lambda s, d: _results(s, models.grid_search(written(scored(s, d), "scored"), FEATURES, "label"), {"reg": "double", "f1": "double"}),
     "ML4_tuning": lambda s, d: _results(s, models.tune(*_split(s, d), FEATURES, "label"), {"rounds": "int", "depth": "int", "average_precision": "double"}),
     "ML6_sampling_methods": lambda s, d: _results(s, models.compare_sampling(*_split(s, d), FEATURES), {"method": "string", "precision": "double", "recall": "double", "f1": "double"}),
@@ -87,5 +128,10 @@ SQL = {
     "ST2_merged_pairs": over(LOG_H, "SELECT * FROM pair"),
     "ST2_merged_users": over(LOG_H, "SELECT user_id, count(*) AS n_events, min(time) AS first_time, max(time) AS last_time, max(time) FILTER (WHERE behavior_type = 4) AS last_buy_time FROM log GROUP BY user_id"),
     "ST3_streamed_pairs": over(LOG_H, "SELECT * FROM pair"),
+    "ST2_streamed_days": over(LOG_H, """SELECT user_id, CAST(time AS DATE) AS d, count(*) AS n, count(DISTINCT time) AS n_times, min(time) AS first, max(time) AS last, max(time) FILTER (WHERE behavior_type = 4) AS last_buy,
+        count(*) FILTER (WHERE hour(time) BETWEEN 6 AND 17) AS n_day, count(*) FILTER (WHERE hour(time) >= 18) AS n_evening, count(*) FILTER (WHERE hour(time) < 6) AS n_night, false AS is_power_user FROM log GROUP BY ALL"""),
+    "ST2_streamed_wide": FEATURE_SQL["FT13_inference_wide"],
+    "SNK4_run_metadata": over(LOG_H, f"SELECT count(*) AS n_candidates, count(*) FILTER (WHERE status <> 'unmatched') AS n_pairs, count(*) FILTER (WHERE status = 'unmatched') AS n_rejects, count(*) FILTER (WHERE status <> 'unmatched') AS n_predictions, CAST(0.5 AS DOUBLE) AS threshold, CAST({len(SERVED)} AS BIGINT) AS n_features FROM res", cand=CAND, res=RESOLVED),
+    "PP8_stored_parameters": FEATURE_SQL["PP6_parameters"],
     "ST3_clean_and_count": f"SELECT event_id % 4 AS batch_id, count(*) AS n_rows, count(*) FILTER (WHERE behavior_type <= 4) AS n_valid FROM ({LOG_H.replace(' WHERE behavior_type <= 4', '')}) GROUP BY ALL",
 }

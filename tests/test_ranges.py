@@ -90,7 +90,7 @@ def test_batch_inference_of_unseen_pairs(spark):
     rows = [(u, i, 1 + (u * i) % 4, (u * 7 + i * 3) % 200) for u in range(14) for i in range(9) if (u + i) % 3]
     df = log(spark, rows)
     columns = ["user_pv_count", "item_pv_count", "item_decay_slope", "user_avg_interval_hours", "item_category_te"]
-    parameters, model = inference.fitted(df, labels.window_labels(df).withColumn("label", F.pmod("item_id", F.lit(2)).cast("int")), columns)
+    parameters, model = inference.fitted(features.wide_table(df), labels.window_labels(df).withColumn("label", F.pmod("item_id", F.lit(2)).cast("int")), columns)
     raw = df.unionByName(df.withColumn("behavior_type", F.lit(5)))
     candidates = spark.createDataFrame([(0, 0, None), (1, 1, None), (99, 2, None), (3, 777, None), (1, 1, None)], "user_id long, item_id long, item_category int")
     got, lost = inference.inferred(raw, candidates, parameters, model, columns, 0.5)
