@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dims, features, joins, preprocess, selection
+from ..operators import dims, features, joins, point_in_time, preprocess, selection
 from ..sources import logs
-from .base import DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_H, LOG_O, over, ratio, rounded
+from .base import COUNTS, DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_H, LOG_O, SUMS, over, ratio, rounded
 from .dimensions import CAND, JOINED, RESOLVED, candidates
 
 STREAK = "SELECT user_id, max(n) AS user_streak_days FROM (SELECT user_id, count(*) AS n FROM (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS run FROM (SELECT DISTINCT user_id, CAST(time AS DATE) AS d FROM log)) GROUP BY user_id, run) GROUP BY user_id"
@@ -35,6 +35,24 @@ SCALED = ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c})
 SERVED = ("user_pv_count", "user_avg_interval_hours", "item_category_te")
 
 
+CUTS = ["2024-01-08", "2024-01-15", "2024-01-22"]
+_AS_OF = {
+    "cuts": "SELECT CAST(unnest([" + ", ".join(f"'{c}'" for c in CUTS) + "]) AS DATE) AS as_of",
+    "seen": "SELECT c.as_of, l.* FROM log l JOIN cuts c ON CAST(l.time AS DATE) < c.as_of",
+    "p": f"SELECT as_of, user_id, item_id, {COUNTS} FROM seen GROUP BY ALL",
+    "ud": "SELECT as_of, user_id, count(DISTINCT CAST(time AS DATE)) AS active_days, max(time) AS last FROM seen GROUP BY ALL",
+    "idd": "SELECT as_of, item_id, count(DISTINCT CAST(time AS DATE)) AS active_days FROM seen GROUP BY ALL",
+} | {n: f"SELECT as_of, {k}, {SUMS}, count(*) FILTER (WHERE pv_count > 0) AS n_viewed, count(*) FILTER (WHERE pv_count > 0 AND buy_count > 0) AS n_bought FROM p GROUP BY ALL" for n, k in (("u", "user_id"), ("i", "item_id"))}
+_SIDE = lambda t, days, name: f"{', '.join(f'{t}.{c}_count AS {name}_{c}_count' for c in ('pv', 'fav', 'cart', 'buy'))}, {days}.active_days AS {name}_active_days, {t}.n_viewed AS {name}_n_viewed, {t}.n_bought AS {name}_n_bought, {ratio(f'{t}.n_bought', f'{t}.n_viewed')} AS {name}_view_to_buy_rate"
+AS_OF = f"""SELECT p.user_id, p.item_id, p.as_of, {_SIDE('u', 'ud', 'user')}, {_SIDE('i', 'idd', 'item')}, {', '.join(f'p.{c}_count AS pair_{c}_count' for c in ('pv', 'fav', 'cart', 'buy'))},
+    round((epoch(CAST(p.as_of AS TIMESTAMP)) - epoch(ud.last)) / 3600.0e0, 6) AS user_hours_since_last
+    FROM p JOIN u USING (as_of, user_id) JOIN ud USING (as_of, user_id) JOIN i USING (as_of, item_id) JOIN idd USING (as_of, item_id)"""
+FOLDS = """SELECT f.user_id, f.item_id, f.buy_path_type, f.fold, round(coalesce((u.s - a.s) / CAST(nullif(u.n - a.n, 0) AS DOUBLE), r.rest), 6) AS user_id_te, round(coalesce((i.s - b.s) / CAST(nullif(i.n - b.n, 0) AS DOUBLE), r.rest), 6) AS item_id_te FROM f
+    JOIN (SELECT user_id, sum(y) AS s, count(*) AS n FROM f GROUP BY ALL) u USING (user_id) JOIN (SELECT user_id, fold, sum(y) AS s, count(*) AS n FROM f GROUP BY ALL) a USING (user_id, fold)
+    JOIN (SELECT item_id, sum(y) AS s, count(*) AS n FROM f GROUP BY ALL) i USING (item_id) JOIN (SELECT item_id, fold, sum(y) AS s, count(*) AS n FROM f GROUP BY ALL) b USING (item_id, fold)
+    JOIN (SELECT fold, (sum(sum(y)) OVER () - sum(y)) / CAST(sum(count(*)) OVER () - count(*) AS DOUBLE) AS rest FROM f GROUP BY fold) r USING (fold)"""
+
+
 def _wide(s, d):
     return features.wide_table(logs.log_h(s, d))
 
@@ -53,6 +71,8 @@ def _candidates(s, d):
 
 QUERIES = {
     "FT13_candidate_wide": lambda s, d: rounded(_candidates(s, d)),
+    "FT12_as_of": lambda s, d: rounded(point_in_time.as_of_features(logs.log_h(s, d), point_in_time.samples_at(logs.log_h(s, d), CUTS))),
+    "PP3_fold_encoded": lambda s, d: rounded(point_in_time.fold_encoded(features.buy_path(dims.pairs(logs.log_h(s, d))).withColumn("fold", F.pmod(F.col("user_id") * 31 + F.col("item_id"), F.lit(5))), {"user_id_te": "user_id", "item_id_te": "item_id"}, F.col("buy_path_type") > 0)),
     "FT1_target_pairs": lambda s, d: features.target_pairs(logs.log_h(s, d)),
     "FT2_streak_days": lambda s, d: features.streak_days(logs.log_h(s, d)),
     "FT3_daily_heat": lambda s, d: features.daily_heat(logs.log_h(s, d)),
@@ -100,6 +120,8 @@ SQL = {
     "FT7_FT8_FT9_rfm": over(LOG_H, RFM),
     "FT10_category_preference": over(LOG_H, "SELECT user_id, item_category, round(user_category_pref, 6) AS user_category_pref FROM p", p=PREF),
     "FT12_wide_table": over(LOG_H, f"SELECT * REPLACE ({R(('item_decay_slope', 'user_avg_interval_hours', 'user_category_pref'))}) FROM wide", **PARTS),
+    "FT12_as_of": over(LOG_H, AS_OF, **_AS_OF),
+    "PP3_fold_encoded": over(LOG_H, FOLDS, b=PATH, f="SELECT *, (user_id * 31 + item_id) % 5 AS fold, CAST(buy_path_type > 0 AS INTEGER) AS y FROM b"),
     "FT13_inference_wide": over(LOG_H, f"SELECT user_id, item_id, user_pv_count, item_pv_count, category_item_count, user_streak_days, {R(NARROW[4:])} FROM wide", **PARTS),
     "PP1_dropped": over(LOG_H, "SELECT user_id, item_id, active_days, day_pct FROM wide", **PARTS),
     "PP2_filled": over(LOG_H, f"SELECT user_id, item_id, user_pv_count, item_pv_count, category_item_count, user_streak_days, {R(NARROW[4:])} FROM f", **PARTS, f=FILLED),

@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from ..operators import features, inference, labels, models, preprocess, selection
+from ..operators import features, inference, labels, metrics, models, preprocess, selection, trees
 from ..sources import logs
 from ..sources.scratch import own_dir, written
 from ..streaming import partials
@@ -78,6 +78,12 @@ def _scores(s, d):
     return models.score(models.fit_logistic(ready, FEATURES, "label")[0], ready, FEATURES)
 
 
+def _tree_parts(s, d):
+    """What each feature adds to the margin of a boosted model, for each labelled pair."""
+    ready = written(scored(s, d), "scored")
+    return trees.tree_contributions(ready, models.fit_boosted(ready, FEATURES, "label", rounds=10, depth=4), FEATURES)
+
+
 def _results(s, rows, kind):
     """A few results of a search as a table."""
     return s.createDataFrame([{k: r[k] for k in kind} for r in rows], ", ".join(f"{k} {t}" for k, t in kind.items()))
@@ -120,6 +126,8 @@ QUERIES = {
     "ML1_logistic_scores": lambda s, d: rounded(models.logistic_scores(scored(s, d), FEATURES, "label"), 4),
     "ML2_boosted_scores": lambda s, d: models.boosted_scores(scored(s, d), FEATURES, "label"),
     "ML5_out_of_fold": lambda s, d: models.out_of_fold(scored(s, d), FEATURES, "label"),
+    "EV20_tree_contributions": _tree_parts,
+    "EV21_top_tree_contributions": lambda s, d: metrics.top_contributions(_tree_parts(s, d), 2),
     "ML10_coefficients": lambda s, d: models.coefficient_table(*models.fit_logistic(scored(s, d), FEATURES, "label", 0.01, 0.0)),
 }
 
