@@ -214,7 +214,10 @@ def disclosing(docs: DataFrame, base: DataFrame, plain: DataFrame, general: floa
     of = entities(base.where("chunks is not null").dropDuplicates(["k", "id"]), support)
     terms, members = term_sets(plain, of, support)
     both = of.join(terms.withColumnsRenamed({"k": "t_k", "id": "t_id"}), (F.col("k") == F.col("t_k")) & F.col("id").eqNullSafe(F.col("t_id"))).select("k", "id", "entity", "context", "n_entity", "t")
-    total = float(base.select("k", "id").distinct().count())
+    copies = written(base.groupBy("k", "id").agg(F.count("*").alias("times")), "copies")
+    total = float(copies.count())
+    repeated = written(copies.where("times > 1").select(F.col("k").alias("r_k"), F.col("id").alias("r_id"), "times"), "repeated")
+    n_repeated = repeated.count()
     bits = F.log2(F.lit(total) / F.col("n_entity"))
     share = lambda n: F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * n)) / bits
     seen = both.groupBy("entity", "n_entity", "t", "context").agg(F.count("*").alias("n")).groupBy("entity", "n_entity", "t").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
@@ -224,11 +227,19 @@ def disclosing(docs: DataFrame, base: DataFrame, plain: DataFrame, general: floa
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.xxhash64(*docs.columns[:1], text_col).alias("k"), F.col(docs.columns[0]).alias("id"), text.alias("__text"))
 
+    if n_repeated:
+        same = (F.col("k") == F.col("r_k")) & F.col("id").eqNullSafe(F.col("r_id"))
+        keyed = keyed.join(F.broadcast(repeated) if n_repeated <= broadcast_terms else repeated, same, "left").select("__text", F.coalesce("times", F.lit(1)).alias("times"))
+    else:
+        keyed = keyed.select("__text", F.lit(1).cast("long").alias("times"))
+
     def holding(some: DataFrame, wanted: DataFrame) -> DataFrame:
-        """How many different documents of ``some`` hold each term of ``wanted``."""
+        """How many different documents of ``some`` hold each term of ``wanted``. Rows are counted, by how often their document
+        stands in the table: as many rows are one document."""
         n = wanted.count()
-        hits = some.select("k", "id", F.explode(terms_of(F.col("__text"))).alias("term")).join(F.broadcast(wanted) if n <= broadcast_terms else wanted, "term")
-        return hits.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+        hits = some.select("times", F.explode(terms_of(F.col("__text"))).alias("term")).join(F.broadcast(wanted) if n <= broadcast_terms else wanted, "term")
+        rows = hits.groupBy("term", "times").agg(F.count("*").alias("rows"))
+        return rows.groupBy("term").agg(F.sum(F.expr("rows div times")).alias("n_term"))
 
     def wanted() -> DataFrame:
         """``(t, term, n_near)`` of the terms of pairs."""
