@@ -103,9 +103,12 @@ def cold_and_tail(df: DataFrame, threshold: float, user_col: str = "user_pv_coun
 
 
 def quantile_segments(df: DataFrame, threshold: float) -> DataFrame:
+    """Metrics of users and items by their views; where ``is_power_user`` is known, of power and normal users too."""
     q = quantile_row(df, {"q1": ("user_pv_count", 0.25), "q3": ("user_pv_count", 0.75), "t1": ("item_pv_count", 1 / 3), "t2": ("item_pv_count", 2 / 3)})
     u, i = F.col("user_pv_count"), F.col("item_pv_count")
     parts = {"users_low": u <= F.col("q1"), "users_mid": (u > F.col("q1")) & (u <= F.col("q3")), "users_high": u > F.col("q3"), "items_low": i <= F.col("t1"), "items_mid": (i > F.col("t1")) & (i <= F.col("t2")), "items_high": i > F.col("t2")}
+    if "is_power_user" in df.columns:
+        parts |= {"users_power": F.col("is_power_user"), "users_normal": ~F.col("is_power_user")}
     return segment_metrics(df.join(F.broadcast(q)), parts, threshold)
 
 
@@ -207,6 +210,16 @@ def blend(weights: dict[str, float]) -> Column:
     return sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
 
 
+#: The weights of the fixed blends, by name, for two tree models and a sequence model.
+BLENDS = {"tree_equal": (0.5, 0.5, 0.0), "tree_plus_sequence_equal": (1 / 3, 1 / 3, 1 / 3), "tree_plus_sequence_20pct": (0.4, 0.4, 0.2), "tree_plus_sequence_40pct": (0.3, 0.3, 0.4)}
+
+
+def fixed_blends(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Ranking metrics of each fixed blend of three scores, in one plan."""
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("blend"), F.round(blend(dict(zip(columns, w))), 12).alias("score")) for n, w in BLENDS.items())))
+    return ranking(df.select("label", cells.alias("x")).select("label", "x.*"), keys=("blend",))
+
+
 def logits(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"logit_{c}": F.ln(clipped(F.col(c)) / (1 - clipped(F.col(c)))) for c in columns})
 

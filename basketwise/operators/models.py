@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import metrics, sampling
 from .ranges import ranked
 
@@ -74,6 +79,42 @@ def tune(train: DataFrame, val: DataFrame, columns: list[str], label: str, trial
     return sorted(out, key=lambda x: -(x["average_precision"] or 0))
 
 
+def drawn_settings(n: int, seed: int = 42) -> list[dict]:
+    """``n`` settings of boosted trees, drawn alike each time."""
+    rng = random.Random(seed)
+    return [{"depth": rng.randint(2, 5), "step_size": round(10 ** rng.uniform(-1.5, -0.3), 4), "min_instances": rng.choice([1, 5, 20]), "subsample": rng.choice([0.6, 0.8, 1.0])} for _ in range(n)]
+
+
+def successive_halving(train: DataFrame, val: DataFrame, columns: list[str], label: str, settings: list[dict], rounds: int = 1, eta: int = 3, parallel: int = 4) -> list[dict]:
+    """All trials, a row each rung: settings are fitted with ``rounds`` rounds, the best part in ``eta`` by average precision on
+    the validation rows goes on with ``eta`` times as many, until one is left. So most rounds are spent on settings that
+    deserve them: bad ones stop early.
+
+    Both tables are assembled and written once. The trials of a rung are fitted ``parallel`` at a time and ranked together in one
+    plan. Ties go to the earlier setting.
+    """
+    ready = written(assembled(train.withColumn("label", F.col(label).cast("double")), columns).select("features", "label"), "train")
+    held = written(assembled(val.withColumn("label", F.col(label).cast("double")), columns).select("features", "label"), "val")
+    alive, out, rung = list(range(len(settings))), [], 0
+
+    def fit(trial: int) -> DataFrame:
+        s = settings[trial]
+        model = GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=s["depth"], stepSize=s["step_size"], minInstancesPerNode=s["min_instances"], subsamplingRate=s["subsample"], seed=42).fit(ready)
+        return model.transform(held).select(F.lit(trial).alias("trial"), F.col("label").cast("int").alias("label"), score_column())
+
+    with ThreadPoolExecutor(parallel) as pool:
+        while alive:
+            scores = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), alive))
+            found = {r["trial"]: r["average_precision"] or 0.0 for r in metrics.ranking(reduce(DataFrame.unionByName, scores), keys=("trial",)).collect()}
+            alive.sort(key=lambda t: (-round(found[t], 12), t))
+            out += [{"trial": t, "rung": rung, "rounds": rounds, **settings[t], "average_precision": found[t]} for t in alive]
+            if len(alive) == 1:
+                break
+            alive = alive[: math.ceil(len(alive) / eta)]
+            rung, rounds = rung + 1, rounds * eta
+    return out
+
+
 def out_of_fold(df: DataFrame, columns: list[str], label: str, folds: int = 3, ratio: float = 0.25, rounds: int = 20, depth: int = 5) -> DataFrame:
     """Scores of a logistic and a boosted model, each row by models that have not seen its fold; negatives are
     thinned inside the fitted folds only."""

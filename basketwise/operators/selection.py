@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import quantiles
+from ..sources.scratch import written
+from .ranges import neighbours, quantiles, running
+from .sampling import class_sample
 
 
 def _long(one: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -34,6 +36,59 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     return share.groupBy("column_name").agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("pb") * F.col("py")))).alias("mi"))
 
 
+def digamma(x: Column) -> Column:
+    """The digamma function of positive numbers, to twelve digits: moved up by six, where its series is short."""
+    y = x + 6
+    series = F.ln(y) - 0.5 / y - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8) - 5 / (660 * y**10)
+    return series - sum((1.0 / (x + i) for i in range(1, 6)), 1.0 / x)
+
+
+#: Values are whole numbers of 2**-48 standard deviations, of which the low 18 bits are noise that tells equal values apart.
+GRAIN, NOISE = 30, 18
+
+
+def coded(df: DataFrame, columns: list[str], target: str, keys: tuple[str, ...]) -> DataFrame:
+    """``(column_name, y, id, z)``: each cell as a whole number, so that distances are exact. The noise comes from a hash of the
+    row's keys; nulls are left out."""
+    one = df.agg(*(f(F.col(c).cast("double")).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    wide = df.join(F.broadcast(one))
+
+    def z(c: str) -> Column:
+        unit = (F.col(c).cast("double") - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}"))
+        return F.round(unit * 2**GRAIN).cast("long") * 2**NOISE + F.pmod(F.xxhash64(*keys, F.lit(c)), F.lit(2**NOISE))
+
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), z(c).alias("z")) for c in columns)))
+    return wide.select(F.col(target).alias("y"), F.xxhash64(*keys).alias("id"), cells.alias("x")).select("x.column_name", "y", "id", "x.z").where("z is not null")
+
+
+def neighbour_information(df: DataFrame, columns: list[str], target: str, keys: tuple[str, ...] = ("user_id", "item_id"), k: int = 3, most: int = 200_000) -> DataFrame:
+    """``(column_name, mi)``: mutual information (nats) of each column with a target's classes, by nearest neighbours.
+
+    A cell's ``k``-th neighbour within its class is one of the ``k`` before and after it in order; how many cells of all classes
+    lie nearer is the difference of two positions. Both come from ranges of the order, so no task holds a column or
+    compares pairs. Classes of one row are left out. Of more than ``most`` rows a sample by class is taken, as the estimate
+    needs no more; ``keys`` tell rows apart.
+    """
+    df = class_sample(df, most, target) if df.count() > most else df
+    classes = df.groupBy(F.col(target).alias("y")).agg(F.count("*").alias("of_class")).where("of_class > 1")
+    cells = written(coded(df, columns, target, keys).join(F.broadcast(classes), "y"), "cells")
+    own, names = cells, []
+    for i in range(1, k + 1):
+        own = neighbours(own, ["z", "id"], {f"b{i}": f"b{i - 1}" if i > 1 else "z"}, {f"a{i}": f"a{i - 1}" if i > 1 else "z"}, ("column_name", "y"))
+        names += [F.col("z") - F.col(f"b{i}"), F.col(f"a{i}") - F.col("z")]
+    gaps = F.sort_array(F.filter(F.array(*names), lambda x: x.isNotNull()))
+    own = written(own.select("column_name", "y", "id", "z", "of_class", F.get(gaps, F.least(F.lit(k), F.col("of_class") - 1).cast("int") - 1).alias("reach")), "reach")
+    # at equal places the upper end stands before cells, the lower one after them: both leave out what lies at the full distance
+    mark = lambda place, kind, w: own.select("column_name", "y", "id", place.alias("place"), F.lit(kind).alias("kind"), F.lit(w).cast("long").alias("w"))
+    marks = mark(F.col("z"), 1, 1).unionByName(mark(F.col("z") - F.col("reach"), 2, 0)).unionByName(mark(F.col("z") + F.col("reach"), 0, 0))
+    placed = running(marks, ["place", "kind"], {"upto": "w"}, keys=("column_name",)).where("kind != 1")
+    inside = F.sum(F.when(F.col("kind") == 0, F.col("upto")).otherwise(-F.col("upto")))
+    near = placed.groupBy("column_name", "y", "id").agg(F.greatest(inside, F.lit(1)).alias("m")).join(F.broadcast(classes), "y")
+    used = F.least(F.lit(k), F.col("of_class") - 1).cast("double")
+    one = near.groupBy("column_name").agg(F.count("*").alias("n"), F.avg(digamma(used) - digamma(F.col("of_class").cast("double")) - digamma(F.col("m").cast("double"))).alias("rest"))
+    return one.select("column_name", F.greatest(digamma(F.col("n").cast("double")) + F.col("rest"), F.lit(0.0)).alias("mi"))
+
+
 def correlation(a, b):
     """Pearson's r; null where a side doesn't vary."""
     a, b = a.cast("double"), b.cast("double")
@@ -65,11 +120,12 @@ def interpolated(values: list[float], share: float) -> float:
     return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
 
 
-def select_features(df: DataFrame, columns: list[str], target: str) -> tuple[DataFrame, dict]:
-    """The table with the columns that pass all three filters, and a report."""
+def select_features(df: DataFrame, columns: list[str], target: str, information=mutual_information) -> tuple[DataFrame, dict]:
+    """The table with the columns that pass all three filters, and a report. ``information`` is ``mutual_information``, by bins, or
+    ``neighbour_information``."""
     first = [r["column_name"] for r in variances(df, columns).where("kept").collect()]
     first = [c for c in columns if c in first]
-    mi = {r["column_name"]: r["mi"] for r in mutual_information(df, first, target).collect()}
+    mi = {r["column_name"]: r["mi"] for r in information(df, first, target).collect()}
     floor = interpolated(list(mi.values()), 0.25)
     second = [c for c in first if mi[c] >= floor]
     drops = correlated_drops([(r["a"], r["b"], r["r"]) for r in correlations(df, second).collect()], mi) if len(second) > 1 else []

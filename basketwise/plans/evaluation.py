@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, metrics
+from ..operators import clean, labels, metrics
 from ..sources import logs
 from .base import LOG_H, LOG_O, over, rounded
 from .sampling import LABELS
@@ -59,6 +59,16 @@ def _orders(s, d):
     return scored(s, d, logs.log_o)
 
 
+def _three(s, d):
+    return scored(s, d).withColumn("score_c", F.pmod(F.col("user_id") * 7 + F.col("item_id") * 11 + 3, F.lit(991)) / 991.0)
+
+
+def _with_power(s, d):
+    """Scores of users that are outliers of the log, or not."""
+    power = clean.outlier_users(logs.log_h(s, d)).select("user_id", F.lit(True).alias("is_power_user"))
+    return scored(s, d).join(power, "user_id", "left").withColumn("is_power_user", F.coalesce("is_power_user", F.lit(False)))
+
+
 QUERIES = {
     "EV2_EV3_ranking_orders": lambda s, d: rounded(metrics.ranking(_orders(s, d))),
     "EV5_threshold_sweep_orders": lambda s, d: rounded(metrics.confusion(_orders(s, d), metrics.THRESHOLDS)),
@@ -92,6 +102,9 @@ QUERIES = {
     "TK4_error_samples": lambda s, d: metrics.error_samples(scored(s, d), 0.5, 20).select("user_id", "item_id", "error_type"),
     "TK5_exemplars": lambda s, d: rounded(metrics.exemplars(scored(s, d))),
     "BL1_fixed_blends": lambda s, d: rounded(metrics.ranking(scored(s, d).withColumn("score", F.round(metrics.blend({"score": 0.5, "score_b": 0.5}), 12)))),
+    "BL1_three_score_blends": lambda s, d: rounded(metrics.fixed_blends(_three(s, d), ["score", "score_b", "score_c"])),
+    "EV7_chosen_thresholds": lambda s, d: rounded(metrics.confusion(scored(s, d), metrics.validated_thresholds([0.9, 0.2, 0.2, metrics.chosen_threshold(None, 0.4), metrics.chosen_threshold(0.7, 0.4), metrics.chosen_threshold(None, None)]))),
+    "EV11_power_segments": lambda s, d: rounded(metrics.quantile_segments(_with_power(s, d), 0.5)),
     "BL2_blend_sweep": lambda s, d: rounded(metrics.blend_sweep(scored(s, d), "score", "score_b")),
     "BL3_logits": lambda s, d: rounded(metrics.logits(scored(s, d), ["score", "score_b"]).select("user_id", "item_id", "logit_score", "logit_score_b")),
 }
@@ -104,6 +117,12 @@ def _at(ks) -> str:
     return " UNION ALL ".join(f"SELECT count(*) AS n_users, CAST({k} AS INTEGER) AS k, round(avg(h / CAST({k} AS DOUBLE)), 6) AS precision, round(avg(coalesce(h / nullif(CAST(t AS DOUBLE), 0), 0)), 6) AS recall, round(avg(coalesce(p / nullif(CAST(h AS DOUBLE), 0), 0)), 6) AS map FROM (SELECT user_id, sum(label) AS t, count(*) FILTER (WHERE label = 1 AND r <= {k}) AS h, sum(h / CAST(r AS DOUBLE)) FILTER (WHERE label = 1 AND r <= {k}) AS p FROM rk GROUP BY user_id)" for k in ks)
 
 
+_QUARTERS = "SELECT quantile_cont(user_pv_count, 0.25) AS q1, quantile_cont(user_pv_count, 0.75) AS q3, quantile_cont(item_pv_count, 1/3) AS t1, quantile_cont(item_pv_count, 2/3) AS t2 FROM sc"
+_BY_VIEWS = [
+    (f"{who}s_{n}", f"{who}_pv_count {low}" + (f" AND {who}_pv_count {high}" if high else ""))
+    for who, a, b in (("user", "q1", "q3"), ("item", "t1", "t2"))
+    for n, low, high in (("low", f"<= (SELECT {a} FROM q)", ""), ("mid", f"> (SELECT {a} FROM q)", f"<= (SELECT {b} FROM q)"), ("high", f"> (SELECT {b} FROM q)", ""))
+]
 _STAB = _auc("(SELECT *, CAST(last_time AS DATE) AS date FROM sc)", "date")
 _LOGIT = lambda c: f"round(ln(least(greatest({c}, 1e-6), 1 - 1e-6) / (1 - least(greatest({c}, 1e-6), 1 - 1e-6))), 6)"
 _SWEEP = " UNION ALL ".join(f"SELECT label, '{kind}' AS kind, CAST({w} AS DOUBLE) AS weight, round((1 - CAST({w} AS DOUBLE)) * {x} + CAST({w} AS DOUBLE) * {y}, 12) AS score FROM pct" for kind, x, y in (("score", "score", "score_b"), ("rank", "ra", "rb")) for w in (0.05, 0.1, 0.2, 0.3, 0.5))
@@ -120,8 +139,7 @@ SQL = {
     "EV10_cold_and_tail": over(LOG_H, SEGMENTED, sc=SC, sg=SEG([("overall", "true"), ("cold_start_users", f"user_id IN ({_BOTTOM('user_id', 'user_pv_count')})"), ("long_tail_items", f"item_id IN ({_BOTTOM('item_id', 'item_pv_count')})")])),
     "EV11_quantile_segments": over(
         LOG_H, SEGMENTED, sc=SC,
-        q="SELECT quantile_cont(user_pv_count, 0.25) AS q1, quantile_cont(user_pv_count, 0.75) AS q3, quantile_cont(item_pv_count, 1/3) AS t1, quantile_cont(item_pv_count, 2/3) AS t2 FROM sc",
-        sg=SEG([("users_low", "user_pv_count <= (SELECT q1 FROM q)"), ("users_mid", "user_pv_count > (SELECT q1 FROM q) AND user_pv_count <= (SELECT q3 FROM q)"), ("users_high", "user_pv_count > (SELECT q3 FROM q)"), ("items_low", "item_pv_count <= (SELECT t1 FROM q)"), ("items_mid", "item_pv_count > (SELECT t1 FROM q) AND item_pv_count <= (SELECT t2 FROM q)"), ("items_high", "item_pv_count > (SELECT t2 FROM q)")]),
+        q=_QUARTERS, sg=SEG(_BY_VIEWS),
     ),
     "EV12_daily_stability": over(LOG_H, f"SELECT * FROM ({_STAB}) WHERE roc_auc IS NOT NULL", sc=SC),
     "EV12_stability_summary": over(LOG_H, f"SELECT count(*) AS n_days, round(avg(roc_auc), 6) AS mean_auc, round(stddev_samp(roc_auc), 6) AS std_auc FROM ({_STAB.replace(', 6) END', ', 15) END')}) WHERE roc_auc IS NOT NULL", sc=SC),
@@ -141,6 +159,14 @@ SQL = {
     "TK4_error_samples": over(LOG_H, f"(SELECT user_id, item_id, 'FP' AS error_type FROM sc WHERE {TYPE} = 'FP' ORDER BY score DESC, user_id, item_id LIMIT 20) UNION ALL (SELECT user_id, item_id, 'FN' FROM sc WHERE {TYPE} = 'FN' ORDER BY score, user_id, item_id LIMIT 20)", sc=SC),
     "TK5_exemplars": over(LOG_H, " UNION ALL ".join(f"(SELECT '{n}' AS exemplar, user_id, item_id, round(score, 6) AS score FROM sc WHERE label = {y} ORDER BY score {o}, user_id, item_id LIMIT 1)" for n, y, o in (("surest positive", 1, "DESC"), ("surest negative", 0, "DESC"), ("least sure positive", 1, "ASC"))), sc=SC),
     "BL1_fixed_blends": over(LOG_H, _auc("(SELECT label, round(score * 0.5e0 + score_b * 0.5e0, 12) AS score FROM sc)"), sc=SC),
+    "BL1_three_score_blends": over(LOG_H, _auc("bl", "blend"), sc=SC, s3="SELECT *, (user_id * 7 + item_id * 11 + 3) % 991 / CAST(991 AS DOUBLE) AS score_c FROM sc", bl=" UNION ALL ".join(f"SELECT label, '{n}' AS blend, round(score * CAST({a!r} AS DOUBLE) + score_b * CAST({b!r} AS DOUBLE) + score_c * CAST({c!r} AS DOUBLE), 12) AS score FROM s3" for n, (a, b, c) in metrics.BLENDS.items())),
+    "EV7_chosen_thresholds": over(LOG_H, _conf("sc, th"), sc=SC, th="SELECT unnest([CAST(0.2 AS DOUBLE), CAST(0.4 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS threshold"),
+    "EV11_power_segments": over(
+        LOG_H, SEGMENTED, sc=SC,
+        fence="SELECT quantile_cont(n, 0.75) + 1.5 * (quantile_cont(n, 0.75) - quantile_cont(n, 0.25)) AS f FROM (SELECT user_id, count(*) AS n FROM log GROUP BY user_id)",
+        power="SELECT user_id FROM log GROUP BY user_id HAVING count(*) > (SELECT f FROM fence)",
+        q=_QUARTERS, sg=SEG([*_BY_VIEWS, ("users_power", "user_id IN (SELECT user_id FROM power)"), ("users_normal", "user_id NOT IN (SELECT user_id FROM power)")]),
+    ),
     "BL2_blend_sweep": over(LOG_H, _auc("sw", "kind, weight"), sc=SC, pct=PCT, sw=_SWEEP),
     "BL3_logits": over(LOG_H, f"SELECT user_id, item_id, {_LOGIT('score')} AS logit_score, {_LOGIT('score_b')} AS logit_score_b FROM sc", sc=SC),
 }

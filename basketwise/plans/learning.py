@@ -8,10 +8,11 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..operators import features, inference, labels, metrics, models, preprocess, selection, trees
+from ..operators.ranges import ranked
 from ..sources import logs
 from ..sources.scratch import own_dir, written
 from ..streaming import partials
-from .base import LOG_H, PAIR, over, rounded
+from .base import HOURLY, LOG_H, PAIR, over, rounded
 from .dimensions import CAND, RESOLVED, candidates
 from .evaluation import scored
 from .features import NARROW
@@ -78,6 +79,26 @@ def _scores(s, d):
     return models.score(models.fit_logistic(ready, FEATURES, "label")[0], ready, FEATURES)
 
 
+def _stacked(s, d):
+    """Scores of the meta-model on out-of-fold logits of a logistic model and boosted trees."""
+    oof = written(models.out_of_fold(written(scored(s, d), "scored"), FEATURES, "label"), "oof")
+    model, own = models.stacked(oof, "label")
+    return models.score(model, metrics.logits(oof, ["score_logistic", "score_boosted"]), own)
+
+
+def _hours(s, d):
+    """The raw log as a stream of four files in order of time, its hours counted as they close."""
+    folder = f"{own_dir(s)}/hours-{uuid.uuid4().hex}"
+    raw = ranked(logs.log_h(s, d), ["time", "event_id"], "nth", size="n").withColumn("quarter", F.floor((F.col("nth") - 1) * 4 / F.col("n")))
+    raw = written(raw, "ordered")
+    for i in range(4):  # one after the other, so that their times of writing are in order
+        raw.where(F.col("quarter") == i).drop("nth", "n", "quarter").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = s.readStream.schema(raw.drop("nth", "n", "quarter").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    partials.stream_hours(source, f"{folder}/out", f"{folder}/checkpoint", "48 hours")
+    found = s.read.schema("start timestamp, pv_count long, fav_count long, cart_count long, buy_count long, unique_users long, unique_items long").parquet(f"{folder}/out")
+    return found.select(F.to_date("start").alias("date"), F.hour("start").alias("hour"), "pv_count", "fav_count", "cart_count", "buy_count", "unique_users", "unique_items")
+
+
 def _tree_parts(s, d):
     """What each feature adds to the margin of a boosted model, for each labelled pair."""
     ready = written(scored(s, d), "scored")
@@ -126,6 +147,10 @@ QUERIES = {
     "ML1_logistic_scores": lambda s, d: rounded(models.logistic_scores(scored(s, d), FEATURES, "label"), 4),
     "ML2_boosted_scores": lambda s, d: models.boosted_scores(scored(s, d), FEATURES, "label"),
     "ML5_out_of_fold": lambda s, d: models.out_of_fold(scored(s, d), FEATURES, "label"),
+    "ST4_streamed_hours": _hours,
+    "ML4_halving": lambda s, d: _results(s, models.successive_halving(*_split(s, d), FEATURES, "label", models.drawn_settings(27)), {"trial": "int", "rung": "int", "rounds": "int", "depth": "int", "step_size": "double", "min_instances": "int", "subsample": "double", "average_precision": "double"}),
+    "ML5_stacked_scores": _stacked,
+    "FS2_neighbour_information": lambda s, d: rounded(selection.neighbour_information(written(scored(s, d), "scored"), [*FEATURES, "score", "score_b"], "label")),
     "EV20_tree_contributions": _tree_parts,
     "EV21_top_tree_contributions": lambda s, d: metrics.top_contributions(_tree_parts(s, d), 2),
     "ML10_coefficients": lambda s, d: models.coefficient_table(*models.fit_logistic(scored(s, d), FEATURES, "label", 0.01, 0.0)),
@@ -139,6 +164,7 @@ SQL = {
     "ST2_streamed_days": over(LOG_H, """SELECT user_id, CAST(time AS DATE) AS d, count(*) AS n, count(DISTINCT time) AS n_times, min(time) AS first, max(time) AS last, max(time) FILTER (WHERE behavior_type = 4) AS last_buy,
         count(*) FILTER (WHERE hour(time) BETWEEN 6 AND 17) AS n_day, count(*) FILTER (WHERE hour(time) >= 18) AS n_evening, count(*) FILTER (WHERE hour(time) < 6) AS n_night, false AS is_power_user FROM log GROUP BY ALL"""),
     "ST2_streamed_wide": FEATURE_SQL["FT13_inference_wide"],
+    "ST4_streamed_hours": over(LOG_H, "SELECT * FROM h WHERE CAST(date AS TIMESTAMP) + to_hours(hour + 1) <= (SELECT max(time) FROM log) - INTERVAL 48 HOURS", h=HOURLY),
     "SNK4_run_metadata": over(LOG_H, f"SELECT count(*) AS n_candidates, count(*) FILTER (WHERE status <> 'unmatched') AS n_pairs, count(*) FILTER (WHERE status = 'unmatched') AS n_rejects, count(*) FILTER (WHERE status <> 'unmatched') AS n_predictions, CAST(0.5 AS DOUBLE) AS threshold, CAST({len(SERVED)} AS BIGINT) AS n_features FROM res", cand=CAND, res=RESOLVED),
     "PP8_stored_parameters": FEATURE_SQL["PP6_parameters"],
     "ST3_clean_and_count": f"SELECT event_id % 4 AS batch_id, count(*) AS n_rows, count(*) FILTER (WHERE behavior_type <= 4) AS n_valid FROM ({LOG_H.replace(' WHERE behavior_type <= 4', '')}) GROUP BY ALL",
