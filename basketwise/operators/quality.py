@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .clean import TUPLE
 
 NAMES = {1: "pv", 2: "fav", 3: "cart", 4: "buy"}
@@ -95,6 +97,65 @@ def audit(built: DataFrame, again: DataFrame, keys: list[str], fields: list[str]
     return one.select("n_keys", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("n_different")) for f in fields))).alias("x")).select("x.field", "n_keys", "x.n_different")
 
 
+#: Fields of each kind of table that are recomputed.
+AUDITED = {
+    "user": ("user_id", ["pv_count", "fav_count", "cart_count", "buy_count", "active_days", "buy_item_count", "repurchase_item_count", "view_to_buy_rate"]),
+    "item": ("item_id", ["pv_count", "fav_count", "cart_count", "buy_count", "view_user_count", "buy_user_count", "view_to_buy_rate"]),
+    "category": ("item_category", ["pv_count", "fav_count", "cart_count", "buy_count", "item_count", "buy_item_count", "buy_item_pct"]),
+    "day": ("date", ["pv_count", "fav_count", "cart_count", "buy_count", "unique_users", "unique_items"]),
+}
+
+
+def representatives(tables: dict[str, DataFrame], power: DataFrame) -> DataFrame:
+    """``(kind, role, key)`` of a few keys that show each case: power users with all behaviours and one who only views; items and
+    categories with all and with views alone; the first, middle and last day. Of each the least keys."""
+    some = lambda *names: reduce(lambda a, b: a & b, (F.col(f"{n}_count") > 0 for n in names))
+    rest = (F.col("fav_count") == 0) & (F.col("cart_count") == 0) & (F.col("buy_count") == 0)
+    users = tables["user"].join(power.select("user_id"), "user_id", "left_semi")
+    picks = [
+        (users, "user", "power", some("fav", "cart", "buy"), 2), (tables["user"], "user", "only views", rest, 1),
+        (tables["item"], "item", "hot", some("fav", "cart", "buy") & (F.col("view_user_count") >= 3), 5), (tables["item"], "item", "cold", rest & (F.col("view_user_count") == 1), 3),
+        (tables["category"], "category", "hot", some("pv", "fav", "cart", "buy"), 2), (tables["category"], "category", "cold", rest & some("pv"), 2),
+    ]
+    named = lambda df, kind, role: df.select(F.lit(kind).alias("kind"), role.alias("role"), F.col(AUDITED[kind][0]).cast("string").alias("key"))
+    out = [named(df.where(c).orderBy(AUDITED[kind][0]).limit(n), kind, F.lit(role)) for df, kind, role, c, n in picks]
+    days = tables["day"].select("date", F.row_number().over(W.orderBy("date")).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))  # a row a day
+    roles = F.array_compact(F.array(F.when(F.col("i") == 1, "first"), F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, "middle"), F.when(F.col("i") == F.col("n"), "last")))
+    days = days.select("date", F.explode(roles).alias("role"))
+    return reduce(DataFrame.unionByName, [*out, named(days, "day", F.col("role"))])
+
+
+def recomputed(log: DataFrame) -> dict[str, DataFrame]:
+    """The audited fields straight from rows, by distinct counts, not by way of pairs."""
+    kind = F.col("behavior_type")
+    counts = [F.count_if(kind == k).alias(f"{n}_count") for k, n in NAMES.items()]
+    of = lambda c, *ks: F.count_distinct(F.when(kind.isin(*ks), F.col(c)))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    seen = lambda by, other: log.groupBy(by, other).agg(F.bool_or(kind == 1).alias("v"), F.bool_or(kind == 4).alias("b"), F.count_if(kind == 4).alias("n")).groupBy(by).agg(ratio(F.count_if(F.col("v") & F.col("b")), F.count_if("v")).alias("view_to_buy_rate"), F.count_if(F.col("n") >= 2).alias("repurchase_item_count"))
+    users = log.groupBy("user_id").agg(*counts, F.count_distinct(F.to_date("time")).alias("active_days"), of("item_id", 4).alias("buy_item_count")).join(seen("user_id", "item_id"), "user_id")
+    items = log.groupBy("item_id").agg(*counts, of("user_id", 1).alias("view_user_count"), of("user_id", 4).alias("buy_user_count")).join(seen("item_id", "user_id").drop("repurchase_item_count"), "item_id")
+    every = F.count_distinct("item_id")
+    categories = log.groupBy("item_category").agg(*counts, every.alias("item_count"), of("item_id", 4).alias("buy_item_count"), ratio(of("item_id", 4), every).alias("buy_item_pct"))
+    days = log.groupBy(F.to_date("time").alias("date")).agg(*counts, F.count_distinct("user_id").alias("unique_users"), every.alias("unique_items"))
+    return {"user": users, "item": items, "category": categories, "day": days}
+
+
+def sample_audit(log: DataFrame, tables: dict[str, DataFrame], chosen: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """``(kind, role, key, field, value, matches)``: each audited field of the chosen keys as a built table has it, and whether its
+    recomputation from the log agrees. Only the rows of chosen keys are recomputed."""
+    keys = {k: written(chosen.where(F.col("kind") == k).select(F.col("key").cast(dict(tables[k].dtypes)[c]).alias(c), "role"), "chosen") for k, (c, _) in AUDITED.items()}
+    parts = []
+    for k, (c, fields) in AUDITED.items():
+        at = F.to_date("time") if k == "day" else F.col(c)
+        own = log.withColumn("__at", at).join(F.broadcast(keys[k].select(F.col(c).alias("__at")).distinct()), "__at", "left_semi").drop("__at")
+        again = recomputed(own)[k].select(c, *(F.col(f).alias(f"again_{f}") for f in fields))
+        both = keys[k].join(tables[k].select(c, *fields), c, "left").join(again, c, "left")
+        cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value"), F.col(f"again_{f}").cast("double").alias("again")) for f in fields)))
+        off = F.abs(F.col("x.value") - F.col("x.again")) <= tolerance
+        parts.append(both.select(F.lit(k).alias("kind"), "role", F.col(c).cast("string").alias("key"), cells.alias("x")).select("kind", "role", "key", "x.field", "x.value", F.coalesce(off, F.lit(False)).alias("matches")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def split_quality(samples: DataFrame, special: list[str]) -> DataFrame:
     """Per split: rows, share, positive rate, kinds of day, time range. ``samples`` has split, label, last_time."""
     day, weekday = F.to_date("last_time"), F.weekday("last_time")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, dims, filters, quality
 from ..sources import files, logs
-from ..sources.scratch import own_dir
-from .base import DAILY, DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_C, LOG_D, LOG_H, PAIR, RAW, events, over, rounded
+from ..sources.scratch import own_dir, written
+from .base import DAILY, DIM_CATEGORY, DIM_ITEM, DIM_USER, LOG_C, LOG_D, LOG_H, LOG_O, PAIR, RAW, events, over, rounded
 
 TIMED = f"SELECT *, CASE WHEN event_id % 10 = 0 THEN 'x' WHEN event_id % 10 = 1 THEN strftime(ts, '%Y-%m-%d %H:30') ELSE strftime(ts, '%Y-%m-%d %H') END AS time_text FROM ({RAW.replace('SELECT event_id', 'SELECT ts, event_id')})"
 
@@ -50,6 +50,20 @@ def _keys(spark, d):
     return quality.primary_keys({"dim_user": (t["user"], ["user_id"]), "dim_item": (t["item"], ["item_id"]), "dim_category": (t["category"], ["item_category"]), "dim_time_daily": (t["daily"], ["date"]), "dim_time_hourly": (hourly, ["date", "hour"]), "dim_time_weekday_hour": (weekday, ["weekday", "hour"])})
 
 
+def _sample_audit(spark, d):
+    """Representative users, items, categories and days of the order log, each field recomputed from rows."""
+    log = logs.log_o(spark, d)
+    pair = written(dims.pairs(log), "pairs")
+    tables = {"user": dims.user_funnel(pair).join(dims.user_activity(log), "user_id"), "item": dims.item_dim(pair), "category": dims.category_dim(pair), "day": dims.time_dim(log, "daily")}
+    tables = {k: written(df, k) for k, df in tables.items()}
+    return quality.sample_audit(log, tables, quality.representatives(tables, clean.outlier_users(log)))
+
+
+def _colocated(spark, d):
+    """The user dimension of a log in buckets of users: no exchange below its joins."""
+    return dims.user_dim(files.bucketed(logs.log_o(spark, d), "user_id", 8, f"{own_dir(spark)}/bucketed-{uuid.uuid4().hex}"))
+
+
 def _audit(spark, d):
     """The user table against one built from filtered groups of the log, field by field."""
     log = logs.log_h(spark, d)
@@ -129,6 +143,9 @@ QUERIES = {
     "QLT10_conservation": lambda s, d: quality.conservation(logs.log_h(s, d), _dims(s, d)),
     "QLT11_null_columns": lambda s, d: quality.null_columns(_dims(s, d)),
     "QLT12_audit": _audit,
+    "QLT12_sample_audit": lambda s, d: rounded(_sample_audit(s, d)),
+    "SNK2_colocated_users": lambda s, d: rounded(_colocated(s, d)),
+    "SRC5_first_rows": lambda s, d: files.first_rows(s.read.parquet(f"{d}/lineitem.parquet"), 5_000).agg(F.count("*").alias("n_rows")),
 }
 
 _SEG = "SELECT user_id, count(*) FILTER (WHERE behavior_type = 1) AS pv FROM log GROUP BY user_id"
@@ -144,6 +161,16 @@ _NULLS = {
     "daily": ("dy", ["date", "pv_count", "fav_count", "cart_count", "buy_count", "unique_users", "unique_items"]),
 }
 _NULLSQL = " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM {t}" for name, (t, cols) in _NULLS.items() for c in cols)
+_REST = "fav_count = 0 AND cart_count = 0 AND buy_count = 0"
+_USED = "fav_count > 0 AND cart_count > 0 AND buy_count > 0"
+_PICKS = (
+    ("user", "power", "u", f"{_USED} AND user_id IN (SELECT user_id FROM out)", 2), ("user", "only views", "u", _REST, 1), ("item", "hot", "i", f"{_USED} AND view_user_count >= 3", 5),
+    ("item", "cold", "i", f"{_REST} AND view_user_count = 1", 3), ("category", "hot", "c", f"{_USED} AND pv_count > 0", 2), ("category", "cold", "c", f"{_REST} AND pv_count > 0", 2),
+)
+_CHOSEN = " UNION ALL ".join(f"(SELECT '{k}' AS kind, '{r}' AS role, CAST({quality.AUDITED[k][0]} AS VARCHAR) AS key FROM {t} WHERE {w} ORDER BY {quality.AUDITED[k][0]} LIMIT {n})" for k, r, t, w, n in _PICKS) + """
+    UNION ALL SELECT 'day', role, CAST(date AS VARCHAR) FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM d), (SELECT unnest(['first', 'middle', 'last']) AS role)
+    WHERE i = CASE role WHEN 'first' THEN 1 WHEN 'middle' THEN n // 2 + 1 ELSE n END"""
+_REPRESENTED = " UNION ALL ".join(f"SELECT kind, role, key, '{f}' AS field, round(CAST(t.{f} AS DOUBLE), 6) AS value, true AS matches FROM chosen JOIN {k[0]} t ON kind = '{k}' AND CAST(t.{c} AS VARCHAR) = key" for k, (c, fs) in quality.AUDITED.items() for f in fs)
 
 SQL = {
     "SRC3_parquet_scan": "SELECT event_id, user_id, event_type FROM events",
@@ -189,5 +216,8 @@ SQL = {
     "QLT9_primary_keys": over(LOG_H, " UNION ALL ".join([_PK("dim_user", "u", "user_id"), _PK("dim_item", "i", "item_id"), _PK("dim_category", "c", "item_category"), _PK("dim_time_daily", "dy", "date"), _PK("dim_time_hourly", "h", "date, hour"), _PK("dim_time_weekday_hour", "w", "weekday, hour")]), **_TABLES, h="SELECT CAST(time AS DATE) AS date, hour(time) AS hour FROM log GROUP BY ALL", w="SELECT dayofweek(time) AS weekday, hour(time) AS hour FROM log GROUP BY ALL"),
     "QLT10_conservation": over(LOG_H, _CONS, **_TABLES),
     "QLT11_null_columns": over(LOG_H, _NULLSQL, **_TABLES),
+    "QLT12_sample_audit": over(LOG_O, _REPRESENTED, fence=FENCE, out=OUTLIERS, u=DIM_USER, i=DIM_ITEM, c=DIM_CATEGORY, d=DAILY, chosen=_CHOSEN),
+    "SNK2_colocated_users": over(LOG_O, DIM_USER),
+    "SRC5_first_rows": "SELECT least(5000, count(*)) AS n_rows FROM lineitem",
     "QLT12_audit": over(LOG_H, " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n_keys, CAST(0 AS BIGINT) AS n_different FROM (SELECT DISTINCT user_id FROM log)" for f in ("pv_count", "fav_count", "cart_count", "buy_count", "buy_item_count", "repurchase_item_count"))),
 }
