@@ -17,16 +17,17 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def sample_documents(docs: DataFrame, per_language: int, broadcast_langs: int = 100_000) -> DataFrame:
-    """About ``per_language`` rows of each language, drawn evenly without ranking all rows of a language in one task; each
-    row is drawn for itself, so the set has its bound however often a document or id is repeated. The share of each language
-    is broadcast if there are at most ``broadcast_langs``."""
+    """About ``per_language`` rows of each language, drawn by a hash of id and text, so the same ones however the table is split,
+    and without ranking all rows of a language in one task. Equal rows are drawn once, so the set has its bound however often a document
+    is repeated (the more often, the fewer others are drawn). The share of each language is broadcast if there are at most
+    ``broadcast_langs``."""
     share = docs.groupBy("lang").count().select(F.col("lang").alias("__lang"), (F.lit(float(per_language)) / F.col("count")).alias("__share"))
     share = written(share, "shares")
     if share.count() <= broadcast_langs:
         share = F.broadcast(share)
-    spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(17)), F.lit(1_000_000)) / F.lit(1e6)
-    drawn = docs.select("lang", "text", spread.alias("__spread")).join(share, F.col("lang") == F.col("__lang"))
-    return drawn.where("__spread < __share").select("lang", "text")
+    spread = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1_000_000)) / F.lit(1e6)
+    drawn = docs.select("lang", "doc_id", "text", spread.alias("__spread")).join(share, F.col("lang") == F.col("__lang"))
+    return drawn.where("__spread < __share").dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text")
 
 
 def gram_counts(sample: DataFrame, order: int) -> DataFrame:

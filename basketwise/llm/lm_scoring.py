@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .storage import written
 from .words import Words, blocks, full, mix, small
 
-SIZE = 512  # a vocabulary counts as so many words at least, so that small corpora are smoothed too
 START = np.uint64(0xA0761D6478BD642F)  # stands before a text
 WORD, CELL = 0, 1  # what counts are of
 
@@ -152,14 +151,14 @@ def answered(asks: DataFrame, kind: int) -> DataFrame:
     return asks.groupBy("part").applyInArrow(run, "block long, kind int, part int, counts binary, kinds long")
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: float = 64.0, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, part_cells: int = 500_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: float = 64.0, broadcast_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, part_cells: int = 500_000, least_words: int = 512) -> DataFrame:
     """One row per input row: ``(id, n_tokens, target_bits, background_bits, score)``.
 
     ``target_ids`` has one column, the ids of the documents that the target model learns from; the background
     model learns from all documents. Both share one vocabulary (all words of the corpus), order, prior and
     counting, and the background's counts are scaled to the target's number of tokens, so that both lean on their
     priors alike and only the text they saw differs: bigram counts backed by ``prior`` tokens of the unigram model,
-    which has one more of each word. Bits are means over a document's tokens; the score is target less background: the
+    which has one more of each word; a vocabulary counts as ``least_words`` words at least, so that small corpora are smoothed too. Bits are means over a document's tokens; the score is target less background: the
     lower, the more a document is like the target.
 
     Documents are gathered in blocks of about ``block_tokens`` words. Each block asks once for each of its
@@ -181,7 +180,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior: floa
     total = table.select(F.sum("cells").alias("cells"), F.sum(every).alias("tokens"), F.sum(seen).alias("target")).first()
     parts = max(32, math.ceil((total["cells"] or 0) / part_cells))
     of_words = written(answered(asked(table, parts, WORD), WORD), "words")
-    vocabulary = max(SIZE, (of_words.select(F.sum("kinds")).first()[0] or 0) - 1)
+    vocabulary = max(least_words, (of_words.select(F.sum("kinds")).first()[0] or 0) - 1)
     tokens = (total["tokens"] or 0, total["target"] or 0)
     replies = of_words.drop("kinds").unionByName(answered(asked(table, parts, CELL), CELL).drop("kinds"))
 

@@ -86,3 +86,11 @@ def test_many_languages(spark):
     train = train.unionByName(documents(spark, [(99, letters[3] * 40)], lang="zz"))
     got = {r["doc_id"]: r["lang_pred"] for r in predict(documents(spark, [x * 5 for x in letters]), train).collect()}
     assert got == {i: f"l{i:02d}" for i in range(24)}
+
+
+def test_the_model_is_the_same_however_the_table_is_split(spark):
+    from basketwise.llm.language_id import sample_documents
+
+    docs = documents(spark, [(i % 150, f"{chr(97 + i % 20)} word {i % 150}") for i in range(300)] + [(999, "often")] * 400).select("doc_id", "text", "lang")
+    drawn = [sorted(r["text"] for r in sample_documents(docs.repartition(n), 200).collect()) for n in (1, 3, 8)]
+    assert drawn[0] == drawn[1] == drawn[2] and drawn[0].count("often") <= 1 and 30 < len(drawn[0]) < 200

@@ -1,7 +1,7 @@
 import math
 from collections import Counter
 
-from basketwise.llm.lm_scoring import SIZE, cross_entropy_difference
+from basketwise.llm.lm_scoring import cross_entropy_difference
 
 from .helpers import documents, prose, words
 
@@ -17,7 +17,7 @@ def brute(texts, target, prior=64.0):
                 pair[a, b] += 1
                 before[a] += 1
         single = Counter(x for w in docs for x in w)
-        total = scale * sum(single.values()) + SIZE
+        total = scale * sum(single.values()) + 512
         return lambda a, b: -math.log2((scale * pair[a, b] + prior * (scale * single[b] + 1) / total) / (scale * before[a] + prior))
 
     t, g = model([w for i, w in enumerate(split) if i in target]), model(split, sum(len(split[i]) for i in target) / sum(map(len, split)))
