@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +73,19 @@ def test_svd_of_full_rank_is_the_heat(spark):
     rows = [(u, i, 1 + (u + i) % 4, 0) for u in range(4) for i in range(9) if (u * i) % 3 != 1]
     pair = dims.pairs(log(spark, rows))
     heat = pair.select("user_id", "item_id", sum(F.col(n) * features.WEIGHTS[b] for b, n in dims.COUNTS.items()).alias("heat"))
-    total = sum(r["heat"] ** 2 for r in heat.collect())
-    both = heat.join(features.latent_scores(pair, 3), ["user_id", "item_id"]).collect()
-    assert len(both) == pair.count()
-    assert sum((r["heat"] - r["svd_score"]) ** 2 for r in both) < 0.2 * total
+    cells = {(r["user_id"], r["item_id"]): float(r["heat"]) for r in heat.collect()}
+    users, items = (sorted({k[i] for k in cells}) for i in (0, 1))
+    matrix = np.array([[cells.get((u, i), 0.0) for i in items] for u in users])
+    left, length, right = np.linalg.svd(matrix, full_matrices=False)
+    for k, rounds in ((3, 30), (len(items), 2)):  # with all ranks the heat itself
+        want = (left[:, :k] * length[:k]) @ right[:k]
+        got = {(r["user_id"], r["item_id"]): r["svd_score"] for r in features.latent_scores(pair, k, rounds).collect()}
+        assert got.keys() == cells.keys()
+        top = max(abs(matrix).max(), 1.0)
+        if k < len(items):
+            assert all(abs(got[u, i] - want[users.index(u), items.index(i)]) < 1e-3 * top for u, i in got)
+        else:
+            assert sum((got[c] - cells[c]) ** 2 for c in cells) < 0.05 * sum(x * x for x in cells.values())
 
 
 def scored(spark, n=400):
