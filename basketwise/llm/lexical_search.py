@@ -189,7 +189,7 @@ def best_of(table: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]],
     return table.mapInArrow(run, f"item long, id {dict(table.dtypes)['id']}, score long")
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 100_000, shard_docs: int = 8192, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 100_000, block_items: int = 10_000, shard_docs: int = 8192, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the ``k`` documents of highest score above 0 for each item, from rank 1.
 
     A document's score sums over an item's terms, repeats included, the term's weight times its saturated count, in integers
@@ -198,13 +198,14 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: i
     of ``shard_docs`` documents at a time, searches them for all items by best positions, and returns k rows an item. Texts
     never shuffle, and memory is bounded by a shard's postings.
 
-    Queries go in blocks of about ``block_terms`` different terms; where items have more, the corpus is read once for each
-    block. Null and empty texts have no terms: as documents they are not counted, as items they get no rows. Very long texts
+    Queries go in blocks of about ``block_terms`` different terms and ``block_items`` items; where there are more, the corpus is
+    read once for each block. Null and empty texts have no terms: as documents they are not counted, as items they get no rows. Very long texts
     are whole. Equal rows of ``items`` are one item; rows that share an id but not the text are ranked apart, each from 1;
     repeated rows of ``docs`` are documents of their own. Empty tables give no rows; other columns play no part.
     """
     asked = written(query_terms(items, item_id, item_text).where("term is not null"), "queries")
-    blocks_needed = max(1, math.ceil(asked.select("term").distinct().count() / block_terms))
+    sizes = asked.agg(F.count_distinct("term").alias("terms"), F.count_distinct("item").alias("items")).first()
+    blocks_needed = max(1, math.ceil(sizes["terms"] / block_terms), math.ceil(sizes["items"] / block_items))
     source = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text"))
     found = None
     for b in range(blocks_needed):

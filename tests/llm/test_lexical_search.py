@@ -57,6 +57,7 @@ def test_equals_brute_force_with_ties_and_odd_rows(spark):
     assert found(spark, docs, items) == want
     assert found(spark, docs, items, shard_docs=17) == want
     assert found(spark, docs, items, block_terms=20) == want  # several blocks of queries
+    assert found(spark, docs, items, block_items=5) == want
     assert found(spark, docs, items, k=3) == [x for x in want if x[1] <= 3]
 
 
