@@ -51,7 +51,7 @@ class WordEncoder:
     task is encoded once: words of plain Latin letters, nearly all, go through the pair index, the library
     encodes the rest. With any other tokenizer the library gets whole texts."""
 
-    def __init__(self, path: str, end_id: int, batch_bytes: int = 256 << 10, most_bytes: int = 36 << 20):
+    def __init__(self, path: str, end_id: int, batch_bytes: int = 256 << 10, most_bytes: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, keep_ids: bool)
         encoder = shared.value
         ranks = route_ranks(encoder.size)
         for batch in batches:
-            for part in blocks(batch, "text", 12 << 20):
+            for part in blocks(batch, "text", 6 << 20):
                 ids, first = encoder.encode(part.column("text"))
                 row, start, length, check, held = [], [], [], [], []
                 narrow = encoder.size <= 65536

@@ -51,7 +51,8 @@ def runs(values: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``limit`` bytes of text; a longer text stands alone."""
+    """Slices of whole rows with about ``limit`` bytes of text; a longer text stands alone. After the last, what Arrow keeps of
+    memory in this worker is given back: other workers of the executor may need it."""
     texts = batch.column(column)
     if not len(batch):
         return
@@ -62,6 +63,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         stop = max(start + 1, int(np.searchsorted(ends, floor + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
