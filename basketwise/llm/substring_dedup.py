@@ -5,26 +5,34 @@ looks at short windows only; where one is repeated, windows of twice the length
 looked at, and so on until the width is reached or nothing survives. Below the last level a window of
 ``width`` words is represented by one of the short windows in it, the one with the least hash: equal
 windows choose alike, so nothing is lost, and a small share of all positions shuffles.
+
+Texts are written once, compressed, in blocks of some megabytes, bucketed by block. A level reads them where they lie: each block asks
+once for each of its hashes, and the places of those that are repeated go back to the block. Texts move no more, whatever
+share of them holds something repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import bucketed
+from ..sources.scratch import own_dir
 from .storage import written
-from .words import Words, blocks, runs, small
-from .words import full as unpacked
+from .words import Words, blocks, full, runs, small, text_bytes
 
 BLOCK = 4 << 20
+MOST_BUCKETS = 65536
 
 
 def least_of(values: np.ndarray, span: int) -> np.ndarray:
@@ -65,193 +73,153 @@ def anchors(words: Words, hashes: np.ndarray, length: int, width: int, begin: np
     return short, chosen, np.flatnonzero(used)
 
 
-def lists(values: np.ndarray, of: np.ndarray, n: int, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))), pa.int32()), pa.array(values, kind))
-
-
-def flags(words: Words, column: pa.Array, size: int) -> np.ndarray:
-    """True at the word places (counted within each text) that the lists of a column name."""
-    out = np.zeros(max(size, 0), bool)
-    if size > 0 and len(column):
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
-        places = np.asarray(column.flatten(), np.int64) + np.repeat(words.first[:-1], sizes)
-        out[places[places < size]] = True
-    return out
-
-
-def told_apart(full: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of hashes of a block (with ``other`` as their second half) those that occur in it more than once, and of each
-    such the first."""
-    order = np.argsort(full, kind="stable") if other is None else np.lexsort((other, full))
-    same = np.zeros(len(full) + 1, bool)
-    same[1:-1] = full[order[1:]] == full[order[:-1]]
-    if other is not None:
-        same[1:-1] &= other[order[1:]] == other[order[:-1]]
-    sure, head = np.zeros(len(full), bool), np.zeros(len(full), bool)
-    sure[order] = same[1:] | same[:-1]
-    head[order] = same[1:] & ~same[:-1]
-    return sure, head
-
-
-def found_lists(words: Words, at: np.ndarray, full: np.ndarray, n: int, other: np.ndarray | None = None) -> list[pa.Array]:
-    """Lists for the ``n`` texts of a block: ``hash`` and ``place`` of what the block has once, ``sure``, places of what
-    it has more often, and ``shared``, the hashes of the latter, once. So a line that stands everywhere leaves a
-    block once, and makes no key large."""
-    sure, head = told_apart(full, other)
-    of = words.row[at]
-    place = at - words.first[of]
-    pick = lambda mask, values, kind: lists(values[mask], of[mask], n, kind)
-    own = full.view(np.int64)
-    out = [pick(~sure, own, pa.int64()), pick(~sure, place, pa.int32()), pick(sure, place, pa.int32()), pick(head, own, pa.int64())]
-    return out if other is None else [*out, pick(~sure, other, pa.int32()), pick(head, other, pa.int32())]
-
-
-LISTS = ["hash", "place", "sure", "shared"]
-KINDS = "hash array<long>, place array<int>, sure array<int>, shared array<long>"
-
-
-def first_level(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """Per document: its key, number of words, digest of all words, and its representatives (see ``found_lists``)."""
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of about ``BLOCK`` bytes of whole texts: ``(block, ids, sizes, texts)`` with the bytes of each text (null: none) and all
+    texts in a row, compressed. A longer text is a block of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in blocks(batch, "text", BLOCK):
-                words = Words(part.column("text"))
-                hashes = words.hashes()[0]
-                short, _, used = anchors(words, hashes, length, width, within(words, width))
-                raw = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
-                sha = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), pa.array(words.counts, pa.int64()), pa.array(sha), *found_lists(words, used, short[used], len(part))], ["k", "id", "n_words", "sha", *LISTS])
+                data, at = text_bytes(part.column("text"))
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), one(part.column("id")), one(pa.array(np.diff(at))), pa.array([small(data.tobytes())], pa.binary())], ["block", "ids", "sizes", "texts"])
+                block += 1
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"k long, id {kind}, n_words long, sha string, {KINDS}")
+    return docs.mapInArrow(run, f"block long, ids array<{dict(docs.dtypes)['id']}>, sizes array<long>, texts binary")
 
 
-def next_level(held: DataFrame, before: int, length: int, width: int) -> DataFrame:
-    """As ``first_level`` for windows whose representative of the level before is repeated (``alive``)."""
+def texts_of(row: pa.RecordBatch) -> pa.Array:
+    """The texts of one block."""
+    sizes = np.asarray(row.column("sizes").flatten(), np.int64)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    data = pa.py_buffer(full(row.column("texts")[0].as_py()))
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(at), data])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "text", BLOCK):
-                words = Words(part.column("text"))
-                hashes = words.hashes()[0]
-                begin = surviving(words, hashes, before, width, part.column("alive"))
-                short, _, used = anchors(words, hashes, length, width, begin)
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), part.column("text"), *found_lists(words, used, short[used], len(part))], ["k", "id", "text", *LISTS])
 
-    kind = dict(held.dtypes)["id"]
-    return held.mapInArrow(run, f"k long, id {kind}, text string, {KINDS}")
+def packed(places: np.ndarray) -> bytes:
+    """Ascending places as compressed steps."""
+    return small(np.diff(places, prepend=0).astype("<u4").tobytes())
 
 
-def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive: pa.Array) -> np.ndarray:
-    """For each word whether a window of ``width`` words begins there whose representative is alive."""
+def places_of(row: pa.RecordBatch) -> np.ndarray:
+    """The places that a block was told."""
+    data = row.column("alive")[0].as_py()
+    return np.zeros(0, np.int64) if data is None else np.cumsum(np.frombuffer(full(data), "<u4").astype(np.int64))
+
+
+def surviving(words: Words, hashes: np.ndarray, before: int, width: int, alive: np.ndarray) -> np.ndarray:
+    """For each word whether a window of ``width`` words begins there whose representative is at a place in ``alive``."""
     begin = within(words, width)
     short, chosen, _ = anchors(words, hashes, before, width, begin)
     out = np.zeros(len(begin), bool)
     if len(chosen):
-        out[np.flatnonzero(begin)] = flags(words, alive, len(short))[chosen]
+        known = np.zeros(len(short), bool)
+        known[alive] = True
+        out[np.flatnonzero(begin)] = known[chosen]
     return out
 
 
-def last_level(held: DataFrame, before: int, width: int) -> DataFrame:
-    """Per document: text, compressed, and windows of the full width as ``found_lists`` gives them. Here, where words are judged,
-    96 bits, from two independent hashes of words (``hash`` and ``other``), tell windows apart."""
+def told_apart(at: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each different key of a block once: where it stands in ``keys``, its first place, and a list of its other places (null: none)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    more = np.diff(np.append(first, len(order))) - 1
+    ends = pa.array(np.concatenate(([0], np.cumsum(more))), pa.int32(), mask=np.append(more == 0, False))
+    return order[first], at[order[first]], pa.ListArray.from_arrays(ends, pa.array(at[order[~new]], pa.int32()))
+
+
+def asked(held: DataFrame, before: int, length: int, width: int) -> DataFrame:
+    """``(hash, other, block, place, more)``: the hashes that a block asks for, each once, and the words of the block where they begin. So
+    a line that stands everywhere leaves a block once, and makes no key large. Below the last level they are the representatives
+    of ``length`` words of windows that survive the level ``before`` (0: of all windows); at the last, ``length`` 0, the
+    windows themselves, told apart by 96 bits from two independent hashes of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text", 2 * BLOCK):
-                words = Words(part.column("text"))
+            for row in (batch.slice(i, 1) for i in range(len(batch))):
+                words = Words(texts_of(row))
                 hashes = words.hashes()
-                begin = np.flatnonzero(surviving(words, hashes[0], before, width, part.column("alive")))
-                full, other = (runs(own, width, width)[begin] if len(begin) else np.zeros(0, np.uint64) for own in hashes)
-                other = (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                text = pa.array([small(x) for x in part.column("text").fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("id"), text, *found_lists(words, begin, full, len(part), other)], ["k", "id", "text", *LISTS, "other", "shared_other"])
+                begin = surviving(words, hashes[0], before, width, places_of(row)) if before else within(words, width)
+                if length:
+                    short, _, at = anchors(words, hashes[0], length, width, begin)
+                    keys = [short[at]]
+                else:
+                    at = np.flatnonzero(begin)
+                    keys = [runs(own, width, width)[at] for own in hashes]
+                    keys[1] = (keys[1] >> np.uint64(32)).astype(np.uint32)
+                which, place, more = told_apart(at, keys)
+                hash_, *other = (k[which] for k in keys)
+                cols = [pa.array(hash_.view(np.int64)), pa.array(other[0].view(np.int32)) if other else pa.nulls(len(which), pa.int32()), pa.array(np.full(len(which), row.column("block")[0].as_py(), np.int64)), pa.array(place, pa.int32()), more]
+                yield pa.RecordBatch.from_arrays(cols, ["hash", "other", "block", "place", "more"])
 
-    kind = dict(held.dtypes)["id"]
-    return held.mapInArrow(run, f"k long, id {kind}, text binary, {KINDS}, other array<int>, shared_other array<int>")
+    return held.mapInArrow(run, "hash long, other int, block long, place int, more array<int>")
 
 
-def places(level: DataFrame) -> DataFrame:
-    """``(of_k, of_id, alive)``: each document's places whose hash is repeated somewhere, but for those that are sure
-    in the last level (they stay in its rows). A hash leaves a block at most once, so one shuffle brings what is
-    counted and what is told of it together."""
-    last = "other" in level.columns
-    key = ["hash", "other"] if last else ["hash"]
-    spread = level.select("k", "id", F.explode(F.arrays_zip(*key, "place")).alias("x")).select("k", "id", *(f"x.{c}" for c in (*key, "place")))
-    shared = level.select(F.explode(F.arrays_zip(*(["shared", "shared_other"] if last else ["shared"]))).alias("x")).select(*(F.col(f"x.{a}").alias(b) for a, b in zip(("shared", "shared_other"), key)))
-    every = spread.unionByName(shared, allowMissingColumns=True)
-    times = F.sum(F.when(F.col("place").isNull(), 2).otherwise(1)).over(W.partitionBy(*key))
-    alive = every.withColumn("n", times).where((F.col("n") > 1) & F.col("place").isNotNull()).select("k", "id", "place")
-    if not last:
-        alive = alive.unionByName(level.select("k", "id", F.explode("sure").alias("place")))
-    return alive.groupBy(F.col("k").alias("of_k"), F.col("id").alias("of_id")).agg(F.collect_set("place").alias("alive"))
+def answered(asks: DataFrame) -> DataFrame:
+    """``(block, alive)``: the places of each block whose hash stands anywhere else, in it or in another."""
 
+    def run(table: pa.Table) -> pa.Table:
+        more = table.column("more").combine_chunks().flatten().to_numpy()
+        return pa.table({"block": table.column("block").slice(0, 1), "alive": pa.array([packed(np.sort(np.concatenate((table.column("place").to_numpy(), more))))], pa.binary())})
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``k`` stands for id and text, so rows that repeat an id with another text stay apart."""
-    return docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    times = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)).over(W.partitionBy("hash", "other"))
+    asks = asks.withColumn("n", times).where("n > 1")
+    return asks.select("block", "place", "more").groupBy("block").applyInArrow(run, "block long, alive binary")
 
 
-def cut(found: DataFrame, width: int, text_out: bool) -> DataFrame:
-    """Remove the words that the windows at ``sure`` and ``alive`` cover."""
+def cut(held: DataFrame, width: int, text_out: bool) -> DataFrame:
+    """One row per text, without the words that the windows at ``alive`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, sha, kept_texts = [], [], []
-            for text, sure, alive in zip(*(batch.column(c).to_pylist() for c in ("text", "sure", "alive"))):
-                own = unpacked(text).split()
-                gone = np.zeros(len(own) + 1, np.int64)
-                for some in (sure, alive):
-                    if some:
-                        at = np.array(some)
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, np.minimum(at + width, len(own)), -1)
-                keep = np.cumsum(gone)[:-1] == 0
-                kept = b" ".join(compress(own, keep.tolist()))
-                removed.append(len(own) - int(keep.sum()))
-                sha.append(hashlib.sha256(kept).hexdigest())
+            for row in (batch.slice(i, 1) for i in range(len(batch))):
+                texts = [x.split() for x in texts_of(row).cast(pa.large_binary()).to_pylist()]
+                counts = np.array([len(x) for x in texts], np.int64)
+                first = np.concatenate(([0], np.cumsum(counts)))
+                alive = places_of(row)
+                edge = np.zeros(first[-1] + 1, np.int64)
+                edge[alive] += 1
+                edge[alive + width] -= 1
+                keep = np.cumsum(edge)[:-1] == 0
+                kept = np.concatenate(([0], np.cumsum(keep)))
+                removed = counts - np.diff(kept[first])
+                left = [b" ".join(compress(own, keep[a:b].tolist()) if gone else own) for own, gone, (a, b) in zip(texts, removed.tolist(), pairwise(first.tolist()))]
+                cols = [row.column("ids").flatten(), pa.array(counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
                 if text_out:
-                    kept_texts.append(kept.decode())
-            cols = [batch.column("k"), batch.column("id"), pa.array(removed, pa.int64()), pa.array(sha)]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept_texts)] if text_out else []), ["k", "id", "n_removed", "kept_sha256"] + ["kept_text"] * text_out)
+                    cols.append(pa.array([x.decode() if gone else None for x, gone in zip(left, removed.tolist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text_out)
 
-    kind = dict(found.dtypes)["id"]
-    return found.mapInArrow(run, f"k long, id {kind}, n_removed long, kept_sha256 string" + ", kept_text string" * text_out)
+    kind = dict(held.dtypes)["ids"][len("array<") : -1]
+    return held.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_out)
 
 
-def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, broadcast_keys: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", text_out: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = 35, base: int = 18, id_col: str = "doc_id", text_col: str = "text", text_out: bool = False) -> DataFrame:
     """One row per input row: ``(id, n_words, n_removed, kept_sha256)``, with ``text_out`` also ``kept_text``
     where words went (null where none did).
 
     A word is removed if a window of ``width`` words over it also begins anywhere else in the input, in the
     same document or another; windows are judged on the input. Null texts have no words. Rows that repeat
     both id and text count as two occurrences. Texts shorter than ``width`` words stay whole; very long texts are
-    read whole, in blocks of their own. Null ids are ids like others; an empty table gives no rows.
+    read whole, in blocks of their own. Null ids are ids like others, and so are ids that repeat with other texts; an empty table
+    gives no rows; other columns of ``docs`` play no part.
 
-    The keys of documents that hold something repeated are broadcast if at most ``broadcast_keys`` (8 bytes each), so that other
-    texts don't shuffle; beyond that all texts shuffle once.
+    All texts shuffle once, compressed, into as many buckets as the input has splits (``MOST_BUCKETS`` at most); after that only
+    hashes and places do.
     """
-    source = keyed(docs, id_col, text_col)
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    buckets = min(max(source.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism), MOST_BUCKETS)
+    table = bucketed(text_blocks(source), "block", buckets, f"{own_dir(spark)}/texts-{uuid.uuid4().hex}")
     steps = levels(width, base)
     if len(steps) == 1:
         steps = [max(1, width // 2), width]
-    first = written(first_level(source, steps[0], width), "anchors")
-    alive = places(first)
-    same = (F.col("k") == F.col("of_k")) & F.col("id").eqNullSafe(F.col("of_id"))
-    text = source
-    for before, length in zip(steps, steps[1:]):
-        alive = written(alive, "alive")
-        if alive.count() <= broadcast_keys:  # then only the texts that go on shuffle
-            text = text.join(F.broadcast(alive.select("of_k")), F.col("k") == F.col("of_k"), "left_semi")
-        held = text.join(alive, same, "inner").select("k", "id", "text", "alive")
-        if length < width:
-            text = written(next_level(held, before, length, width), "level")
-            alive = places(text)
-    full = written(last_level(held, before, width), "windows")
-    found = full.join(places(full), same, "left").where(F.col("alive").isNotNull() | (F.size("sure") > 0)).select("k", "id", "text", "sure", "alive")
-    verdict = cut(found, width, text_out).dropDuplicates(["k", "id"]).withColumnsRenamed({"k": "of_k", "id": "of_id"})
-    out = first.join(verdict, same, "left")
-    columns = [F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return out.select(*columns, *(["kept_text"] if text_out else []))
+    told, before = None, 0
+    for length in [*steps[:-1], 0]:
+        held = table if told is None else table.join(told, "block")
+        told = written(answered(asked(held, before, length, width)), "alive")
+        before = length
+    return cut(table.join(told, "block", "left"), width, text_out).withColumnRenamed("id", id_col)

@@ -46,7 +46,7 @@ def fixture():
 @pytest.mark.parametrize("width,base", [(35, 18), (35, 9), (8, 3)])
 def test_equals_brute_force(spark, width, base):
     texts = fixture()
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeated(documents(spark, texts).repartition(3), width, base, broadcast_keys=0 if base == 9 else 1000).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeated(documents(spark, texts).repartition(3), width, base).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, width)
 
 
@@ -57,6 +57,28 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     assert got == sorted([(1, 50, 50), (1, 50, 50), (None, 50, 0), (2, 50, 0), (2, 50, 0)], key=repr)
 
 
+def test_blocks_of_any_size_agree(spark, monkeypatch):
+    from basketwise.llm import substring_dedup
+
+    texts = fixture()
+    for size in (1, 2000):
+        monkeypatch.setattr(substring_dedup, "BLOCK", size)
+        got = rows(remove_repeated(documents(spark, texts).repartition(2), 35, 9), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert sorted(got) == [(i, *x) for i, x in enumerate(brute(texts, 35))]
+
+
+def test_texts_stay_where_they_lie(spark):
+    """Texts meet what they are told without an exchange of their own."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = remove_repeated(documents(spark, fixture()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
+    texts, told = plan.split("SortMergeJoin")[1].split("FileScan")[:2]
+    assert "Exchange" not in texts and "Exchange" in told
+
+
 def test_empty_table_and_text_out(spark):
     assert remove_repeated(documents(spark, [])).count() == 0
     out = remove_repeated(documents(spark, ["q r " + prose(1, 40), prose(1, 40) + " z"]), text_out=True)
