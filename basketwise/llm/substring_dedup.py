@@ -89,6 +89,14 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"block long, ids array<{dict(docs.dtypes)['id']}>, sizes array<long>, texts binary")
 
 
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows one by one; after each, what Arrow keeps of memory in this worker is given back."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1)
+            pa.default_memory_pool().release_unused()
+
+
 def texts_of(row: pa.RecordBatch) -> pa.Array:
     """The texts of one block."""
     sizes = np.asarray(row.column("sizes").flatten(), np.int64)
@@ -139,22 +147,21 @@ def asked(held: DataFrame, before: int, length: int, width: int) -> DataFrame:
     windows themselves, told apart by 96 bits from two independent hashes of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1) for i in range(len(batch))):
-                words = Words(texts_of(row))
-                hashes = words.hashes()
-                begin = surviving(words, hashes[0], before, width, places_of(row)) if before else within(words, width)
-                if length:
-                    short, _, at = anchors(words, hashes[0], length, width, begin)
-                    keys = [short[at]]
-                else:
-                    at = np.flatnonzero(begin)
-                    keys = [runs(own, width, width)[at] for own in hashes]
-                    keys[1] = (keys[1] >> np.uint64(32)).astype(np.uint32)
-                which, place, more = told_apart(at, keys)
-                hash_, *other = (k[which] for k in keys)
-                cols = [pa.array(hash_.view(np.int64)), pa.array(other[0].view(np.int32)) if other else pa.nulls(len(which), pa.int32()), pa.array(np.full(len(which), row.column("block")[0].as_py(), np.int64)), pa.array(place, pa.int32()), more]
-                yield pa.RecordBatch.from_arrays(cols, ["hash", "other", "block", "place", "more"])
+        for row in single(batches):
+            words = Words(texts_of(row))
+            hashes = words.hashes()
+            begin = surviving(words, hashes[0], before, width, places_of(row)) if before else within(words, width)
+            if length:
+                short, _, at = anchors(words, hashes[0], length, width, begin)
+                keys = [short[at]]
+            else:
+                at = np.flatnonzero(begin)
+                keys = [runs(own, width, width)[at] for own in hashes]
+                keys[1] = (keys[1] >> np.uint64(32)).astype(np.uint32)
+            which, place, more = told_apart(at, keys)
+            hash_, *other = (k[which] for k in keys)
+            cols = [pa.array(hash_.view(np.int64)), pa.array(other[0].view(np.int32)) if other else pa.nulls(len(which), pa.int32()), pa.array(np.full(len(which), row.column("block")[0].as_py(), np.int64)), pa.array(place, pa.int32()), more]
+            yield pa.RecordBatch.from_arrays(cols, ["hash", "other", "block", "place", "more"])
 
     return held.mapInArrow(run, "hash long, other int, block long, place int, more array<int>")
 
@@ -175,23 +182,22 @@ def cut(held: DataFrame, width: int, text_out: bool) -> DataFrame:
     """One row per text, without the words that the windows at ``alive`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1) for i in range(len(batch))):
-                texts = [x.split() for x in texts_of(row).cast(pa.large_binary()).to_pylist()]
-                counts = np.array([len(x) for x in texts], np.int64)
-                first = np.concatenate(([0], np.cumsum(counts)))
-                alive = places_of(row)
-                edge = np.zeros(first[-1] + 1, np.int64)
-                edge[alive] += 1
-                edge[alive + width] -= 1
-                keep = np.cumsum(edge)[:-1] == 0
-                kept = np.concatenate(([0], np.cumsum(keep)))
-                removed = counts - np.diff(kept[first])
-                left = [b" ".join(compress(own, keep[a:b].tolist()) if gone else own) for own, gone, (a, b) in zip(texts, removed.tolist(), pairwise(first.tolist()))]
-                cols = [row.column("ids").flatten(), pa.array(counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
-                if text_out:
-                    cols.append(pa.array([x.decode() if gone else None for x, gone in zip(left, removed.tolist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text_out)
+        for row in single(batches):
+            texts = [x.split() for x in texts_of(row).cast(pa.large_binary()).to_pylist()]
+            counts = np.array([len(x) for x in texts], np.int64)
+            first = np.concatenate(([0], np.cumsum(counts)))
+            alive = places_of(row)
+            edge = np.zeros(first[-1] + 1, np.int64)
+            edge[alive] += 1
+            edge[alive + width] -= 1
+            keep = np.cumsum(edge)[:-1] == 0
+            kept = np.concatenate(([0], np.cumsum(keep)))
+            removed = counts - np.diff(kept[first])
+            left = [b" ".join(compress(own, keep[a:b].tolist()) if gone else own) for own, gone, (a, b) in zip(texts, removed.tolist(), pairwise(first.tolist()))]
+            cols = [row.column("ids").flatten(), pa.array(counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+            if text_out:
+                cols.append(pa.array([x.decode() if gone else None for x, gone in zip(left, removed.tolist())], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * text_out)
 
     kind = dict(held.dtypes)["ids"][len("array<") : -1]
     return held.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_out)
