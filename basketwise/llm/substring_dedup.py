@@ -31,7 +31,7 @@ from ..sources.scratch import own_dir
 from .storage import written
 from .words import Words, blocks, full, runs, small, text_bytes
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 MOST_BUCKETS = 65536
 
 
