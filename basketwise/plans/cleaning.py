@@ -61,7 +61,7 @@ def _sample_audit(spark, d):
 
 def _colocated(spark, d):
     """The user dimension of a log in buckets of users: no exchange below its joins."""
-    return dims.user_dim(files.bucketed(logs.log_o(spark, d), "user_id", 8, f"{own_dir(spark)}/bucketed-{uuid.uuid4().hex}"))
+    return dims.user_dim(logs.log_o_by_user(spark, d))
 
 
 def _audit(spark, d):

@@ -34,6 +34,12 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
     return placed.where((F.col("__p") < cut["__p"]) | ((F.col("__p") == cut["__p"]) & inside)).select(*df.columns)
 
 
+def buckets_for(n: int, rows: int = 500_000, least: int = 8) -> int:
+    """So many buckets that ``n`` rows are about ``rows`` a bucket at most: buckets are tasks, and what a task holds doesn't grow
+    with the table."""
+    return max(least, -(-n // rows))
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, path: str) -> DataFrame:
     """``df`` written under ``path`` in buckets of ``key``, sorted by it, and read as a table: groups and joins on the key, and
     on more columns with it, need no exchange, and two tables of as many buckets join where they lie."""
