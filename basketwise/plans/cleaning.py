@@ -51,9 +51,10 @@ def _keys(spark, d):
 
 
 def _sample_audit(spark, d):
-    """Representative users, items, categories and days of the order log, each field recomputed from rows."""
-    log = logs.log_o(spark, d)
-    pair = written(dims.pairs(log), "pairs")
+    """Representative users, items, categories and days of the order log, each field recomputed from rows. All read one log in
+    buckets of users: its joins run once, and pairs, users and categories' users meet where they lie."""
+    log = logs.log_o_by_user(spark, d, "event_id")
+    pair = dims.pairs(log)
     tables = {"user": dims.user_funnel(pair).join(dims.user_activity(log), "user_id"), "item": dims.item_dim(pair), "category": dims.category_dim(pair), "day": dims.time_dim(log, "daily")}
     tables = {k: written(df, k) for k, df in tables.items()}
     return quality.sample_audit(log, tables, quality.representatives(tables, clean.outlier_users(log)))
