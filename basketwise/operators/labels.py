@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranges import ranked
@@ -19,6 +20,18 @@ def window_labels(log: DataFrame, days: int = 7) -> DataFrame:
     return last.join(buys, ["user_id", "item_id"], "left").groupBy("user_id", "item_id").agg(F.first("item_category").alias("item_category"), F.first("last_time").alias("last_time"), F.coalesce(F.max(hit.cast("int")), F.lit(0)).alias("label"))
 
 
+def colocated_labels(log: DataFrame, days: int = 7) -> DataFrame:
+    """As ``window_labels``, for a log in buckets of users: a join on pairs would deal out the buckets again, a window over a
+    pair's last time and its times of buys doesn't."""
+    kind, pair = F.col("behavior_type"), ("user_id", "item_id")
+    seen = kind <= 3
+    times = log.where(kind <= 4).groupBy(*pair, F.when(kind == 4, F.col("time")).alias("buy_time")).agg(F.min(F.when(seen, F.col("item_category"))).alias("c"), F.max(F.when(seen, F.col("time"))).alias("t"), F.bool_or(seen).alias("s"))
+    own = W.partitionBy(*pair)
+    known = times.select(*pair, "buy_time", F.max("c").over(own).alias("item_category"), F.max("t").over(own).alias("last_time"), F.bool_or("s").over(own).alias("s")).where("s")
+    hit = (F.col("buy_time") > F.col("last_time")) & (F.col("buy_time") <= F.col("last_time") + F.make_dt_interval(days=F.lit(days)))
+    return known.groupBy(*pair).agg(F.first("item_category").alias("item_category"), F.first("last_time").alias("last_time"), F.coalesce(F.max(hit.cast("int")), F.lit(0)).alias("label"))
+
+
 def legacy_labels(pair_paths: DataFrame, log: DataFrame, fallback: str = "2025-12-18") -> DataFrame:
     """Bought at all; last time of any behaviour, a fixed one where there is none."""
     last = log.groupBy("user_id", "item_id").agg(F.max("time").alias("last_time"))

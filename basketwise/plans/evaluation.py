@@ -13,12 +13,16 @@ FEATURES = ("user_pv_count", "item_pv_count", "user_buy_count")
 WEIGHTS = (0.02, -0.01, 0.05)
 
 
-def scored(s, d, source=logs.log_h):
+def scored(s, d, source=logs.log_h, by_user=False):
+    """Labelled pairs with features and pseudo-scores. ``by_user``: the log lies in buckets of users. All up to users' features is
+    then made bucket by bucket; pairs meet items by hash, a share of the items a task, and aren't sorted for it."""
     log = source(s, d)
-    lab = labels.window_labels(log)
+    lab = labels.colocated_labels(log) if by_user else labels.window_labels(log)
     by = lambda k: log.groupBy(k).agg(F.count_if(F.col("behavior_type") == 1).alias(f"{k[:4]}_pv_count"), F.count_if(F.col("behavior_type") == 4).alias(f"{k[:4]}_buy_count"))
     pseudo = lambda a, b, m: F.pmod(F.col("user_id") * a + F.col("item_id") * b + 7, F.lit(m)) / float(m)
-    return lab.join(by("user_id"), "user_id").join(by("item_id").drop("item_buy_count"), "item_id").withColumns({"score": pseudo(31, 17, 997), "score_b": pseudo(13, 29, 983)})
+    items = by("item_id").drop("item_buy_count")
+    items = items.hint("shuffle_hash") if by_user else items
+    return lab.join(by("user_id"), "user_id").join(items, "item_id").withColumns({"score": pseudo(31, 17, 997), "score_b": pseudo(13, 29, 983)})
 
 
 SC = f"""SELECT l.*, u.user_pv_count, u.user_buy_count, i.item_pv_count, (l.user_id * 31 + l.item_id * 17 + 7) % 997 / CAST(997 AS DOUBLE) AS score, (l.user_id * 13 + l.item_id * 29 + 7) % 983 / CAST(983 AS DOUBLE) AS score_b FROM ({LABELS}) l
@@ -56,7 +60,7 @@ def _contrib(s, d):
 
 def _orders(s, d):
     """Scores of the order log: as many rows as a large test table has."""
-    return scored(s, d, logs.log_o)
+    return scored(s, d, lambda s, d: logs.log_o_by_user(s, d, "event_id"), by_user=True)
 
 
 def _three(s, d):

@@ -54,9 +54,10 @@ def log_c(spark, sf_dir):
     return log_h(spark, sf_dir).withColumn("item_category", (F.col("item_category") + F.pmod("user_id", F.lit(2))).cast("int"))
 
 
-def log_o(spark, sf_dir):
-    """Volume: a behaviour for each order line."""
+def log_o(spark, sf_dir, parts: int | None = None):
+    """Volume: a behaviour for each order line. ``parts``: lines and orders meet in so many partitions."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    lines = lines.repartition(parts, "l_orderkey") if parts else lines
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     parts = _table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", "[^0-9]", "").cast("int").alias("item_category"))
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -68,5 +69,6 @@ def log_o(spark, sf_dir):
 def log_o_by_user(spark, sf_dir, *without: str, rows: int = 500_000):
     """``log_o``, but for the columns ``without``, written once in buckets of users of about ``rows`` events: its joins run once, and
     what is computed by user needs no exchange. An event is an order line, so lines tell how many there are."""
-    n = _table(spark, sf_dir, "lineitem").count()
-    return files.bucketed(log_o(spark, sf_dir).drop(*without), "user_id", files.buckets_for(n, rows), f"{own_dir(spark)}/bucketed-{uuid.uuid4().hex}")
+    buckets = files.buckets_for(_table(spark, sf_dir, "lineitem").count(), rows)
+    many = buckets > int(spark.conf.get("spark.sql.shuffle.partitions"))  # else the session's own are enough
+    return files.bucketed(log_o(spark, sf_dir, buckets if many else None).drop(*without), "user_id", buckets, f"{own_dir(spark)}/bucketed-{uuid.uuid4().hex}")
