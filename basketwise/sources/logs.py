@@ -55,12 +55,12 @@ def log_c(spark, sf_dir):
 
 
 def log_o(spark, sf_dir, parts: int | None = None):
-    """Volume: a behaviour for each order line. ``parts``: lines and orders meet in so many partitions."""
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
-    lines = lines.repartition(parts, "l_orderkey") if parts else lines
+    """Volume: a behaviour for each order line. ``parts``: lines meet orders, and items too large to broadcast, in so many partitions."""
+    dealt = lambda df, key: df.repartition(parts, key) if parts else df
+    lines = dealt(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"), "l_orderkey")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    parts = _table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", "[^0-9]", "").cast("int").alias("item_category"))
-    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    items = dealt(_table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", "[^0-9]", "").cast("int").alias("item_category")), "p_partkey")
+    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(items, F.col("l_partkey") == F.col("p_partkey"))
     return df.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "item_category", ((F.col("l_linenumber") - 1) % 4 + 1).alias("behavior_type"), F.col("l_shipdate").cast("timestamp_ntz").alias("time")
     )
