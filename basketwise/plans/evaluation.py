@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, labels, metrics
 from ..sources import logs
+from ..sources.scratch import written
 from .base import LOG_H, LOG_O, over, rounded
 from .sampling import LABELS
 
@@ -15,13 +16,18 @@ WEIGHTS = (0.02, -0.01, 0.05)
 
 def scored(s, d, source=logs.log_h, by_user=False):
     """Labelled pairs with features and pseudo-scores. ``by_user``: the log lies in buckets of users. All up to users' features is
-    then made bucket by bucket; pairs meet items by hash, a share of the items a task, and aren't sorted for it."""
+    then made bucket by bucket, and items are counted from pairs, so that no task holds more items than a bucket has pairs. They are
+    written, as queries that need no counts would leave the pairs out. Pairs meet items by hash, a share of the items a task, and
+    aren't sorted for it."""
     log = source(s, d)
     lab = labels.colocated_labels(log) if by_user else labels.window_labels(log)
     by = lambda k: log.groupBy(k).agg(F.count_if(F.col("behavior_type") == 1).alias(f"{k[:4]}_pv_count"), F.count_if(F.col("behavior_type") == 4).alias(f"{k[:4]}_buy_count"))
     pseudo = lambda a, b, m: F.pmod(F.col("user_id") * a + F.col("item_id") * b + 7, F.lit(m)) / float(m)
-    items = by("item_id").drop("item_buy_count")
-    items = items.hint("shuffle_hash") if by_user else items
+    if by_user:
+        own = log.groupBy("user_id", "item_id").agg(F.count_if(F.col("behavior_type") == 1).alias("n"))
+        items = written(own.groupBy("item_id").agg(F.sum("n").alias("item_pv_count")), "items").hint("shuffle_hash")
+    else:
+        items = by("item_id").drop("item_buy_count")
     return lab.join(by("user_id"), "user_id").join(items, "item_id").withColumns({"score": pseudo(31, 17, 997), "score_b": pseudo(13, 29, 983)})
 
 
